@@ -182,6 +182,11 @@ def probe(reps: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
     return reps.select("fp", "rep").mapInArrow(run, "g bigint, fp bigint, rep bigint")
 
 
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of signed 64-bit fingerprints (bitwise_count takes absolute values of signed ones)."""
+    return np.bitwise_count((a ^ b).view(np.uint64))
+
+
 def _forest(fps: np.ndarray, rep: np.ndarray, bound: int) -> list[tuple[int, int]]:
     """Spanning forest of the links in one group: each found member is compared with those not yet
     found only."""
@@ -190,7 +195,7 @@ def _forest(fps: np.ndarray, rep: np.ndarray, bound: int) -> list[tuple[int, int
         todo, left = [left[0]], left[1:]
         while todo and len(left):
             at = todo.pop()
-            near = np.bitwise_count(fps[left] ^ fps[at]) <= bound
+            near = distance(fps[left], fps[at]) <= bound
             if near.any():
                 found = left[near]
                 links += [(int(rep[at]), int(rep[x])) for x in found]
@@ -227,7 +232,7 @@ def _verify(g: np.ndarray, fps: np.ndarray, rep: np.ndarray, bound: int) -> list
     g, fps, rep = g[few], fps[few], rep[few]
     a, b = [], []
     for k in range(1, int(size[size <= 64].max(initial=0))):
-        hit = np.flatnonzero((g[k:] == g[:-k]) & (np.bitwise_count(fps[k:] ^ fps[:-k]) <= bound) & (rep[k:] != rep[:-k]))
+        hit = np.flatnonzero((g[k:] == g[:-k]) & (distance(fps[k:], fps[:-k]) <= bound) & (rep[k:] != rep[:-k]))
         a.append(rep[hit])
         b.append(rep[hit + k])
     return links + (_reduce(np.concatenate(a), np.concatenate(b)) if a else [])

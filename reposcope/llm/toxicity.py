@@ -1,7 +1,7 @@
 """Toxic passages: maximum-scoring segments of token log-odds.
 
-Token scores are log-odds of standing in a toxic document, with a Dirichlet prior in proportion to
-the background; a constant drift is taken off, so that the expected score is negative. One pass over
+Token scores are log-odds of standing in a toxic document, with two Dirichlet priors: a token's is
+centred at the odds of its first letters, theirs at the share of toxic documents; a constant drift is taken off, so that the expected score is negative. One pass over
 a document finds all maximal scoring segments. Scores of segments of clean text follow an
 extreme-value law: P(S >= x) = 1 - exp(-K n exp(-lambda x)); lambda solves E[exp(lambda s)] = 1 over
 the clean tokens, K comes from the clean documents' best segments. The document's score is a
@@ -25,9 +25,11 @@ from pyspark.sql import functions as F
 #: Labelled rows to learn from, at most: those with the smallest hashes of their ids.
 SAMPLE = 200_000
 CELLS = 1 << 20
-PRIOR = 8.0
+#: Dirichlet prior: documents seen beforehand with each token, toxic or clean as all documents are.
+PRIOR = 10.0
+STEM = 4
 DRIFT = 1.0
-TOP = 6.0
+TOP = 8.0
 CACHE_ROWS = 500_000
 _WORD = re.compile(r"[^\W_]+")
 _STEP = 0.05
@@ -46,14 +48,19 @@ class _Cells(dict):
 
 
 class _Scores(dict):
-    def __init__(self, by_cell: np.ndarray):
+    def __init__(self, counts: np.ndarray, rows: np.ndarray):
         super().__init__()
-        self.by_cell = by_cell
+        self.counts, self.base = counts, (rows + 1.0) / (rows.sum() + 2.0)
 
     def __missing__(self, word: str) -> float:
         if len(self) > CACHE_ROWS:
             self.clear()
-        made = self[word] = float(self.by_cell[_cell(word)])
+        clean, toxic = (float(x) for x in self.counts[:, _cell(word)])
+        stem_clean, stem_toxic = (float(x) for x in self.counts[:, _cell("^" + word[:STEM])])
+        of_stem = stem_clean + stem_toxic + PRIOR
+        a = clean + PRIOR * (stem_clean + PRIOR * self.base[0]) / of_stem
+        b = toxic + PRIOR * (stem_toxic + PRIOR * self.base[1]) / of_stem
+        made = self[word] = min(math.log(b / self.base[1]) - math.log(a / self.base[0]), TOP) - DRIFT
         return made
 
 
@@ -90,9 +97,11 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
 @dataclass
 class Model:
-    """Scores of tokens by cell, and the calibration."""
+    """Documents of the sample with each cell's tokens and stems (clean, toxic), all documents, and
+    the calibration."""
 
-    by_cell: np.ndarray
+    counts: np.ndarray
+    rows: np.ndarray
     rate: float = 1.0
     log_k: float = 0.0
     weights: tuple[float, float] = (-2.0, 1.0)
@@ -100,7 +109,7 @@ class Model:
 
     def scores(self, found: list[str]) -> np.ndarray:
         if self._known is None:
-            self._known = _Scores(self.by_cell)
+            self._known = _Scores(self.counts, self.rows)
         return np.fromiter(map(self._known.__getitem__, found), dtype=np.float64, count=len(found))
 
     def excess(self, best: float, n: int) -> float:
@@ -149,7 +158,8 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Model:
         counts, rows = np.zeros((2, CELLS), dtype=np.int32), np.zeros(2, dtype=np.int64)
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                cells = list({_CELLS[w] for w in set(words(text))})
+                found = set(words(text))
+                cells = list({_CELLS[w] for w in found} | {_CELLS["^" + w[:STEM]] for w in found})
                 counts[toxic, cells] += 1
                 rows[toxic] += 1
         at = np.flatnonzero(counts.any(axis=0))
@@ -162,11 +172,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Model:
     counts, rows = np.zeros((2, CELLS)), np.zeros(2)
     for r in counted.groupBy("cell").agg(F.sum("clean"), F.sum("toxic")).toLocalIterator():
         (rows if r[0] < 0 else counts[:, r[0]])[:] = r[1], r[2]
-    share = (counts.sum(axis=0) + 0.5) / (rows.sum() + 1)
-    odds = [np.log((counts[t] + PRIOR * share) / (rows[t] + PRIOR)) for t in (0, 1)]
-    by_cell = np.minimum(odds[1] - odds[0], TOP) - DRIFT
-    by_cell[counts.sum(axis=0) == 0] = -DRIFT
-    model = Model(by_cell.astype(np.float32))
+    model = Model(counts.astype(np.int32), rows)
     shared = spark.sparkContext.broadcast(model)
 
     def measure(batches):
@@ -219,7 +225,7 @@ def _calibrate(model: Model, binned: list) -> None:
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """``keep`` columns of every row, then score double and passages array<struct>. Null and empty
     texts have no passages and the score of an empty text. Texts are read whole; no rows are grouped."""
-    shared = docs.sparkSession.sparkContext.broadcast(Model(model.by_cell, model.rate, model.log_k, model.weights))
+    shared = docs.sparkSession.sparkContext.broadcast(Model(model.counts, model.rows, model.rate, model.log_k, model.weights))
 
     def run(batches):
         own = shared.value
@@ -233,7 +239,7 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 
 def passages(docs: DataFrame, model: Model, level: float = 0.01) -> DataFrame:
     """(doc_id, start, end, passage_score, p) of every significant passage, character offsets."""
-    shared = docs.sparkSession.sparkContext.broadcast(Model(model.by_cell, model.rate, model.log_k, model.weights))
+    shared = docs.sparkSession.sparkContext.broadcast(Model(model.counts, model.rows, model.rate, model.log_k, model.weights))
     names = ["doc_id", "start", "end", "passage_score", "p"]
 
     def run(batches):
