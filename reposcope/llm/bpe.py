@@ -45,13 +45,13 @@ class PieceCache:
     """Encodes texts piece by piece (see chunks), each looked up; unknown pieces go to ``ask``, which
     encodes many at once. ``glue`` joins results."""
 
-    def __init__(self, ask, glue):
-        self.ask, self.glue = ask, glue
+    def __init__(self, ask, glue, rows: int = CACHE_ROWS):
+        self.ask, self.glue, self.rows = ask, glue, rows
         self.pieces: dict = {}
 
     def encode(self, texts: list[str]) -> list:
         pieces, glue = self.pieces, self.glue
-        if len(pieces) > CACHE_ROWS:
+        if len(pieces) > self.rows:
             pieces.clear()
         split = [chunks(t) for t in texts]
         found = [None if s is None else list(map(pieces.get, s)) for s in split]

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -30,6 +31,9 @@ from reposcope.llm.common import materialize, scratch_path
 MAGIC = b"RSPLANE1"
 BLOCK = 65_536
 LEVEL = 3
+#: Different pieces that a worker keeps.
+PIECES = 1_000_000
+_WORD = re.compile(" [A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 #: Bytes of text for each file, until there are MOST_FILES.
 FILE_BYTES, MOST_FILES = 16 << 20, 16_384
 
@@ -154,10 +158,40 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.dtype = "<u2" if self.library.get_vocab_size() <= 65_536 else "<u4"
-        self.cache = PieceCache(self._ask, b"")
+        self.width = 2 if self.dtype == "<u2" else 4
+        self.letters = self._letters()
+        self.cache = PieceCache(self._ask, b"", PIECES)
+
+    def _letters(self) -> np.ndarray:
+        """Bytes that each id stands for (a sign of the vocabulary is a byte)."""
+        sizes = np.zeros(max(self.library.get_vocab().values()) + 1, dtype=np.int64)
+        for token, i in self.library.get_vocab().items():
+            sizes[i] = len(token)
+        return sizes
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _ask(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        """Words with one space before them go to the library in one text: no token crosses from one
+        to the next, so the ids are parted where the words' bytes end."""
+        joined = [i for i, t in enumerate(texts) if _WORD(t)]
+        answers: list[bytes] = [b""] * len(texts)
+        if joined:
+            made = np.array(self.library.encode_batch_fast(["".join([texts[i] for i in joined])], add_special_tokens=False)[0].ids, dtype=self.dtype)
+            ends = np.cumsum(self.letters[made])
+            border = np.cumsum([len(texts[i].encode()) for i in joined])
+            at = np.searchsorted(ends, border) + 1
+            if len(ends) != at[-1] or not np.array_equal(ends[at - 1], border):
+                raise ValueError("tokens cross the borders of words")
+            data, start = made.tobytes(), 0
+            for i, end in zip(joined, (at * self.width).tolist(), strict=True):
+                answers[i] = data[start:end]
+                start = end
+        other = [i for i, t in enumerate(texts) if not _WORD(t)]
+        for i, data in zip(other, self._ids([texts[i] for i in other]), strict=True):
+            answers[i] = data
+        return answers
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return self.cache.encode(texts)
