@@ -476,3 +476,32 @@ def budget_pack(spark, sf_dir):
 def project_default_source(spark, sf_dir):
     s = _t(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("project"), F.col("s_suppkey").alias("source"), "s_acctbal")
     return s.groupBy("project").agg(F.min_by("source", F.struct(-F.col("s_acctbal"), "source")).alias("source"))
+
+
+# --- facts from source text ---------------------------------------------------------------------------
+_SOURCES = [
+    ("a.ts", "handlers[action.type](x)\nbus.emit('save', 1) // emit('no')\nimport(name)\nimport('fixed')\nhandlers['go'](y)\n"),
+    ("b.py", "import importlib\nfrom .util import helper as h\nclass A(Base):\n    def run(self):\n        h(1)\n        self.repo.save()\nimportlib.import_module(x)\ngetattr(a, b)\n"),
+]
+
+
+@query()
+def boundaries(spark, sf_dir):
+    from reposcope.operators import code
+
+    return code.boundaries(spark.createDataFrame(_SOURCES, "file string, source string").unionByName(_files(spark, sf_dir)))
+
+
+@query()
+def python_facts(spark, sf_dir):
+    from reposcope.operators import code
+
+    return code.python_facts(spark.createDataFrame(_SOURCES[1:], "file string, source string"))
+
+
+@query("WITH s AS (SELECT user_id AS thread, event_id AS seq, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), g AS (SELECT *, sum(new) OVER (PARTITION BY thread ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS k FROM s) SELECT thread, count(*) AS n, max(seq) AS last_seq FROM g GROUP BY thread, k")
+def sessions(spark, sf_dir):
+    from reposcope.streaming.refresh import sessions as windows
+
+    e = _t(spark, sf_dir, "events").select(F.col("user_id").alias("thread"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"))
+    return windows(e).select("thread", "n", "last_seq")
