@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Entries of a worker's tables; a full table is emptied.
-CACHE_ROWS, STATES = 600_000, 200_000
+CACHE_ROWS, STATES = 400_000, 100_000
 #: White space in a text other than these four makes the splitting by white space unsafe.
 _EXOTIC = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
 #: White space and a word of Latin letters that a mark (no apostrophe) or white space ends, or

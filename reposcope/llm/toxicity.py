@@ -30,7 +30,8 @@ PRIOR = 10.0
 STEM = 4
 DRIFT = 1.0
 TOP = 8.0
-CACHE_ROWS = 500_000
+#: Entries of a task's table of known words; a full table is emptied, and the end of the task drops it.
+CACHE_ROWS = 120_000
 _WORD = re.compile(r"[^\W_]+")
 _STEP = 0.05
 
@@ -64,7 +65,6 @@ class _Scores(dict):
         return made
 
 
-_CELLS = _Cells()
 
 
 def words(text: str | None) -> list[str]:
@@ -112,6 +112,9 @@ class Model:
             self._known = _Scores(self.counts, self.rows)
         return np.fromiter(map(self._known.__getitem__, found), dtype=np.float64, count=len(found))
 
+    def forget(self) -> None:
+        self._known = None
+
     def excess(self, best: float, n: int) -> float:
         """Normalised best score: below 0 for most clean documents."""
         return self.rate * best - self.log_k - math.log(max(n, 1))
@@ -155,11 +158,11 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Model:
     spark = docs.sparkSession
 
     def tokens(batches):
-        counts, rows = np.zeros((2, CELLS), dtype=np.int32), np.zeros(2, dtype=np.int64)
+        counts, rows, cell_of = np.zeros((2, CELLS), dtype=np.int32), np.zeros(2, dtype=np.int64), _Cells()
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = set(words(text))
-                cells = list({_CELLS[w] for w in found} | {_CELLS["^" + w[:STEM]] for w in found})
+                cells = list({cell_of[w] for w in found} | {cell_of["^" + w[:STEM]] for w in found})
                 counts[toxic, cells] += 1
                 rows[toxic] += 1
         at = np.flatnonzero(counts.any(axis=0))
@@ -187,6 +190,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Model:
             at = np.flatnonzero(tokens)
             kinds = [pa.array([0] * len(rows) + [1] * len(at)), pa.array([r[0] for r in rows] + [0] * len(at)), pa.array([r[1] for r in rows] + [0.0] * len(at)), pa.array([r[2] for r in rows] + at.tolist()), pa.array([1] * len(rows) + tokens[at].tolist())]
             yield pa.RecordBatch.from_arrays(kinds, ["kind", "toxic", "best", "cls", "n"])
+        own.forget()
 
     measured = sample.where("part = 3").select("text", "toxic").mapInArrow(measure, "kind bigint, toxic bigint, best double, cls bigint, n bigint")
     binned = measured.groupBy("kind", "toxic", F.round("best", 1).alias("best"), "cls").agg(F.sum("n").alias("n")).collect()
@@ -232,6 +236,7 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
         for batch in batches:
             found = [own.probability(*own.best(t)) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, pa.float64())], [*keep, "score"])
+        own.forget()
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     return docs.select(F.col("text").alias("_text"), *keep).mapInArrow(run, f"{kinds}, score double")
