@@ -27,11 +27,15 @@ from pyspark.sql import functions as F
 
 #: Entries of a worker's tables; a full table is emptied.
 CACHE_ROWS, STATES = 400_000, 100_000
+#: New steps are made for a state that short pieces have left so often without one.
+MEETINGS = 16
 #: White space in a text other than these four makes the splitting by white space unsafe.
 _EXOTIC = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
 #: White space and a word of Latin letters that a mark (no apostrophe) or white space ends, or
 #: white space and all up to the next, or white space.
 _CHUNK = re.compile("[ \n\t\r]*[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[ \n\t\r!-&(-/:-@\\[-`{-~]|$)|[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
+#: A space and letters: one pre-token, where chunks() gives it as a piece.
+WORD = re.compile(" [A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 _LONG = 64
 
 
@@ -77,17 +81,26 @@ class Transducer:
         self.prefixes = {t[:i] for t in ranks for i in range(1, len(t))}
         self.suffixes = {t[i:] for t in ranks for i in range(len(t))}
         self.token = {i: t for t, i in ranks.items()}
+        self.trie = self._trie()
         self.spines: dict[tuple[int, int], list[tuple[bytes, float]]] = {}
         self.beside: dict[tuple[int, int], bool] = {}
         self.clear()
 
     def clear(self) -> None:
-        self.met: set[int] = set()
+        self.met: dict[int, int] = {}
         self.number: dict[tuple[int, bytes], int] = {}
         self.states: list[tuple[int, bytes, list]] = []
         self.steps: dict[int, tuple[int, tuple[int, ...]]] = {}
         self._state(-1, b"", [])
 
+    def _trie(self) -> dict[int, tuple]:
+        """byte -> (token or None, what may follow) of every beginning of a token."""
+        nodes: dict[bytes, dict[int, tuple]] = {p: {} for p in self.prefixes} | {b"": {}}
+        none: dict[int, tuple] = {}
+        for part in self.prefixes | self.ranks.keys():
+            nodes[part[:-1]][part[-1]] = self.ranks.get(part), nodes.get(part, none)
+        return nodes[b""]
+
     def _state(self, before: int, pending: bytes, last: list) -> int:
         at = self.number.get((before, pending))
         if at is None:
@@ -181,14 +194,48 @@ class Transducer:
         self.steps[state << 8 | byte] = made
         return made
 
-    def _finish(self, state: int, rest: bytes) -> tuple[int, ...]:
+    def _starts(self, whole: bytes, at: int) -> list[tuple[int, int]]:
+        """(end, token) of the tokens that start there, shortest first."""
+        out, node = [], self.trie
+        for end in range(at, len(whole)):
+            found = node.get(whole[end])
+            if found is None:
+                break
+            token, node = found
+            if token is not None:
+                out.append((end + 1, token))
+        return out
+
+    def _finish(self, state: int, rest: bytes) -> list[int]:
         """The tokens of what is pending and the rest, without making states: for the way out of a
-        state that was met for the first time."""
-        before, pending, last = self.states[state]
-        last, whole = list(last), pending + rest
-        for n in range(len(pending) + 1, len(whole) + 1):
-            last.append(self._last(before, whole[:n], last))
-        return self._path(last, len(whole))
+        state that is seldom met. Depth first, longest token first, of those that fit;
+        no place is left by the same tokens twice, as what fits is settled by the place alone."""
+        before, pending, _ = self.states[state]
+        whole, beside, fits = pending + rest, self.beside, self._fits
+        stop, at, ahead, out, dead = len(whole), 0, before, [], set()
+        open_: list[list[tuple[int, int]]] = [self._starts(whole, 0)]
+        while at < stop:
+            ways = open_[-1]
+            while ways:
+                end, token = ways.pop()
+                if end in dead:
+                    continue
+                if ahead >= 0:
+                    fit = beside.get((ahead, token))
+                    if not (fits(ahead, token) if fit is None else fit):
+                        continue
+                out.append(token)
+                at, ahead = end, token
+                if at < stop:
+                    open_.append(self._starts(whole, at))
+                break
+            else:  # no token goes on from here
+                dead.add(at)
+                open_.pop()
+                out.pop()
+                at -= len(self.token[ahead])
+                ahead = out[-1] if out else before
+        return out
 
     @staticmethod
     def _path(last: list, at: int) -> tuple[int, ...]:
@@ -210,8 +257,8 @@ class Transducer:
         for i, byte in enumerate(piece):
             way = known(state << 8 | byte)
             if way is None:
-                if state not in met and len(piece) <= _LONG:
-                    met.add(state)
+                if len(piece) <= _LONG and (times := met.get(state, 0)) < MEETINGS:
+                    met[state] = times + 1
                     out += self._finish(state, piece[i:])
                     return out
                 way = self.step(state, byte)
@@ -262,7 +309,7 @@ class Codec:
 
     def _plain(self, text: str) -> str:
         encode, out = self.fst.encode, []
-        for piece in self.split(text):
+        for piece in (text,) if WORD(text) else self.split(text):
             out += encode(piece.encode("utf-8", "surrogatepass"))
         return " ".join(map(str, out))
 
