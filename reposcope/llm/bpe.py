@@ -15,6 +15,7 @@ buffer belong to a character that is not complete, so text can be given out piec
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 
 #: Entries of a worker's tables; a full table is emptied.
 CACHE_ROWS, STATES = 400_000, 100_000
+#: Texts encoded at once: what waits in a worker is theirs.
+BATCH = 256
 #: New steps are made for a state that short pieces have left so often without one.
 MEETINGS = 16
 #: White space in a text other than these four makes the splitting by white space unsafe.
@@ -54,6 +57,14 @@ class PieceCache:
         self.pieces: dict = {}
 
     def encode(self, texts: list[str]) -> list:
+        """No reference cycles are made here, so Python need not search the tables for them."""
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: list[str]) -> list:
         pieces, glue = self.pieces, self.glue
         if len(pieces) > self.rows:
             pieces.clear()
@@ -315,7 +326,13 @@ class Codec:
 
     def ids_texts(self, texts: list[str]) -> list[str]:
         """Decimal ids joined by one space, of every text."""
-        return [x for at in range(0, len(texts), 256) for x in self.cache.encode(texts[at : at + 256])]
+        return [x for at in range(0, len(texts), BATCH) for x in self.cache.encode(texts[at : at + BATCH])]
+
+    def digests(self, ids: str) -> tuple[int, str, str]:
+        """Number of decimal ids, SHA-256 of them and of the bytes that they decode to."""
+        split = ids.split()
+        data = b"".join(map(self.bytes_of.__getitem__, split))
+        return len(split), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(data).hexdigest()
 
     def encode(self, text: str) -> list[int]:
         return [int(x) for x in self.ids_texts([text])[0].split()]
@@ -358,19 +375,16 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
 
     def run(batches):
         made = codec(file, own)
-        back = made.bytes_of.__getitem__
         for batch in batches:
-            texts = made.ids_texts([t or "" for t in batch.column(1).to_pylist()])
-            if not digests:
-                columns = [pa.array([[int(x) for x in t.split()] for t in texts], pa.list_(pa.int32()))]
-            else:
-                split = [t.split(" ") if t else [] for t in texts]
-                columns = [
-                    pa.array([len(s) for s in split], pa.int64()),
-                    pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts]),
-                    pa.array([hashlib.sha256(b"".join(map(back, s))).hexdigest() for s in split]),
-                ]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names)
+            for at in range(0, batch.num_rows, BATCH):
+                part = batch.slice(at, BATCH)
+                texts = made.ids_texts([t or "" for t in part.column(1).to_pylist()])
+                if digests:
+                    rows = [made.digests(t) for t in texts]
+                    columns = [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.string()), strict=True)]
+                else:
+                    columns = [pa.array([[int(x) for x in t.split()] for t in texts], pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names)
 
     names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"] if digests else [id_col, "ids"]
     kind = docs.schema[id_col].dataType.simpleString()
