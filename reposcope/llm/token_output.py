@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import io
 import os
-import re
 import struct
 import uuid
 import zlib
@@ -24,8 +23,9 @@ import zstandard
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer, pre_tokenizers
 
-from reposcope.llm.bpe import PieceCache
+from reposcope.llm.bpe import WORD, PieceCache
 from reposcope.llm.common import materialize, scratch_path
 
 MAGIC = b"RSPLANE1"
@@ -33,7 +33,10 @@ BLOCK = 65_536
 LEVEL = 3
 #: Different pieces that a worker keeps.
 PIECES = 1_000_000
-_WORD = re.compile(" [A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+#: Words put into one text.
+TOGETHER = 10_000
+#: The sign of a space in a byte-level vocabulary.
+SPACE = "\u0120"
 #: Bytes of text for each file, until there are MOST_FILES.
 FILE_BYTES, MOST_FILES = 16 << 20, 16_384
 
@@ -84,7 +87,7 @@ class PlaneWriter:
             part = ids[a : a + self.block]
             row = [self.at, min(self.block, stop - a)]
             for plane in to_planes(part, self.bits):
-                data = self.pack.compress(plane) if any(plane) else b""
+                data = self.pack.compress(plane) if plane.count(0) < len(plane) else b""
                 self.out.write(data)
                 self.at += len(data)
                 row.append(len(data))
@@ -153,42 +156,46 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.dtype = "<u2" if self.library.get_vocab_size() <= 65_536 else "<u4"
         self.width = 2 if self.dtype == "<u2" else 4
-        self.letters = self._letters()
+        self.words = self._words(path)
+        vocabulary = self.library.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.opens[[i for token, i in vocabulary.items() if token.startswith(SPACE)]] = True
         self.cache = PieceCache(self._ask, b"", PIECES)
 
-    def _letters(self) -> np.ndarray:
-        """Bytes that each id stands for (a sign of the vocabulary is a byte)."""
-        sizes = np.zeros(max(self.library.get_vocab().values()) + 1, dtype=np.int64)
-        for token, i in self.library.get_vocab().items():
-            sizes[i] = len(token)
-        return sizes
+    @staticmethod
+    def _words(path: str):
+        """The same vocabulary and merges for words that each begin with their only space: cut at the
+        space, not by the pattern. The library keeps no words: PieceCache does."""
+        made = Tokenizer.from_file(path)
+        model = made.model
+        model._resize_cache(0)
+        made.model = model
+        made.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False), pre_tokenizers.Split(SPACE, "merged_with_next")])
+        return made
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _ask(self, texts: list[str]) -> list[bytes]:
         """Words with one space before them go to the library in one text: no token crosses from one
-        to the next, so the ids are parted where the words' bytes end."""
-        joined = [i for i, t in enumerate(texts) if _WORD(t)]
+        to the next, so the ids are parted before each that begins with a space."""
+        joined, other = [], []
+        for i, t in enumerate(texts):
+            (joined if WORD(t) else other).append(i)
         answers: list[bytes] = [b""] * len(texts)
-        if joined:
-            made = np.array(self.library.encode_batch_fast(["".join([texts[i] for i in joined])], add_special_tokens=False)[0].ids, dtype=self.dtype)
-            ends = np.cumsum(self.letters[made])
-            border = np.cumsum([len(texts[i].encode()) for i in joined])
-            at = np.searchsorted(ends, border) + 1
-            if len(ends) != at[-1] or not np.array_equal(ends[at - 1], border):
+        for at in range(0, len(joined), TOGETHER):
+            part = joined[at : at + TOGETHER]
+            made = np.array(self.words.encode_batch_fast(["".join([texts[i] for i in part])], add_special_tokens=False)[0].ids, dtype=self.dtype)
+            starts = np.flatnonzero(self.opens[made])
+            if len(starts) != len(part) or starts[0]:
                 raise ValueError("tokens cross the borders of words")
-            data, start = made.tobytes(), 0
-            for i, end in zip(joined, (at * self.width).tolist(), strict=True):
+            data, borders = made.tobytes(), [*(starts * self.width).tolist(), len(made) * self.width]
+            for i, start, end in zip(part, borders, borders[1:]):
                 answers[i] = data[start:end]
-                start = end
-        other = [i for i, t in enumerate(texts) if not _WORD(t)]
         for i, data in zip(other, self._ids([texts[i] for i in other]), strict=True):
             answers[i] = data
         return answers
