@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reposcope.functions import text as tx
-from reposcope.operators import graph, mining, resolve, retrieval, search
+from reposcope.operators import graph, metrics, mining, resolve, retrieval, search
 from reposcope.operators.search import Search
 from reposcope.sources import repository
 
@@ -272,6 +272,54 @@ def median_value(spark, sf_dir):
     return _t(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.expr("percentile(value, 0.5)"), 6).alias("median"))
 
 
+_LIFE = """e AS (SELECT user_id AS thread, CAST(json_extract_string(props, '$.k') AS BIGINT) % 10 AS item, event_id AS seq, event_type = 'click' AS s,
+CASE WHEN value < 30 THEN 'tool' ELSE 'shell' END AS type, event_id - event_id % 7 AS moment FROM events WHERE event_type IN ('click', 'purchase')),
+n AS (SELECT *, lag(s) OVER w AS b, lead(s) OVER w IS NULL AND s AS left_open FROM e WINDOW w AS (PARTITION BY thread, item ORDER BY seq)),
+g AS (SELECT *, sum(CASE WHEN s AND NOT coalesce(b, false) THEN 1 ELSE 0 END) OVER (PARTITION BY thread, item ORDER BY seq) AS run FROM n),
+o AS (SELECT thread, item, run, type AS o_type, moment AS o_at FROM g WHERE s AND NOT coalesce(b, false)),
+j AS (SELECT g.*, o.o_type, o.o_at FROM g LEFT JOIN o USING (thread, item, run)),
+life AS (SELECT thread, item, seq, type, left_open, CASE WHEN s AND b THEN 'duplicate' WHEN s AND left_open THEN 'unmatched' WHEN s THEN 'open' WHEN NOT coalesce(b, false) THEN 'orphan'
+WHEN o_type <> type THEN 'mismatch' WHEN moment < o_at THEN 'invalid' ELSE 'pair' END AS role, o_at, moment FROM j)"""
+
+
+def _lifecycle(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").where("event_type in ('click', 'purchase')")
+    log = e.select(
+        F.col("user_id").alias("thread"), (F.get_json_object("props", "$.k").cast("bigint") % 10).alias("item"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "click", "started").otherwise("completed").alias("kind"),
+        F.when(F.col("value") < 30, "tool").otherwise("shell").alias("type"), (F.col("event_id") - F.col("event_id") % 7).alias("at"),
+    )
+    return metrics.lifecycle(log, "thread")
+
+
+@query(f"WITH {_LIFE} SELECT thread, item, seq, type, role, left_open, CASE WHEN role IN ('pair', 'invalid') THEN o_at END AS start, CASE WHEN role IN ('pair', 'invalid') THEN moment END AS \"end\" FROM life")
+def lifecycle_pairs(spark, sf_dir):
+    return _lifecycle(spark, sf_dir)
+
+
+@query(f"""WITH {_LIFE}, c AS (SELECT thread, count(*) FILTER (role IN ('pair', 'invalid')) AS pairs, count(*) FILTER (left_open) AS unmatched, count(*) FILTER (role = 'duplicate') AS duplicates,
+count(*) FILTER (role = 'orphan') AS orphans, count(*) FILTER (role = 'mismatch') AS mismatches, count(*) FILTER (role = 'invalid') AS invalid, count(*) FILTER (role = 'pair' AND o_at = moment) AS no_length FROM life GROUP BY thread)
+SELECT *, CASE WHEN unmatched + duplicates + orphans + mismatches + invalid > 0 THEN 'invalid' ELSE 'complete' END AS status FROM c""")
+def thread_timing(spark, sf_dir):
+    return metrics.timing(_lifecycle(spark, sf_dir), "thread")
+
+
+@query("SELECT doc_id, coalesce(contains(lower(text), 'the') AND contains(lower(text), 'shea'), false) AS correct FROM documents")
+def answer_correct(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", metrics.correct(F.col("text"), F.lit("The"), F.array(F.lit("SHEA"))).alias("correct"))
+
+
+@query("SELECT c_custkey, n, CAST(CASE WHEN n >= 20000 THEN 4 WHEN n >= 5000 THEN 3 WHEN n >= 500 THEN 2 ELSE 1 END AS INTEGER) AS calls FROM (SELECT c_custkey, c_custkey * 17 AS n FROM customer)")
+def call_budget(spark, sf_dir):
+    n = (F.col("c_custkey") * 17).cast("bigint")
+    return _t(spark, sf_dir, "customer").select("c_custkey", n.alias("n"), metrics.call_budget(n).alias("calls"))
+
+
+@query(f"WITH {_OUTCOMES} SELECT thread, answer_seq, surface || chr(9) || searches_after || chr(9) || coalesce(CASE WHEN changed > 0 THEN hits END::VARCHAR, 'n/a') AS report FROM o")
+def feedback_report(spark, sf_dir):
+    hits = F.when(F.size("changed") > 0, F.size("hit"))
+    return _outcomes(spark, sf_dir).select("thread", "answer_seq", metrics.report_line(F.col("surface"), F.col("searches_after"), hits).alias("report"))
+
+
 # --- graph ------------------------------------------------------------------------------------------
 _GRAPH = """e AS (SELECT 'S' || l_suppkey AS src, 'P' || l_partkey AS dst, count(*)::DOUBLE AS weight FROM lineitem GROUP BY 1, 2),
 adj AS (SELECT src, dst, sum(weight) AS w FROM (SELECT * FROM e UNION ALL SELECT dst, src, weight FROM e) GROUP BY 1, 2),

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 from reposcope.functions import text as tx
-from reposcope.operators import code, graph, mining, resolve, search
+from reposcope.operators import code, graph, metrics, mining, resolve, search
 from reposcope.plans import catalog
 from reposcope.sources import repository
 
@@ -104,3 +104,19 @@ def test_corpus_operators_may_be_absent(monkeypatch):
     real = importlib.util.find_spec
     monkeypatch.setattr(importlib.util, "find_spec", lambda name, *a: None if name == "corpus_pipeline" else real(name, *a))
     assert not [n for n in __spark_entry__.queries() if n.startswith("op")] and __spark_entry__.entry
+
+
+def test_lifecycle_roles(spark):
+    log = [
+        ("a", 1, "started", "x", 10), ("a", 2, "started", "x", 11), ("a", 3, "completed", "x", 15), ("a", 4, "completed", "x", 16),
+        ("b", 5, "started", "x", 20), ("b", 6, "completed", "y", 21), ("c", 7, "started", "x", 30), ("c", 8, "completed", "x", 29),
+        ("d", 9, "started", "x", 40), ("d", 10, "started", "x", 41), ("e", 11, "started", "x", None), ("e", 12, "completed", "x", 50), (None, 13, "started", "x", 1), ("f", 14, "other", "x", 1),
+    ]
+    events = spark.createDataFrame([("t", *r) for r in log], "thread string, item string, seq int, kind string, type string, at int")
+    marked = metrics.lifecycle(events, "thread")
+    rows = {r["seq"]: r for r in marked.collect()}
+    assert [rows[i]["role"] for i in range(1, 13)] == ["open", "duplicate", "pair", "orphan", "open", "mismatch", "open", "invalid", "open", "duplicate", "open", "invalid"]
+    assert (rows[3]["start"], rows[3]["end"]) == (10, 15) and rows[10]["left_open"] and not rows[2]["left_open"]
+    summed = metrics.timing(marked, "thread").first()
+    assert (summed["pairs"], summed["unmatched"], summed["duplicates"], summed["orphans"], summed["mismatches"], summed["invalid"], summed["status"]) == (3, 1, 2, 1, 1, 2, "invalid")
+    assert metrics.timing(metrics.lifecycle(events.limit(0), "thread"), "thread").count() == 0
