@@ -5,8 +5,9 @@ token and may stand after the last token of what comes before (two tokens may st
 if the BPE of their bytes is these two). A state of the transducer is the last settled token and
 the bytes since then; a step finds the last token at the new position, drops the starts from which
 no token can go on, and emits all tokens that the remaining ones agree upon, so that never more
-bytes than the longest token wait. States and steps are made when first met and kept in a table of
-bounded size.
+bytes than the longest token wait. States and steps are made when met and kept in a table of bounded
+size; a short piece leaves a state seldom met by a search over what is left of it, which costs less
+than states that nothing comes to again and gives the same tokens.
 
 Decoding. Ids give bytes; an automaton over byte classes tells how many bytes at the end of a
 buffer belong to a character that is not complete, so text can be given out piece by piece.

@@ -148,6 +148,20 @@ def test_bpe_equals_library(spark):
     assert {r.doc_id: r.text for r in back.collect()}[6] == ODD[6]
 
 
+def test_bpe_ways_agree():
+    """Steps of the transducer and the search out of any of its states settle upon the same tokens."""
+    fst = bpe.codec(*bpe.default_vocabulary()).fst
+    rng = random.Random(5)
+    for word in [b"a", b" therblingly", "aaaaaaaaaé\u00fcß".encode(), bytes(range(256)), *(bytes(rng.choice(b"abest in'\xc3\xa9\xff") for _ in range(rng.randint(1, 40))) for _ in range(300))]:
+        state, settled = 0, []
+        ways = [fst._finish(0, word)]
+        for i, byte in enumerate(word):
+            state, emitted = fst.step(state, byte)
+            settled += emitted
+            ways.append(settled + fst._finish(state, word[i + 1 :]))
+        assert all(w == ways[0] for w in ways) and b"".join(fst.token[t] for t in ways[0]) == word
+
+
 def test_url_filter(spark):
     rules = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
     urls = [(0, "https://A.Example.net/en/5#x"), (1, "http://example.net"), (2, None), (3, "no scheme"), (4, "http://badexample.com/de/"), (5, "http://m.example.com/de/1?q"), (6, "x://b.org/fr/"), (7, "http://c.net/?a"), (8, "http://c.net?a")]
