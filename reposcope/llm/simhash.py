@@ -11,6 +11,10 @@
    tiles, each pair of tiles being one group of bounded size; each group emits a spanning forest
    of its links, never all pairs.
 5. Connected components of the links.
+
+Where a similarity of the whole shingle sets is asked for (``alike``), fingerprints only propose:
+further candidates come from bands of MinHash minima, and a link needs its two sets to be as similar
+as asked for, which is counted over all their shingles.
 """
 
 from __future__ import annotations
@@ -31,6 +35,11 @@ TILE = 2048
 #: What one dealt signature costs, in verified candidates.
 ROW_COST = 300
 _SLICE = 1 << 16
+#: Bands of minima: sets of similarity 0.8 share none of them with a chance of 8e-6, of 0.85 with 1e-9.
+BANDS, BAND_ROWS = 64, 8
+#: Documents and characters of a tile of whole texts; two tiles at most are compared together.
+SET_TILE, SET_CHARS = 512, 16_000_000
+_ODD = np.random.default_rng(SEED).integers(0, 2**63, (2, BANDS * BAND_ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_hashes(text: bytes | None, words: int, distinct: bool = False) -> np.ndarray:
@@ -287,10 +296,116 @@ def near_duplicates(docs: DataFrame, words: int = 5, bound: int = 9, distinct: b
     return fps.join(named, "fp", "left").select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
 
 
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band of minima of a non-empty set's shingle hashes, as signed 64-bit integers."""
+    least = np.full(BANDS * BAND_ROWS, ~np.uint64(0))
+    for at in range(0, len(hashes), 1024):
+        np.minimum(least, (hashes[at : at + 1024, None] * _ODD[0]).min(axis=0), out=least)
+    return ((least ^ (least >> np.uint64(29))) * _ODD[1]).reshape(BANDS, BAND_ROWS).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
+def marks(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fp, same, bands) of every row: ``same`` is equal for equal sets of shingles; no bands for
+    an empty set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, same, keys = [], [], []
+            for t in batch.column(1).cast(pa.large_binary()):
+                hashes = shingle_hashes(t.as_py(), words, True)
+                fps.append(fingerprint(hashes))
+                same.append(xxhash.xxh3_128_digest(np.sort(hashes).tobytes()))
+                keys.append(bands(hashes) if len(hashes) else np.empty(0, dtype=np.int64))
+            starts = np.cumsum([0] + [len(k) for k in keys]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(starts), pa.array(np.concatenate(keys) if keys else np.empty(0, dtype=np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), pa.array(same, pa.binary()), lists], ["id", "fp", "same", "bands"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp bigint, same binary, bands array<bigint>")
+
+
+def similar_forest(sets: list[np.ndarray], rep: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Spanning forest of the pairs of sets (of distinct hashes) with Jaccard ``similarity`` or more:
+    each found member is compared, by an inverted index, with those not yet found only."""
+    size = np.array([len(s) for s in sets])
+    grams = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    owner = np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(grams, kind="stable")
+    holders, first = owner[order], np.r_[0, np.cumsum(np.bincount(grams))]
+    start = np.r_[0, np.cumsum(size)]
+    links, left = [], np.ones(len(sets), dtype=bool)
+    for seed in range(len(sets)):
+        todo = [seed] if left[seed] else []
+        left[seed] = False
+        while todo:
+            at = todo.pop()
+            own = grams[start[at] : start[at + 1]]
+            met = np.concatenate([holders[first[g] : first[g + 1]] for g in own]) if len(own) else np.empty(0, dtype=np.int64)
+            shared = np.bincount(met, minlength=len(sets))
+            near = np.flatnonzero(left & (shared > 0) & (shared >= similarity * (size + size[at] - shared) - 1e-9))
+            left[near] = False
+            links += [(int(rep[at]), int(rep[x])) for x in near]
+            todo += near.tolist()
+    return links
+
+
+def _stars(keyed: DataFrame, key: str) -> DataFrame:
+    """(a, b): each ``rep`` of a key that several share, with the key's smallest."""
+    least = keyed.groupBy(key).agg(F.min("rep").alias("b"), F.max("rep").alias("_most")).where("b < _most").select(key, "b")
+    return keyed.join(least, key).where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
+
+
+def similar_links(texts: DataFrame, clusters: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(a, b): links that connect whatever documents of one cluster are similar. ``texts(rep, text)``,
+    ``clusters(node, component)``; a cluster larger than a tile is dealt like a hot signature."""
+    held = texts.join(clusters.select(F.col("node").alias("rep"), F.col("component").alias("g")), "rep")
+    large = held.groupBy("g").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    large = large.select("g", F.ceil(F.greatest(F.col("n") / SET_TILE, F.col("chars") / SET_CHARS)).alias("tiles")).where("tiles > 2")
+    own = F.pmod(F.xxhash64("rep"), F.col("tiles"))
+    dealt = (
+        held.join(large, "g", "left")
+        .withColumn("other", F.explode(F.when(F.col("tiles").isNull(), F.array(F.lit(-1).cast("bigint"))).otherwise(F.sequence(F.lit(0).cast("bigint"), F.col("tiles") - 1))))
+        .select(F.when(F.col("other") < 0, F.xxhash64("g")).otherwise(F.xxhash64("g", F.least(own, "other"), F.greatest(own, "other"))).alias("g"), F.col("rep").cast("bigint").alias("rep"), "text")
+    )
+
+    def run(batches):
+        now, sets, reps = None, [], []
+        for batch in batches:
+            for g, rep, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.large_binary()), strict=True):
+                if g != now and len(sets):
+                    yield _pairs(similar_forest(sets, np.array(reps), similarity))
+                    sets, reps = [], []
+                now = g
+                sets.append(shingle_hashes(t.as_py(), words, True))
+                reps.append(rep)
+        if len(sets):
+            yield _pairs(similar_forest(sets, np.array(reps), similarity))
+
+    return dealt.repartition("g").sortWithinPartitions("g").mapInArrow(run, "a bigint, b bigint")
+
+
+def alike(docs: DataFrame, words: int = 5, similarity: float = 0.8, bound: int = 9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, component) of every row: component is the smallest id that links reach. Two texts are
+    linked if their sets of shingles have Jaccard ``similarity`` or more, or are equal (null and
+    empty texts have the empty set). Fingerprints within ``bound`` bits and shared bands only say
+    which texts to compare. Null ids are in no component."""
+    found = materialize(marks(docs, words, id_col, text_col), "marks")
+    named = found.where("id is not null")
+    reps = materialize(named.groupBy("same").agg(F.min("id").alias("rep"), F.first("fp").alias("fp")), "representatives")
+    by_bits = materialize(reps.groupBy("fp").agg(F.min("rep").alias("rep")), "fingerprints")
+    banded = named.join(reps.select("same", F.col("rep").alias("id")), ["same", "id"]).select(F.col("id").alias("rep"), F.explode("bands").alias("key"))
+    candidates = links(by_bits, bound).union(_stars(reps.select("rep", "fp"), "fp")).union(_stars(banded, "key"))
+    clusters = materialize(connected_components(candidates), "clusters")
+    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(reps.select("rep").distinct(), "rep", "left_semi")
+    parts = connected_components(similar_links(texts, clusters, words, similarity))
+    by_set = reps.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("same", F.coalesce("component", "rep").alias("component"))
+    return found.join(by_set, "same", "left").select("id", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
+
+
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that stay: of each group the row with the smallest doc_id (of repeated
+    """The rows of ``docs`` that stay: of each group of similar texts (see ``alike``) the row with the smallest doc_id (of repeated
     ids, one row). All columns stay; rows without an id stay."""
-    found = near_duplicates(docs, **options).where("id = component").select(F.col("id").alias("_keep")).distinct()
+    found = alike(docs, **options).where("id = component").select(F.col("id").alias("_keep")).distinct()
     unnamed = docs.where("doc_id is null")
     kept = docs.join(found, docs["doc_id"] == found["_keep"], "left_semi")
     repeated = kept.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").limit(1).count()

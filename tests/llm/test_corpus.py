@@ -97,6 +97,49 @@ def test_keep_one(spark):
     assert kept.columns == ["doc_id", "text", "fp", "score"]
 
 
+def test_keep_one_goes_by_whole_sets(spark):
+    """Pairs of Jaccard similarity 0.8 and little more all lose one, pairs below 0.8 none."""
+    rng, rows, similar = random.Random(11), [], set()
+
+    def grams(words):
+        return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+    for i in range(300):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(rng.randint(90, 300))]
+        other, changed = list(words), 0
+        while True:
+            trial = list(other)
+            trial[rng.randrange(len(words))] = f"n{changed}"
+            a, b = grams(words), grams(trial)
+            if len(a & b) < 0.8 * len(a | b) and i % 2 == 0:
+                break
+            other, changed = trial, changed + 1
+            if len(a & b) < 0.8 * len(a | b):
+                break
+        if i % 2 == 0:
+            similar.add(2 * i + 1)
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert kept == set(range(600)) - similar
+
+
+def test_similar_forest_tiles(spark, monkeypatch):
+    """A cluster dealt over tiles has the components of the exact comparison of all pairs."""
+    monkeypatch.setattr(simhash, "SET_TILE", 8)
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(120)]
+    texts = [" ".join(x if rng.random() > 0.02 else f"n{rng.random()}" for x in base) for _ in range(60)]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(116)} for t in texts]
+    comp = list(range(60))
+    for _ in range(60):
+        for i in range(60):
+            for j in range(60):
+                if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                    comp[i] = comp[j] = min(comp[i], comp[j])
+    got = {r.id: r.component for r in simhash.alike(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert got == dict(enumerate(comp)) and 1 < len(set(comp)) < 60
+
+
 def test_tokens_round_trip(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
