@@ -6,7 +6,8 @@ hosts, the entropies of its contents and of its presentations (the sequence of i
 taken. Content that hardly changes from page to page, or comes from a small stock, has a low entropy:
 such branches hold menus, notices and the like, and are cut from each page; the rest is given out in
 page order. Hosts with few pages lean on the tree of all hosts, and that on what the presentation
-itself says (element and class names).
+itself says (element and class names). What these names surely mark as standing around the article is
+cut at any entropy, unless it wraps half of the host's text.
 
 Copies of a page count once for a host. The counts are grouped by host, node and content, never by
 host alone, so that a host may hold any share of the pages.
@@ -104,15 +105,37 @@ class Page:
         flush()
 
 
-def presentation(node: str) -> float:
-    """What a node's own way says: 0 for what stands around the article, 1 else."""
-    inside = False
-    for step in node.split(">")[1:]:
-        name, _, marks = step.partition(".")
+def _steps(node: str) -> list[str]:
+    """A node's ancestors and itself, as nodes."""
+    at = [i for i, c in enumerate(node) if c == ">"]
+    return [node[:i] for i in at[1:]] + [node] if at else []
+
+
+def presentation(node: str, wrappers: frozenset[str] = frozenset()) -> tuple[float, bool]:
+    """What a node's own way says: 0 for what is marked as standing around the article, 1 else; and
+    whether that decides. It does not inside an article. Marks of ``wrappers``, and of whatever holds
+    a main element, say nothing."""
+    inside, look, sure = False, 1.0, False
+    for way in _steps(node):
+        name, _, marks = way[way.rfind(">") + 1 :].partition(".")
+        if name == "main":
+            look, sure = 1.0, False
         inside = inside or name in ("article", "main")
-        if name in AROUND or name == "header" and not inside or marks and name not in ("html", "body", "article", "main") and _AROUND_WORD.search(marks):
-            return 0.0
-    return 1.0
+        if way not in wrappers and (name in AROUND or name == "header" and not inside or marks and name not in ("html", "body", "article", "main") and _AROUND_WORD.search(marks)):
+            look, sure = 0.0, sure or not inside
+    return look, sure
+
+
+def wrappers_of(sizes: dict[str, int]) -> frozenset[str]:
+    """Of nodes and their characters, over a host: the ways that several nodes share and that hold half of
+    all text or more. They are what the page is wrapped in, whatever they are called."""
+    inside: dict[str, list[int]] = {}
+    for node, size in sizes.items():
+        for way in _steps(node):
+            held = inside.setdefault(way, [0, 0])
+            held[0] += size
+            held[1] += 1
+    return frozenset(way for way, (size, nodes) in inside.items() if nodes > 1 and 2 * size >= sum(sizes.values()))
 
 
 def host_of(url: str | None) -> str:
@@ -126,7 +149,8 @@ def _key(text: str, host: str) -> int:
 
 
 def observations(pages: DataFrame) -> DataFrame:
-    """(host, node, page, content, style): what each node holds on each page, one row for each node."""
+    """(host, node, page, content, style, size): what each node holds on each page, one row for each
+    node."""
 
     def run(batches):
         for batch in batches:
@@ -137,12 +161,12 @@ def observations(pages: DataFrame) -> DataFrame:
                 for node, text in page.blocks:
                     texts.setdefault(node, []).append(text)
                 whole = _key(" ".join(t for _, t in page.blocks), "")
-                rows += [(host, node, whole, _key(" ".join(own), host), _key(" ".join(page.children.get(node, [])), "")) for node, own in texts.items()]
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["host", "node", "page", "content", "style"])
+                rows += [(host, node, whole, _key(" ".join(own), host), _key(" ".join(page.children.get(node, [])), ""), sum(map(len, own))) for node, own in texts.items()]
+            columns = list(zip(*rows, strict=True)) or [[]] * 6
+            kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["host", "node", "page", "content", "style", "size"])
 
-    return pages.select("url", "html").mapInArrow(run, "host string, node string, page bigint, content bigint, style bigint")
+    return pages.select("url", "html").mapInArrow(run, "host string, node string, page bigint, content bigint, style bigint, size bigint")
 
 
 def _entropy(df: DataFrame, by: list[str], of: str, name: str) -> DataFrame:
@@ -153,26 +177,33 @@ def _entropy(df: DataFrame, by: list[str], of: str, name: str) -> DataFrame:
 
 
 def importance(seen: DataFrame) -> DataFrame:
-    """(host, node, m, h, all_m, all_h): pages and composite entropy of each node, for its host and
-    for all hosts. A node's contents and presentations both count; what varies most decides."""
-    once = seen.groupBy("host", "node", "page", "content", "style").agg(F.lit(1).cast("bigint").alias("n"))
-    counted = once.groupBy("host", "node", "content", "style").agg(F.sum("n").alias("n"))
+    """(host, node, m, h, all_m, all_h, size): pages and composite entropy of each node, for its host
+    and for all hosts, and its characters on the host. A node's contents and presentations both count; what varies most decides."""
+    once = seen.groupBy("host", "node", "page", "content", "style").agg(F.lit(1).cast("bigint").alias("n"), F.max("size").alias("size"))
+    counted = once.groupBy("host", "node", "content", "style").agg(F.sum("n").alias("n"), F.sum("size").alias("size"))
 
     def both(by):
         own = _entropy(counted, by, "content", "c").join(_entropy(counted, by, "style", "s"), by)
         return own.select(*by, F.col("m_c").alias("m"), F.greatest("h_c", F.when(F.col("m_s") > 1, F.col("h_s")).otherwise(0.0)).alias("h"))
 
     every = both(["node"]).select("node", F.col("m").alias("all_m"), F.col("h").alias("all_h"))
-    return both(["host", "node"]).join(every, "node")
+    sizes = counted.groupBy("host", "node").agg(F.sum("size").alias("size"))
+    return both(["host", "node"]).join(sizes, ["host", "node"]).join(every, "node")
 
 
-def weight(node: str, m: float, h: float, all_m: float, all_h: float) -> float:
+def weight(node: str, m: float, h: float, all_m: float, all_h: float, wrappers: frozenset[str] = frozenset()) -> float:
     """Importance of a node: its host's entropy, leaning on all hosts' and on the presentation. What
-    the presentation marks as standing around the article stays below the border."""
-    look = presentation(node)
+    the presentation surely marks as standing around the article stays below the border."""
+    look, sure = presentation(node, wrappers)
     every = (all_m * all_h + LEAN * look) / (all_m + LEAN)
     own = (m * h + LEAN * every) / (m + LEAN)
-    return own * (1.0 if look else 0.4)
+    return own * (0.4 if sure else 1.0)
+
+
+def kept_nodes(tree: list[dict]) -> dict[str, bool]:
+    """For each node of a host, whether its text stays."""
+    wrappers = wrappers_of({t["node"]: t["size"] for t in tree})
+    return {t["node"]: weight(*(t[k] for k in ("node", "m", "h", "all_m", "all_h")), wrappers) >= BORDER for t in tree}
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -183,7 +214,7 @@ def extract(pages: DataFrame) -> DataFrame:
     nodes, whose number depends on the host's layouts and not on its pages."""
     seen = materialize(observations(pages), "style-nodes")
     tree = materialize(importance(seen), "style-tree")
-    trees = tree.groupBy("host").agg(F.collect_list(F.struct("node", "m", "h", "all_m", "all_h")).alias("tree"))
+    trees = tree.groupBy("host").agg(F.collect_list(F.struct("node", "m", "h", "all_m", "all_h", "size")).alias("tree"))
     return _cut(pages, F.broadcast(trees) if tree.count() <= BROADCAST_ROWS else trees)
 
 
@@ -201,9 +232,9 @@ def _cut(pages: DataFrame, trees: DataFrame) -> DataFrame:
                 if own_host not in known:
                     if len(known) > 5000:
                         known.clear()
-                    known[own_host] = {t["node"]: weight(**t) >= BORDER for t in lists[i].as_py() or []}
+                    known[own_host] = kept_nodes(lists[i].as_py() or [])
                 keep = known[own_host]
-                out.append(" ".join(t for node, t in Page(source or "").blocks if keep.get(node, presentation(node) > 0)))
+                out.append(" ".join(t for node, t in Page(source or "").blocks if keep.get(node, presentation(node)[0] > 0)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kind = pages.schema["page_id"].dataType.simpleString()

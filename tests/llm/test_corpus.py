@@ -255,6 +255,20 @@ def test_html(spark):
     assert got[50].text == got[51].text == ""
 
 
+@pytest.mark.parametrize("wrap", ["<form id=aspnetForm>{}</form>", "<div class='has-sidebar'>{}</div>", "<div class='content-sidebar'><div class='search-results'>{}</div></div>"])
+def test_html_wrappers(spark, wrap):
+    rng = random.Random(7)
+    rows, want = [], {}
+    for i in range(12):
+        text = [" ".join(f"w{rng.choice('abcdefgh')}{rng.choice('ijklmnop')}{rng.choice('qrstuvw')}" for _ in range(60)) for _ in range(2)]
+        body = f"<nav><a>Menu {text[1][:9]}</a></nav><div class=text><p>{text[0]}</p><div class={'columns' if i % 2 else 'side-by-side'}>{text[1]}</div></div><div class=sidebar>Ad {text[0][:9]}</div><footer>f {text[0][9:17]}</footer>"
+        inner = body if i % 2 else body.replace("<div class=text>", "<main>").replace("</div></div><div", "</div></main><div")
+        rows.append((i, f"http://h{i % 2}.com/{i}", f"<html><body>{wrap.format(inner)}</body></html>"))
+        want[i] = text
+    for r in html_text.extract(spark.createDataFrame(rows, "page_id int, url string, html string")).collect():
+        assert r.text == " ".join(want[r.page_id])
+
+
 def brute_segments(s):
     best = max(((sum(s[i:j]), -(i - j), i, j) for i in range(len(s)) for j in range(i + 1, len(s) + 1)), default=(0,), key=lambda x: (x[0], -x[1] if len(x) > 1 else 0))
     if best[0] <= 0:
