@@ -9,7 +9,9 @@ page order. Hosts with few pages lean on the tree of all hosts, and that on what
 itself says (element and class names). What these names surely mark as standing around the article is
 cut at any entropy, unless it wraps half of the host's text.
 
-Copies of a page count once for a host. The counts are grouped by host, node and content, never by
+Copies of a page count once for a host, and copies of a node's content once for the node. A content
+that few pages of a host share stays by its own worth (1 less the logarithm of the pages that hold it
+over that of all the node's) where its node alone would be cut. The counts are grouped by host, node and content, never by
 host alone, so that a host may hold any share of the pages.
 """
 
@@ -20,7 +22,7 @@ import re
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reposcope.llm.common import materialize
@@ -148,43 +150,54 @@ def _key(text: str, host: str) -> int:
     return xxhash.xxh64_intdigest(plain.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
+def _doc() -> Column:
+    return F.xxhash64("url", "html")
+
+
 def observations(pages: DataFrame) -> DataFrame:
-    """(host, node, page, content, style, size): what each node holds on each page, one row for each
-    node."""
+    """(doc, host, node, page, content, style, size): what each node holds on each page, one row for
+    each node; ``doc`` as in ``_doc``."""
 
     def run(batches):
         for batch in batches:
             rows: list[tuple] = []
-            for url, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for url, source, doc in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 page, host = Page(source or ""), host_of(url)
                 texts: dict[str, list[str]] = {}
                 for node, text in page.blocks:
                     texts.setdefault(node, []).append(text)
                 whole = _key(" ".join(t for _, t in page.blocks), "")
-                rows += [(host, node, whole, _key(" ".join(own), host), _key(" ".join(page.children.get(node, [])), ""), sum(map(len, own))) for node, own in texts.items()]
-            columns = list(zip(*rows, strict=True)) or [[]] * 6
-            kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["host", "node", "page", "content", "style", "size"])
+                rows += [(doc, host, node, whole, _key(" ".join(own), host), _key(" ".join(page.children.get(node, [])), ""), sum(map(len, own))) for node, own in texts.items()]
+            columns = list(zip(*rows, strict=True)) or [[]] * 7
+            kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["doc", "host", "node", "page", "content", "style", "size"])
 
-    return pages.select("url", "html").mapInArrow(run, "host string, node string, page bigint, content bigint, style bigint, size bigint")
+    return pages.select("url", "html", _doc().alias("doc")).mapInArrow(run, "doc bigint, host string, node string, page bigint, content bigint, style bigint, size bigint")
 
 
 def _entropy(df: DataFrame, by: list[str], of: str, name: str) -> DataFrame:
-    """Entropy of ``of`` over the logarithm of the pages, and the pages: 1 if each page differs."""
+    """Entropy of ``of`` over the logarithm of the pages, the same with every value counted once, and
+    the pages: 1 if each page differs."""
     one = df.groupBy(*by, of).agg(F.sum("n").alias("n"))
-    whole = one.groupBy(*by).agg(F.sum("n").alias("_m"), F.sum(F.expr("n * log2(n)")).alias("_s"))
-    return whole.select(*by, F.col("_m").alias(f"m_{name}"), F.when(F.col("_m") > 1, 1 - F.col("_s") / (F.col("_m") * F.log2("_m"))).otherwise(1.0).alias(f"h_{name}"))
+    whole = one.groupBy(*by).agg(F.sum("n").alias("_m"), F.sum(F.expr("n * log2(n)")).alias("_s"), F.count("*").alias("_d"))
+    many = F.col("_m") > 1
+    return whole.select(
+        *by, F.col("_m").alias(f"m_{name}"), F.when(many, 1 - F.col("_s") / (F.col("_m") * F.log2("_m"))).otherwise(1.0).alias(f"h_{name}"),
+        F.when(many, F.log2("_d") / F.log2("_m")).otherwise(1.0).alias(f"d_{name}"),
+    )
 
 
 def importance(seen: DataFrame) -> DataFrame:
     """(host, node, m, h, all_m, all_h, size): pages and composite entropy of each node, for its host
-    and for all hosts, and its characters on the host. A node's contents and presentations both count; what varies most decides."""
+    and for all hosts, and its characters on the host. A node's contents and presentations both count;
+    what varies most decides. Each content counts once, so that copies under differing menus do not
+    lower it."""
     once = seen.groupBy("host", "node", "page", "content", "style").agg(F.lit(1).cast("bigint").alias("n"), F.max("size").alias("size"))
     counted = once.groupBy("host", "node", "content", "style").agg(F.sum("n").alias("n"), F.sum("size").alias("size"))
 
     def both(by):
         own = _entropy(counted, by, "content", "c").join(_entropy(counted, by, "style", "s"), by)
-        return own.select(*by, F.col("m_c").alias("m"), F.greatest("h_c", F.when(F.col("m_s") > 1, F.col("h_s")).otherwise(0.0)).alias("h"))
+        return own.select(*by, F.col("m_c").alias("m"), F.greatest("d_c", F.when(F.col("m_s") > 1, F.col("h_s")).otherwise(0.0)).alias("h"))
 
     every = both(["node"]).select("node", F.col("m").alias("all_m"), F.col("h").alias("all_h"))
     sizes = counted.groupBy("host", "node").agg(F.sum("size").alias("size"))
@@ -200,10 +213,32 @@ def weight(node: str, m: float, h: float, all_m: float, all_h: float, wrappers:
     return own * (0.4 if sure else 1.0)
 
 
-def kept_nodes(tree: list[dict]) -> dict[str, bool]:
-    """For each node of a host, whether its text stays."""
-    wrappers = wrappers_of({t["node"]: t["size"] for t in tree})
-    return {t["node"]: weight(*(t[k] for k in ("node", "m", "h", "all_m", "all_h")), wrappers) >= BORDER for t in tree}
+def rare_contents(seen: DataFrame, tree: DataFrame) -> DataFrame:
+    """(doc, rare array<struct<node, h>>): for each page the nodes whose own content says more on this
+    host than the node does on the whole (1 if no other page holds it), if the node may be cut."""
+    one = seen.groupBy("host", "node", "content", "page").agg(F.lit(1).alias("n")).groupBy("host", "node", "content").agg(F.count("*").alias("n"))
+    least = F.expr(f"(m * h + {LEAN} * all_m * all_h / (all_m + {LEAN})) / (m + {LEAN})")
+    doubtful = tree.where((least < BORDER) & (F.col("m") > 1)).select("host", "node", "m", "h")
+    rare = one.join(doubtful, ["host", "node"]).withColumn("own", 1 - F.log2("n") / F.log2("m")).where("own > h").select("host", "node", "content", "own")
+    return seen.join(rare, ["host", "node", "content"]).groupBy("doc").agg(F.collect_set(F.struct("node", F.col("own").alias("h"))).alias("rare"))
+
+
+class Kept:
+    """What stays of a host's pages."""
+
+    def __init__(self, tree: list[dict]):
+        self.wrappers = wrappers_of({t["node"]: t["size"] for t in tree})
+        self.tree = {t["node"]: t for t in tree}
+        self.nodes = {n: self.stays(n, t["h"]) for n, t in self.tree.items()}
+
+    def stays(self, node: str, h: float) -> bool:
+        t = self.tree[node]
+        return weight(node, t["m"], h, t["all_m"], t["all_h"], self.wrappers) >= BORDER
+
+    def text(self, source: str, rare: list[dict]) -> str:
+        own = {r["node"]: r["h"] for r in rare}
+        keep = self.nodes | {n: self.stays(n, h) for n, h in own.items() if not self.nodes.get(n, True)}
+        return " ".join(t for node, t in Page(source).blocks if keep.get(node, presentation(node)[0] > 0))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -215,29 +250,29 @@ def extract(pages: DataFrame) -> DataFrame:
     seen = materialize(observations(pages), "style-nodes")
     tree = materialize(importance(seen), "style-tree")
     trees = tree.groupBy("host").agg(F.collect_list(F.struct("node", "m", "h", "all_m", "all_h", "size")).alias("tree"))
-    return _cut(pages, F.broadcast(trees) if tree.count() <= BROADCAST_ROWS else trees)
+    rare = materialize(rare_contents(seen, tree), "rare-contents")
+    return _cut(pages, F.broadcast(trees) if tree.count() <= BROADCAST_ROWS else trees, F.broadcast(rare) if rare.count() <= BROADCAST_ROWS else rare)
 
 
-def _cut(pages: DataFrame, trees: DataFrame) -> DataFrame:
+def _cut(pages: DataFrame, trees: DataFrame, rare: DataFrame) -> DataFrame:
     at = F.instr(F.coalesce("url", F.lit("")), "://")
     rest = F.when(at > 0, F.expr("substring(url, instr(url, '://') + 3)")).otherwise("")
     host = F.lower(F.regexp_extract(rest, "^([^/?#]*)", 1))
 
     def run(batches):
-        known: dict[str, dict[str, bool]] = {}
+        known: dict[str, Kept] = {}
         for batch in batches:
             out = []
-            hosts, lists = batch.column(3).to_pylist(), batch.column(4)
+            hosts, lists, rares = batch.column(3).to_pylist(), batch.column(4), batch.column(5).to_pylist()
             for i, (source, own_host) in enumerate(zip(batch.column(2).to_pylist(), hosts, strict=True)):
                 if own_host not in known:
                     if len(known) > 5000:
                         known.clear()
-                    known[own_host] = kept_nodes(lists[i].as_py() or [])
-                keep = known[own_host]
-                out.append(" ".join(t for node, t in Page(source or "").blocks if keep.get(node, presentation(node)[0] > 0)))
+                    known[own_host] = Kept(lists[i].as_py() or [])
+                out.append(known[own_host].text(source or "", rares[i] or []))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    joined = pages.select("page_id", "url", "html").withColumn("host", host).join(trees, "host", "left")
-    return joined.select("page_id", "url", "html", "host", "tree").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars bigint")
+    joined = pages.select("page_id", "url", "html").withColumns({"host": host, "doc": _doc()}).join(trees, "host", "left").join(rare, "doc", "left")
+    return joined.select("page_id", "url", "html", "host", "tree", "rare").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars bigint")
 

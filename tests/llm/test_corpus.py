@@ -269,6 +269,20 @@ def test_html_wrappers(spark, wrap):
         assert r.text == " ".join(want[r.page_id])
 
 
+@pytest.mark.parametrize("copies, single", [(100, 50), (200, 6)])
+def test_html_copies_leave_unique_articles(spark, copies, single):
+    """One article under differing menus, on most of a host's pages, does not cut the others' articles."""
+    rng, rows, want = random.Random(9), [], {}
+    for i in range(copies + single):
+        words = " ".join(f"w{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}" for _ in range(30)) if i >= copies else "the one copied article"
+        menu = "".join(chr(97 + int(c)) for c in str(i))
+        rows.append((i, f"http://h.com/{i}", f"<html><body><nav>Menu {menu}</nav><div class=text>{words}</div><div class=foot>All rights</div></body></html>"))
+        want[i] = words
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    assert all(got[i] == want[i] for i in range(copies, copies + single))
+    assert single < 10 or all(got[i] == want[i] for i in range(copies))
+
+
 def brute_segments(s):
     best = max(((sum(s[i:j]), -(i - j), i, j) for i in range(len(s)) for j in range(i + 1, len(s) + 1)), default=(0,), key=lambda x: (x[0], -x[1] if len(x) > 1 else 0))
     if best[0] <= 0:
