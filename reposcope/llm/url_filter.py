@@ -1,10 +1,10 @@
 """URL filter: host and path rules first, then the ratio of two character language models.
 
 The models are Markov models of the characters of accepted and of rejected URLs, orders 0 to 4, each
-order smoothed by the one below it (hierarchical Dirichlet). Counts cover all labelled URLs; they
-are summed into a fixed number of hashed cells for each order, so the model has the same size for
-any input and may be broadcast. The score is the difference of the log-likelihoods over the length;
-its border is calibrated on URLs that did not count.
+order smoothed by the one below it (hierarchical Dirichlet). Counts cover all labelled URLs and are
+exact: a key holds the order and all bytes, so that no two contexts share a count. The model is as
+large as the number of distinct keys, 24 bytes each, and is broadcast. The score is the difference of
+the log-likelihoods over the length; its border is calibrated on URLs that did not count.
 """
 
 from __future__ import annotations
@@ -14,10 +14,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ORDERS, CELLS, STRENGTH = 5, 1 << 16, 4.0
+ORDERS, STRENGTH = 5, 4.0
 BINS, SPAN = 400, 4.0
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-MODEL_SCHEMA = "c int, k int, cell int, n bigint"
+MODEL_SCHEMA = "label int, key bigint, n bigint"
 
 
 def with_parts(df: DataFrame, url_col: str = "url") -> DataFrame:
@@ -42,78 +42,84 @@ def rule_of(rules: dict[str, str], host: Column, path: Column) -> tuple[Column,
     return rule, verdict
 
 
-def _cells(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For all characters (bytes) of all texts: cells of the context and of context and character,
-    for each order, and where each text starts."""
+def _keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For all characters (bytes) of all texts: keys of the context and of context and character, for
+    each order, and where each text starts. A key is up to five bytes below what it counts."""
     pad = b"\x02" * (ORDERS - 1)
     raw = [pad + t.encode("utf-8", "surrogatepass") + b"\x03" for t in texts]
-    data = np.frombuffer(b"".join(raw), dtype=np.uint8).astype(np.uint64)
+    data = np.frombuffer(b"".join(raw), dtype=np.uint8).astype(np.int64)
     sizes = np.array([len(r) - len(pad) for r in raw])
     start = np.cumsum(sizes + len(pad)) - sizes
     at = np.repeat(start - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())
     context, own = np.empty((ORDERS, len(at)), dtype=np.int64), np.empty((ORDERS, len(at)), dtype=np.int64)
-    mixed = np.zeros(len(at), dtype=np.uint64)
+    held = np.zeros(len(at), dtype=np.int64)
     for k in range(ORDERS):
         if k:
-            mixed = (mixed + data[at - k] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        context[k] = (mixed * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(48)
-        own[k] = ((mixed ^ (data[at] + np.uint64(257))) * np.uint64(0x94D049BB133111EB)) >> np.uint64(48)
+            held |= data[at - k] << (8 * k)
+        context[k] = held | (2 * k << 40)
+        own[k] = held | data[at] | (2 * k + 1 << 40)
     return context, own, np.r_[0, np.cumsum(sizes)[:-1]].astype(np.int64)
 
 
 def count(labelled: DataFrame) -> DataFrame:
-    """Summed counts of ``labelled(text, label)``, label 1 for rejected: (c, k, cell, n) with c = 2 *
-    label + (0: contexts, 1: contexts and characters)."""
+    """Summed counts of ``labelled(text, label)``, label 1 for rejected: (label, key, n)."""
 
     def run(batches):
-        totals = np.zeros((4, ORDERS, CELLS), dtype=np.int64)
         for batch in batches:
             labels = batch.column(1).to_numpy(zero_copy_only=False)
             for label in (0, 1):
                 texts = batch.column(0).filter(pa.array(labels == label)).to_pylist()
                 if texts:
-                    for j, cells in enumerate(_cells(texts)[:2]):
-                        for k in range(ORDERS):
-                            totals[2 * label + j, k] += np.bincount(cells[k], minlength=CELLS)
-        c, k, cell = np.nonzero(totals)
-        for a in range(0, len(c), 100_000):
-            part = slice(a, a + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(x[part].astype(np.int32)) for x in (c, k, cell)] + [pa.array(totals[c[part], k[part], cell[part]])], ["c", "k", "cell", "n"])
+                    key, n = np.unique(np.concatenate([x.ravel() for x in _keys(texts)[:2]]), return_counts=True)
+                    for a in range(0, len(key), 100_000):
+                        part = slice(a, a + 100_000)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key[part]), label, dtype=np.int32)), pa.array(key[part]), pa.array(n[part].astype(np.int64))], ["label", "key", "n"])
 
-    return labelled.select("text", "label").mapInArrow(run, MODEL_SCHEMA).groupBy("c", "k", "cell").agg(F.sum("n").alias("n"))
+    return labelled.select("text", "label").mapInArrow(run, MODEL_SCHEMA).groupBy("label", "key").agg(F.sum("n").alias("n"))
 
 
-def model_of(counts: DataFrame) -> np.ndarray:
-    """Array (4, orders, cells), 10 MB at any size of the input."""
-    model = np.zeros((4, ORDERS, CELLS))
-    for r in counts.toLocalIterator():
-        model[r["c"], r["k"], r["cell"]] = r["n"]
-    return model
+#: Sorted keys, and the counts of accepted and of rejected URLs beside them.
+Model = tuple[np.ndarray, np.ndarray]
 
 
-def ratios(texts: list[str], model: np.ndarray) -> np.ndarray:
+def model_of(counts: DataFrame) -> Model:
+    rows = counts.select("label", "key", "n").toArrow()
+    label, key, n = (rows.column(i).to_numpy() for i in range(3))
+    keys = np.unique(key)
+    model = np.zeros((2, len(keys)))
+    model[label, np.searchsorted(keys, key)] = n
+    return keys, model
+
+
+def ratios(texts: list[str], model: Model) -> np.ndarray:
     """Log-likelihood as rejected less as accepted, over the length."""
     if not texts:
         return np.empty(0)
-    context, own, start = _cells(texts)
-    logs = []
-    for label in (1, 0):
-        p = np.full(context.shape[1], 1 / 256)
-        for k in range(ORDERS):
-            p = (np.minimum(model[2 * label + 1, k][own[k]], model[2 * label, k][context[k]]) + STRENGTH * p) / (model[2 * label, k][context[k]] + STRENGTH)
-        logs.append(np.log(p))
+    keys, counts = model
+    context, own, start = _keys(texts)
+
+    def found(asked):
+        if not len(keys):
+            return np.zeros((2, len(asked)))
+        at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+        return np.where(keys[at] == asked, counts[:, at], 0.0)
+
+    p = np.full((2, context.shape[1]), 1 / 256)
+    for k in range(ORDERS):
+        p = (found(own[k]) + STRENGTH * p) / (found(context[k]) + STRENGTH)
     size = np.diff(np.r_[start, context.shape[1]])
-    return np.add.reduceat(logs[0] - logs[1], start) / size
+    return np.add.reduceat(np.log(p[1]) - np.log(p[0]), start) / size
 
 
-def score(df: DataFrame, model: np.ndarray, text_col: str, keep: list[str]) -> DataFrame:
+def score(df: DataFrame, model: Model, text_col: str, keep: list[str]) -> DataFrame:
     """``keep`` columns and llr double."""
-    shared = df.sparkSession.sparkContext.broadcast(model.astype(np.float32))
+    shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         own = shared.value
         for batch in batches:
-            made = ratios([t or "" for t in batch.column(0).to_pylist()], own)
+            texts = [t or "" for t in batch.column(0).to_pylist()]
+            made = np.concatenate([np.empty(0)] + [ratios(texts[i : i + 1000], own) for i in range(0, len(texts), 1000)])
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(made)], [*keep, "llr"])
 
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
@@ -138,10 +144,10 @@ def judge(pages: DataFrame, rules: dict[str, str], id_col: str = "page_id", url_
     which the models are made (four fifths count, one fifth calibrates, by a hash of the URL); the
     other rows are judged by the models. Without rows of both labels the border is 0, and the verdict
     allow at it. Null URLs have an empty host and path. Repeated rows are judged alike. The models
-    read host and path with the digits as one sign."""
+    read whole URLs as they are."""
     base = with_parts(pages.select(F.col(id_col), F.col(url_col).alias("url")))
     rule, verdict = rule_of(rules, F.col("host"), F.col("path"))
-    base = base.withColumns({"rule": rule, "_own": verdict, "_text": F.regexp_replace(F.concat("host", "path"), "[0-9]+", "0")})
+    base = base.withColumns({"rule": rule, "_own": verdict, "_text": F.coalesce("url", F.lit(""))})
     labelled = base.where("_own is not null").select(F.col("_text").alias("text"), (F.col("_own") == "block").cast("int").alias("label"), (F.pmod(F.xxhash64("url"), F.lit(5)) == 0).alias("held"))
     model = model_of(count(labelled.where("not held")))
     border = calibrate(score(labelled.where("held"), model, "text", ["label"]))

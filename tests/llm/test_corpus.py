@@ -223,6 +223,37 @@ def test_url_models_tell_classes_apart(spark):
     assert bad > 0 > good
 
 
+def test_url_models_count_exactly(spark):
+    """Scores equal those from plain counts of n-grams, for many more n-grams than 65,536."""
+    rng = random.Random(13)
+    signs = "abcdefghijklmnopqrstuvwxyz0123456789/?&=#.-_%ABCDEFGHIJKLMNOP"
+    rows = [("".join(rng.choice(signs) for _ in range(100)), i % 2) for i in range(2000)]
+    seen = [{}, {}]
+    for text, label in rows:
+        raw = b"\x02" * 4 + text.encode() + b"\x03"
+        for i in range(4, len(raw)):
+            for k in range(5):
+                for key in ((k, raw[i - k : i]), (k, raw[i - k : i], raw[i])):
+                    seen[label][key] = seen[label].get(key, 0) + 1
+    asked = ["http://a.b/c?d=1", "", *("".join(rng.choice(signs) for _ in range(60)) for _ in range(5)), rows[3][0]]
+    model = url_filter.model_of(url_filter.count(spark.createDataFrame(rows, "text string, label int")))
+    for text, got in zip(asked, url_filter.ratios(asked, model), strict=True):
+        raw, total = b"\x02" * 4 + text.encode() + b"\x03", 0.0
+        for i in range(4, len(raw)):
+            for label in (0, 1):
+                p = 1 / 256
+                for k in range(5):
+                    p = (seen[label].get((k, raw[i - k : i], raw[i]), 0) + 4 * p) / (seen[label].get((k, raw[i - k : i]), 0) + 4)
+                total += (2 * label - 1) * np.log(p)
+        assert abs(got - total / (len(raw) - 4)) < 1e-9
+
+
+def test_url_models_read_whole_urls(spark):
+    rows = [(i, f"http://h.{('net', 'org')[i % 2]}/fr/{i}?{('spam', 'book')[i % 2]}={i}#x") for i in range(200)] + [(900, "http://e.com/a?spam=1#x"), (901, "http://e.com/a?book=1#x")]
+    got = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(rows, "page_id bigint, url string"), {"net/": "block", "org/fr/": "allow"}).collect()}
+    assert got[900].llr > got[901].llr
+
+
 def test_winnowing(spark):
     rows = {r["doc_id"]: r for r in winnow.beside_next(odd_docs(spark).where("doc_id <> 22")).collect()}
     order = sorted(rows, reverse=True)
