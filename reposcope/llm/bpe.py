@@ -3,11 +3,11 @@
 Encoding. The BPE of every prefix of a piece ends in one token: the only suffix of it that is a
 token and may stand after the last token of what comes before (two tokens may stand side by side
 if the BPE of their bytes is these two). A state of the transducer is the last settled token and
-the bytes since then; a step finds the last token at the new position, drops the starts from which
-no token can go on, and emits all tokens that the remaining ones agree upon, so that never more
-bytes than the longest token wait. States and steps are made when met and kept in a table of bounded
-size; a short piece leaves a state seldom met by a search over what is left of it, which costs less
-than states that nothing comes to again and gives the same tokens.
+the bytes since then; it knows the last token at each of them, and the longest suffix with which a
+token begins. A step by a byte takes that suffix one further, finds the last token at the new
+position, and emits all tokens that the starts from which one may still go on agree upon, so that
+never more bytes than the longest token wait. States and steps are made when first met and looked up
+from then on; a full table is emptied and fills again.
 
 Decoding. Ids give bytes; an automaton over byte classes tells how many bytes at the end of a
 buffer belong to a character that is not complete, so text can be given out piece by piece.
@@ -19,6 +19,7 @@ import base64
 import gc
 import hashlib
 import re
+from bisect import insort
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -27,12 +28,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Entries of a worker's tables; a full table is emptied.
-CACHE_ROWS, STATES = 400_000, 100_000
+from reposcope.llm.common import parts
+
+#: Entries of a worker's tables (pieces, states, pairs of tokens); a full table is emptied.
+CACHE_ROWS, STATES, PAIRS = 400_000, 300_000, 400_000
 #: Texts encoded at once: what waits in a worker is theirs.
 BATCH = 256
-#: New steps are made for a state that short pieces have left so often without one.
-MEETINGS = 16
+#: Ids decoded at once.
+STREAM = 4096
 #: White space in a text other than these four makes the splitting by white space unsafe.
 _EXOTIC = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
 #: White space and a word of Latin letters that a mark (no apostrophe) or white space ends, or
@@ -41,6 +44,7 @@ _CHUNK = re.compile("[ \n\t\r]*[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[ \n\t\r!-&(-/:-@\\[-`
 #: A space and letters: one pre-token, where chunks() gives it as a piece.
 WORD = re.compile(" [A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 _LONG = 64
+_TOKEN = (1 << 20) - 1
 
 
 def chunks(text: str) -> list[str] | None:
@@ -63,6 +67,7 @@ class PieceCache:
         try:
             return self._encode(texts)
         finally:
+            gc.freeze()
             gc.enable()
 
     def _encode(self, texts: list[str]) -> list:
@@ -70,54 +75,65 @@ class PieceCache:
         if len(pieces) > self.rows:
             pieces.clear()
         split = [chunks(t) for t in texts]
-        found = [None if s is None else list(map(pieces.get, s)) for s in split]
-        new = list({c for s, f in zip(split, found, strict=True) if f is not None and None in f for c, v in zip(s, f, strict=True) if v is None})
-        answers = dict(zip(new, self.ask(new), strict=True)) if new else {}
-        out = []
-        for t, s, f in zip(texts, split, found, strict=True):
-            if f is None:
-                f = self.ask([t])
-            elif None in f:
-                f = [answers[c] if v is None else v for c, v in zip(s, f, strict=True)]
-            out.append(glue.join(f))
-        pieces.update((c, v) for c, v in answers.items() if len(c) <= _LONG)
+        new = list(set().union(*(s for s in split if s is not None)) - pieces.keys())
+        if new:
+            pieces.update(zip(new, self.ask(new), strict=True))
+        known = pieces.__getitem__
+        out = [glue.join(self.ask([t]) if s is None else map(known, s)) for t, s in zip(texts, split, strict=True)]
+        for piece in new:
+            if len(piece) > _LONG:
+                del pieces[piece]
         return out
 
 
+class _Suffix:
+    """Bytes with which a token begins, the tokens that end with them (length, token; longest first),
+    the lengths of their ends with which a longer token begins, and where a byte leads."""
+
+    __slots__ = ("goes", "next", "text", "tokens")
+
+    def __init__(self, text: bytes, ranks: dict[bytes, int], beginnings: set[bytes]):
+        ends = [(len(text) - i, text[i:]) for i in range(len(text))]
+        self.text = text
+        self.tokens = tuple((n, ranks[e]) for n, e in ends if e in ranks)
+        self.goes = tuple(n for n, e in ends if e in beginnings)
+        self.next: dict[int, _Suffix] = {}
+
+
 class Transducer:
     """Encodes the bytes of one pre-token."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.longest = max(map(len, ranks))
-        self.prefixes = {t[:i] for t in ranks for i in range(1, len(t))}
-        self.suffixes = {t[i:] for t in ranks for i in range(len(t))}
         self.token = {i: t for t, i in ranks.items()}
-        self.trie = self._trie()
+        self.beginnings = {t[:i] for t in ranks for i in range(1, len(t))}
+        self.suffixes: dict[bytes, _Suffix] = {}
         self.spines: dict[tuple[int, int], list[tuple[bytes, float]]] = {}
-        self.beside: dict[tuple[int, int], bool] = {}
         self.clear()
 
     def clear(self) -> None:
-        self.met: dict[int, int] = {}
+        self.beside: dict[int, bool] = {}
         self.number: dict[tuple[int, bytes], int] = {}
-        self.states: list[tuple[int, bytes, list]] = []
+        #: Last settled token, bytes since then, the last token at each of them with its start (start
+        #: times 2^20 and token), suffix.
+        self.states: list[tuple[int, bytes, tuple, _Suffix]] = []
         self.steps: dict[int, tuple[int, tuple[int, ...]]] = {}
-        self._state(-1, b"", [])
+        self._state(-1, b"", (), self._suffix(b""))
 
-    def _trie(self) -> dict[int, tuple]:
-        """byte -> (token or None, what may follow) of every beginning of a token."""
-        nodes: dict[bytes, dict[int, tuple]] = {p: {} for p in self.prefixes} | {b"": {}}
-        none: dict[int, tuple] = {}
-        for part in self.prefixes | self.ranks.keys():
-            nodes[part[:-1]][part[-1]] = self.ranks.get(part), nodes.get(part, none)
-        return nodes[b""]
+    def _suffix(self, text: bytes) -> _Suffix:
+        """Of the longest end of the text that a token is or begins with."""
+        while text and text not in self.beginnings and text not in self.ranks:
+            text = text[1:]
+        known = self.suffixes.get(text)
+        if known is None:
+            known = self.suffixes[text] = _Suffix(text, self.ranks, self.beginnings)
+        return known
 
-    def _state(self, before: int, pending: bytes, last: list) -> int:
+    def _state(self, before: int, pending: bytes, last: tuple, suffix: _Suffix) -> int:
         at = self.number.get((before, pending))
         if at is None:
             at = self.number[before, pending] = len(self.states)
-            self.states.append((before, pending, last))
+            self.states.append((before, pending, last, suffix))
         return at
 
     def _halves(self, token: bytes) -> tuple[bytes, bytes] | None:
@@ -152,132 +168,78 @@ class Transducer:
     def _fits(self, a: int, b: int) -> bool:
         """Whether no merge over the border of a and b comes before those that make a and b. Of equal
         merges the one further left comes first."""
-        known = self.beside.get((a, b))
-        if known is None:
-            left, right = self._spine(a, 0), self._spine(b, 1)
-            get, known = self.ranks.get, bool(left and right)
-            for x, until_x in left:
-                for y, until_y in right:
-                    rank = get(x + y)
-                    if rank is not None and rank < until_x and rank <= until_y:
-                        known = False
-            self.beside[a, b] = known
+        left, right = self._spine(a, 0), self._spine(b, 1)
+        get, known = self.ranks.get, bool(left and right)
+        for x, until_x in left:
+            for y, until_y in right:
+                rank = get(x + y)
+                if rank is not None and rank < until_x and rank <= until_y:
+                    known = False
+        self.beside[a << 20 | b] = known
         return known
 
-    def _last(self, before: int, pending: bytes, last: list) -> tuple[int, int] | None:
-        """Where the last token of the pending bytes starts, and the token: the only one that fits."""
-        n, get, suffixes, found = len(pending), self.ranks.get, self.suffixes, []
-        for start in range(n - 1, -1, -1):
-            rest = pending[start:]
-            if rest not in suffixes:
-                break
-            token = get(rest)
-            if token is not None:
-                found.append((start, token))
-        for start, token in reversed(found):
-            if start:
-                ahead = last[start - 1]
-                if ahead is not None and self._fits(ahead[1], token):
-                    return start, token
-            elif before < 0 or self._fits(before, token):
-                return start, token
-        return None
-
     def step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """Make the state that follows, and what is settled on the way."""
-        before, pending, last = self.states[state]
-        pending += bytes((byte,))
-        n = len(pending)
-        last = [*last, self._last(before, pending, last)]
-        live = {n}
-        for start in range(max(0, n - self.longest), n):
-            if pending[start:] in self.prefixes and (not start or last[start - 1] is not None):
-                live.add(start)
-        while len(live) > 1:  # up to the border that all of them have passed
-            far = max(live)
-            live.remove(far)
-            live.add(last[far - 1][0])
-        cut = live.pop()
-        if not cut:
-            made = self._state(before, pending, last), ()
+        before, pending, last, suffix = self.states[state]
+        pending += byte.to_bytes()
+        longer = suffix.next.get(byte)
+        if longer is None:
+            longer = suffix.next[byte] = self._suffix(suffix.text + byte.to_bytes())
+        n, known, found = len(pending), self.beside.get, 0
+        for size, token in longer.tokens:  # the first that fits is the only one
+            start = n - size
+            if start < 0:
+                continue
+            ahead = last[start - 1] & _TOKEN if start else before
+            fits = ahead < 0 or known(ahead << 20 | token)
+            if self._fits(ahead, token) if fits is None else fits:
+                found = start << 20 | token
+                break
+        last = (*last, found)
+        open_ = [n - size for size in longer.goes if size <= n]
+        if open_ and not open_[0]:  # a token may still span all that is pending
+            made = self._state(before, pending, last, longer), ()
         else:
-            rest = [(x[0] - cut, x[1]) if x and x[0] >= cut else None for x in last[cut:]]
-            made = self._state(last[cut - 1][1], pending[cut:], rest), self._path(last, cut)
+            open_.append(n)
+            while len(open_) > 1:  # back to the border that the ways to all of them pass
+                at = last[open_.pop() - 1] >> 20
+                if at > open_[-1]:
+                    open_.append(at)
+                elif at < open_[-1] and at not in open_:
+                    insort(open_, at)
+            cut = open_[0]
+            if not cut:
+                made = self._state(before, pending, last, longer), ()
+            else:
+                made = self._state(last[cut - 1] & _TOKEN, pending[cut:], tuple([x - (cut << 20) for x in last[cut:]]), longer), self._path(last, cut)
         self.steps[state << 8 | byte] = made
         return made
 
-    def _starts(self, whole: bytes, at: int) -> list[tuple[int, int]]:
-        """(end, token) of the tokens that start there, shortest first."""
-        out, node = [], self.trie
-        for end in range(at, len(whole)):
-            found = node.get(whole[end])
-            if found is None:
-                break
-            token, node = found
-            if token is not None:
-                out.append((end + 1, token))
-        return out
-
-    def _finish(self, state: int, rest: bytes) -> list[int]:
-        """The tokens of what is pending and the rest, without making states: for the way out of a
-        state that is seldom met. Depth first, longest token first, of those that fit;
-        no place is left by the same tokens twice, as what fits is settled by the place alone."""
-        before, pending, _ = self.states[state]
-        whole, beside, fits = pending + rest, self.beside, self._fits
-        stop, at, ahead, out, dead = len(whole), 0, before, [], set()
-        open_: list[list[tuple[int, int]]] = [self._starts(whole, 0)]
-        while at < stop:
-            ways = open_[-1]
-            while ways:
-                end, token = ways.pop()
-                if end in dead:
-                    continue
-                if ahead >= 0:
-                    fit = beside.get((ahead, token))
-                    if not (fits(ahead, token) if fit is None else fit):
-                        continue
-                out.append(token)
-                at, ahead = end, token
-                if at < stop:
-                    open_.append(self._starts(whole, at))
-                break
-            else:  # no token goes on from here
-                dead.add(at)
-                open_.pop()
-                out.pop()
-                at -= len(self.token[ahead])
-                ahead = out[-1] if out else before
-        return out
-
     @staticmethod
-    def _path(last: list, at: int) -> tuple[int, ...]:
+    def _path(last: tuple, at: int) -> tuple[int, ...]:
         out = []
         while at:
-            at, token = last[at - 1]
-            out.append(token)
-        return tuple(out[::-1])
+            x = last[at - 1]
+            at = x >> 20
+            out.append(x & _TOKEN)
+        out.reverse()
+        return tuple(out)
 
     def encode(self, piece: bytes) -> list[int]:
+        """A piece that is a token as a whole is that token: every token is its own BPE."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(self.states) > STATES or len(self.beside) > STATES:
-            self.beside = {}
+        if len(self.states) > STATES or len(self.beside) > PAIRS:
             self.clear()
         out: list[int] = []
-        state, known, met = 0, self.steps.get, self.met
-        for i, byte in enumerate(piece):
+        state, known = 0, self.steps.get
+        for byte in piece:
             way = known(state << 8 | byte)
-            if way is None:
-                if len(piece) <= _LONG and (times := met.get(state, 0)) < MEETINGS:
-                    met[state] = times + 1
-                    out += self._finish(state, piece[i:])
-                    return out
-                way = self.step(state, byte)
-            state, emitted = way
+            state, emitted = self.step(state, byte) if way is None else way
             if emitted:
                 out += emitted
-        _, pending, last = self.states[state]
+        _, pending, last, _ = self.states[state]
         if pending:
             out += self._path(last, len(pending))
         return out
@@ -330,10 +292,11 @@ class Codec:
         return [x for at in range(0, len(texts), BATCH) for x in self.cache.encode(texts[at : at + BATCH])]
 
     def digests(self, ids: str) -> tuple[int, str, str]:
-        """Number of decimal ids, SHA-256 of them and of the bytes that they decode to."""
-        split = ids.split()
-        data = b"".join(map(self.bytes_of.__getitem__, split))
-        return len(split), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(data).hexdigest()
+        """Number of decimal ids, SHA-256 of them and of the text that the streaming decoder gives out."""
+        split, decoded = ids.split(), hashlib.sha256()
+        for text in self._stream(split[at : at + STREAM] for at in range(0, len(split), STREAM)):
+            decoded.update(text.encode())
+        return len(split), hashlib.sha256(ids.encode()).hexdigest(), decoded.hexdigest()
 
     def encode(self, text: str) -> list[int]:
         return [int(x) for x in self.ids_texts([text])[0].split()]
@@ -343,9 +306,12 @@ class Codec:
 
     def decode_stream(self, parts: Iterable[Iterable[int]]) -> Iterator[str]:
         """Text of lists of ids as they come: a character split over tokens waits until complete."""
+        return self._stream(map(str, ids) for ids in parts)
+
+    def _stream(self, parts: Iterable[Iterable[str]]) -> Iterator[str]:
         tail, held = Utf8Tail(), b""
         for ids in parts:
-            data = self.decode(ids)
+            data = b"".join(map(self.bytes_of.__getitem__, ids))
             waits = tail.feed(data)
             held += data
             ready, held = held[: len(held) - waits], held[len(held) - waits :]
@@ -368,24 +334,22 @@ def default_vocabulary() -> tuple[str, str]:
 
 def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
     """(id_col, ids array<int>) of every row, or with ``digests`` (id_col, n_tokens, ids_sha256,
-    decoded_sha256), where the decoded bytes come from the ids. Null texts count as empty and give
-    no ids. The vocabulary's path must be readable on every executor. Rows are never grouped, so
+    decoded_sha256), where the streaming decoder gives the decoded text from the ids. Null texts count
+    as empty and give no ids; other columns are not read; repeated rows give repeated rows. The vocabulary's path must be readable on every executor. Rows are never grouped, so
     hot keys do not matter; a text is handled whole. Empty tables give no rows."""
     file, own = default_vocabulary() if path is None or pattern is None else (path, pattern)
     file, own = path or file, pattern or own
 
     def run(batches):
         made = codec(file, own)
-        for batch in batches:
-            for at in range(0, batch.num_rows, BATCH):
-                part = batch.slice(at, BATCH)
-                texts = made.ids_texts([t or "" for t in part.column(1).to_pylist()])
-                if digests:
-                    rows = [made.digests(t) for t in texts]
-                    columns = [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.string()), strict=True)]
-                else:
-                    columns = [pa.array([[int(x) for x in t.split()] for t in texts], pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names)
+        for part in parts(batches, BATCH):
+            texts = made.ids_texts([t or "" for t in part.column(1).to_pylist()])
+            if digests:
+                rows = [made.digests(t) for t in texts]
+                columns = [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.string()), strict=True)]
+            else:
+                columns = [pa.array([[int(x) for x in t.split()] for t in texts], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([part.column(0), *columns], names)
 
     names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"] if digests else [id_col, "ids"]
     kind = docs.schema[id_col].dataType.simpleString()
@@ -400,7 +364,7 @@ def decode(encoded: DataFrame, path: str | None = None, pattern: str | None = No
 
     def run(batches):
         made = codec(file, own)
-        for batch in batches:
+        for batch in parts(batches, BATCH):
             texts = ["".join(made.decode_stream([ids])) if ids is not None else None for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [id_col, "text"])
 

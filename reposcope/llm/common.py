@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,9 +14,12 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one is made only if none is named (tests)."""
+    """The folder that driver and executors share. If none is named, a local one is made on a local
+    master (tests); on a cluster, where it would not be shared, that is an error."""
     found = spark.conf.get(CHECKPOINT_KEY, None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"{CHECKPOINT_KEY} names no shared folder")
         found = "file://" + tempfile.mkdtemp(prefix="reposcope-")
         spark.conf.set(CHECKPOINT_KEY, found)
     return found.rstrip("/")
@@ -44,6 +49,21 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def parts(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of few rows: what a worker holds as Python objects is one slice's."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def free_name(wanted: str, taken: Iterable[str]) -> str:
+    """``wanted``, with underscores before it until no column is called so in any case of letters."""
+    known = {c.lower() for c in taken}
+    while wanted.lower() in known:
+        wanted = "_" + wanted
+    return wanted
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
