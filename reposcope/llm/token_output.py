@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -21,24 +22,27 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyarrow import fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
 from reposcope.llm.bpe import WORD, PieceCache
-from reposcope.llm.common import materialize, scratch_path
+from reposcope.llm.common import materialize, parts, scratch_path
 
 MAGIC = b"RSPLANE1"
 BLOCK = 65_536
 LEVEL = 3
 #: Different pieces that a worker keeps.
-PIECES = 1_000_000
+PIECES = 500_000
 #: Words put into one text.
 TOGETHER = 10_000
 #: The sign of a space in a byte-level vocabulary.
 SPACE = "\u0120"
-#: Bytes of text for each file, until there are MOST_FILES.
-FILE_BYTES, MOST_FILES = 16 << 20, 16_384
+#: Bytes of text for each file.
+FILE_BYTES = 16 << 20
+#: Texts encoded at once.
+BATCH = 256
 
 
 def to_planes(ids: np.ndarray, bits: bool) -> list[bytes]:
@@ -157,7 +161,8 @@ class Encoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values() if t.content]
+        self.added = re.compile("|".join(added) or "(?!)").search
         self.dtype = "<u2" if self.library.get_vocab_size() <= 65_536 else "<u4"
         self.width = 2 if self.dtype == "<u2" else 4
         self.words = self._words(path)
@@ -201,7 +206,14 @@ class Encoder:
         return answers
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return self.cache.encode(texts)
+        """Texts that hold the string of an added token go to the library as a whole: it alone knows
+        what of them is that token and what is around it."""
+        whole = [i for i, t in enumerate(texts) if self.added(t)]
+        if not whole:
+            return self.cache.encode(texts)
+        taken, made = set(whole), dict(zip(whole, self._ids([texts[i] for i in whole]), strict=True))
+        rest = iter(self.cache.encode([t for i, t in enumerate(texts) if i not in taken]))
+        return [made[i] if i in taken else next(rest) for i in range(len(texts))]
 
 
 @lru_cache(maxsize=2)
@@ -211,67 +223,48 @@ def encoder(path: str) -> Encoder:
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, bits: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every row and write files of planes below ``path`` in ascending order of ids (null ids
-    first, equal ids in the order of their token bytes). Returns the manifest, one row for each
+    first, equal ids in the order of their texts' hashes). Returns the manifest, one row for each
     file: (bucket, file, n_docs, n_ids), buckets in the order of ids.
 
-    Null texts count as empty: such a document is its end id. Borders of buckets are quantiles of
-    the ids over all rows; one file takes what has one range of ids, in one pass over sorted rows,
-    holding one block. A file is written beside its place and moved, so a task that runs again
-    leaves the same file. An empty table gives no files.
+    Null texts count as empty: such a document is its end id. Rows are dealt by ranges of (id, hash of
+    the text), so that an id that many rows share spreads over files; only rows equal in both stay
+    together. A task sorts its range (spilling), then encodes and writes it in one pass, holding one
+    block and BATCH texts. A file is written beside its place and moved, so a task that runs again
+    leaves the same file. Other columns are not read. An empty table gives no files.
     """
-    spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    files = int(min(max(1, size // FILE_BYTES), MOST_FILES))
-    cuts = docs.agg(F.percentile_approx(id_col, [i / files for i in range(1, files)], 20 * files)).first()[0] if files > 1 else None
-    cuts = np.array(sorted(set(cuts or [])), dtype=np.int64)
-
-    def encode(batches):
-        made = encoder(tokenizer)
-        end = np.array([end_id], dtype=made.dtype).tobytes()
-        for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            for at in range(0, len(ids), 256):
-                part = ids.slice(at, 256)
-                bucket = np.searchsorted(cuts, np.array(part.fill_null(np.iinfo(np.int64).min)), side="left")
-                data = [x + end for x in made.encode([t or "" for t in texts.slice(at, 256).to_pylist()])]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), part, pa.array(data, pa.binary())], ["bucket", "id", "ids"])
+    files = int(max(1, size // FILE_BYTES))
+    manifest = pa.schema([("bucket", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
 
     def write(batches):
         disk, root = pafs.FileSystem.from_uri(path)
-        disk.create_dir(root, recursive=True)
-        dtype = encoder(tokenizer).dtype
-        now, writer, out, temp = None, None, None, ""
-
-        def done():
+        made, writer, bucket = encoder(tokenizer), None, TaskContext.get().partitionId()
+        end = np.array([end_id], dtype=made.dtype).tobytes()
+        for part in parts(batches, BATCH):
+            if writer is None:
+                disk.create_dir(root, recursive=True)
+                temp, name = f"{root}/.{uuid.uuid4().hex}", f"tokens-{bucket:07d}.planes"
+                out = disk.open_output_stream(temp)
+                writer, n_ids = PlaneWriter(out, bits), 0
+            for doc, ids in zip(part.column(0).to_pylist(), made.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
+                found = np.frombuffer(ids + end, dtype=made.dtype)
+                n_ids += len(found)
+                writer.add(doc, found)
+        if writer is not None:
             writer.close()
             out.close()
-            disk.move(temp, f"{root}/tokens-{now:05d}.planes")
-            row = [now, f"{path}/tokens-{now:05d}.planes", len(writer.docs), sum(n for _, n in writer.docs)]
-            return pa.RecordBatch.from_pylist([dict(zip(("bucket", "file", "n_docs", "n_ids"), row, strict=True))], schema=manifest)
-
-        for batch in batches:
-            buckets = batch.column(0).to_pylist()
-            for bucket, doc, data in zip(buckets, batch.column(1).to_pylist(), batch.column(2), strict=True):
-                if bucket != now:
-                    if writer:
-                        yield done()
-                    now, temp = bucket, f"{root}/.{uuid.uuid4().hex}"
-                    out = disk.open_output_stream(temp)
-                    writer = PlaneWriter(out, bits)
-                writer.add(doc, np.frombuffer(data.as_buffer(), dtype=dtype))
-        if writer:
-            yield done()
+            disk.move(temp, f"{root}/{name}")
+            yield pa.RecordBatch.from_pylist([{"bucket": bucket, "file": f"{path}/{name}", "n_docs": len(writer.docs), "n_ids": n_ids}], schema=manifest)
 
-    manifest = pa.schema([("bucket", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(encode, "bucket int, id bigint, ids binary")
-    dealt = rows.repartition(max(files, 1), "bucket").sortWithinPartitions("bucket", "id", "ids")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).withColumn("tie", F.xxhash64("text"))
+    dealt = rows.repartitionByRange(files, "id", "tie").sortWithinPartitions("id", "tie").select("id", "text")
     return materialize(dealt.mapInArrow(write, "bucket int, file string, n_docs bigint, n_ids bigint"), "manifest")
 
 
 def read_tokens(manifest: DataFrame, digests: bool = False, id_col: str = "doc_id") -> DataFrame:
     """(id_col, start, n_tokens, ids array<bigint>) of every document in the files, or instead of ids
     ids_crc32 of their little-endian 32-bit form. start counts all ids of earlier documents. The
-    running sum takes one row for each file, of which there are MOST_FILES at most."""
+    running sum takes one row for each file (FILE_BYTES of text): 600,000 for 10 TB."""
     upto = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     files = manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(upto), F.lit(0).cast("bigint")))
     last = "ids_crc32" if digests else "ids"
