@@ -3,8 +3,10 @@ schemes and identifier cues; parsers at the anchors expand to both sides and val
 
 Each base kind takes the leftmost matches that do not overlap, as its pattern would:
 email, ip (four numbers, at most 255 each), card (13 to 19 digits that pass Luhn), phone (9 to 15
-digits). Beside them: iban (country code, check digits, modulus 97) at its cue, mailto and tel
-schemes' addresses, account (a cue word, then an identifier with digits).
+digits). Beside them: account (a cue that stands as a word of its own, then an identifier with
+digits), iban (country code, check digits, modulus 97) at a cue, mailbox (what a mailto scheme
+names, letters of any script), number (7 to 15 digits after a tel or sms scheme), userinfo (user, or
+user and password, of a URL's authority). No span has a greatest length but those named here.
 """
 
 from __future__ import annotations
@@ -17,11 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reposcope.llm.common import parts
+
 KINDS = ("email", "ip", "card", "phone")
-MORE_KINDS = ("account", "iban", "userinfo")
-#: Cues that an account or identity number follows, schemes whose authority can name a user.
+MORE_KINDS = ("account", "iban", "mailbox", "number", "userinfo")
+#: Cues that an account or identity number follows, schemes whose authority can name a
+#: user, schemes that name a mailbox or a telephone number.
 CUES = ("account number", "account no", "acct", "passport", "ssn", "social security", "tax id", "iban")
 SCHEMES = ("http://", "https://", "ftp://", "ssh://")
+MAIL_SCHEMES, NUMBER_SCHEMES = ("mailto:",), ("tel:", "sms:")
 _DIGITS = frozenset("0123456789")
 _ALNUM = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
 _LOCAL = _ALNUM | frozenset("._%+-")
@@ -38,11 +44,11 @@ def automaton() -> ahocorasick.Automaton:
         made.add_word("+" + d, ("+", 2))
         for e in "0123456789":
             made.add_word(f"{d}.{e}", (".", 3))
-    for cue in CUES:
-        for form in {cue, cue.upper(), cue.capitalize(), cue.title()}:
-            made.add_word(form, ("cue", len(form)))
-    for scheme in SCHEMES:
-        made.add_word(scheme, ("scheme", len(scheme)))
+    words = {"cue": CUES, "scheme": SCHEMES, "mail": MAIL_SCHEMES, "tel": NUMBER_SCHEMES}
+    for kind, own in words.items():
+        for word in own:
+            for form in {word, word.upper(), word.capitalize(), word.title()}:
+                made.add_word(form, (kind, len(form)))
     made.make_automaton()
     return made
 
@@ -150,29 +156,63 @@ def account(text: str, at: int) -> tuple[int, int] | None:
 
 
 def userinfo(text: str, at: int) -> tuple[int, int] | None:
-    """user or user:password before the at-sign of a URL's authority."""
+    """user or user:password before the at-sign of a URL's authority. A slash ends the authority, so
+    no character is looked at for two schemes."""
     stop = at
-    while stop < len(text) and stop - at <= 256 and text[stop] not in "/?#@ \t\r\n\"'<>":
+    while stop < len(text) and text[stop] not in "/?#@ \t\r\n\"'<>":
         stop += 1
     return (at, stop) if stop > at and text[stop : stop + 1] == "@" else None
 
 
+def mailbox(text: str, at: int) -> tuple[int, int] | None:
+    """A local part, one at-sign and a host with a dot."""
+    stop = at
+    while stop < len(text) and not text[stop].isspace() and text[stop] not in "?&,;:/\"'<>()[]":
+        stop += 1
+    while stop > at and text[stop - 1] in ".!":
+        stop -= 1
+    local, sign, host = text[at:stop].partition("@")
+    return (at, stop) if local and sign and "." in host.strip(".") and "@" not in host else None
+
+
+def number(text: str, at: int) -> tuple[int, int] | None:
+    start = at + (text[at : at + 1] == "+")
+    stop = _run(text, start, _PHONE)
+    while stop > start and text[stop - 1] not in _DIGITS:
+        stop -= 1
+    return (at, stop) if 7 <= sum(c in _DIGITS for c in text[start:stop]) <= 15 else None
+
+
+def _alone(text: str, start: int, end: int) -> bool:
+    """Whether no letter or digit touches the span."""
+    return not (start and text[start - 1].isalnum()) and not text[end : end + 1].isalnum()
+
+
 def spans(text: str | None) -> dict[str, list[tuple[int, int]]]:
     """Spans of every kind, code points, end exclusive, in order. Null and empty texts: none."""
-    found: dict[str, list[int]] = {"@": [], "d": [], "+": [], ".": [], "cue": [], "scheme": []}
+    found: dict[str, list[int]] = {"@": [], "d": [], "+": [], ".": [], "cue": [], "scheme": [], "mail": [], "tel": []}
     for end, (kind, size) in automaton().iter(text) if text else ():
-        found[kind].append(end + 1 if kind in ("cue", "scheme") else end - 1 if kind in "+." else end)
+        after = end + 1
+        if kind in "+.":
+            found[kind].append(end - 1)
+        elif kind in "@d":
+            found[kind].append(end)
+        elif kind == "scheme" or (_alone(text, after - size, after) if kind == "cue" else not text[after - size - 1 : after - size].isalnum()):
+            found[kind].append(after)
+    if not text:
+        return {k: [] for k in (*KINDS, *MORE_KINDS)}
     out = {
-        "email": emails(text, found["@"]), "ip": ips(text, found["."]), "card": cards(text, found["d"]), "phone": phones(text, found["+"]),
-        "account": [], "iban": [], "userinfo": [x for at in found["scheme"] if (x := userinfo(text, at))],
-    } if text else {k: [] for k in (*KINDS, *MORE_KINDS)}
+        "email": emails(text, found["@"]), "ip": ips(text, found["."]), "card": cards(text, found["d"]), "phone": phones(text, found["+"]), "account": [], "iban": [],
+        "mailbox": [x for at in found["mail"] if (x := mailbox(text, at))], "number": [x for at in found["tel"] if (x := number(text, at))],
+        "userinfo": [x for at in found["scheme"] if (x := userinfo(text, at))],
+    }
     floor = 0
     for at in found["cue"]:
         if at >= floor:
-            number = iban(text, at)
-            made = number or account(text, at)
+            known = iban(text, at)
+            made = known or account(text, at)
             if made:
-                out["iban" if number else "account"].append(made)
+                out["iban" if known else "account"].append(made)
                 floor = made[1]
     return out
 
@@ -196,11 +236,12 @@ def redact(text: str | None, found: dict[str, list[tuple[int, int]]]) -> str | N
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_email, n_ip, n_card, n_phone, base_sha256, spans) of every row: null texts count as
-    empty; rows are never grouped, texts are read whole."""
+    empty; equal texts, ties and repeated rows are handled row by row; rows are never grouped, texts are
+    read whole, other columns are not read; an empty table gives no rows."""
     names = [id_col, *(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             every = [spans(t) for t in batch.column(1).to_pylist()]
             columns = [pa.array([len(f[k]) for f in every], pa.int64()) for k in KINDS]
             columns.append(pa.array([hashlib.sha256(joined(f, KINDS).encode()).hexdigest() for f in every], pa.string()))
@@ -213,14 +254,15 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """All rows and columns, the text with its personal data replaced; null stays null. n_chars, if
-    there is such a column, is set anew for texts that are not null."""
+    """All rows and columns, the text with its personal data replaced; null and empty texts stay as they
+    are. n_chars, if there is such a column, is set anew for texts that are not null. Columns of any
+    other name or kind go through unread; repeated rows stay repeated; an empty table stays empty."""
     names = docs.columns
     at = names.index(text_col)
     size = names.index("n_chars") if "n_chars" in names else None
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             columns = list(batch.columns)
             texts = [redact(t, spans(t)) for t in columns[at].to_pylist()]
             columns[at] = pa.array(texts, columns[at].type)
