@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reposcope.llm.common import free_name, parts
+
 #: Labelled rows to learn from, at most: those with the smallest hashes of their ids.
 SAMPLE = 200_000
 CELLS = 1 << 20
@@ -66,7 +68,6 @@ class _Scores(dict):
 
 
 
-
 def words(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
@@ -145,9 +146,10 @@ class Model:
 def sampled(labels: DataFrame, docs: DataFrame, limit: int = SAMPLE) -> DataFrame:
     """(text, toxic, part): the labelled training rows. Rows whose crc32 of the id as text is
     divisible by 5 are held out; part is 0 to 3 for the others. Several labels of an id: toxic if one
-    says so. The bounded label table is broadcast, so no text is shuffled."""
+    says so; labels other than 0 and 1, null labels and null ids teach nothing. The bounded label
+    table is broadcast, so no text is shuffled."""
     held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5))
-    rows = labels.where("toxic is not null and doc_id is not null").withColumn("part", held - 1).where("part >= 0")
+    rows = labels.where("toxic in (0, 1) and doc_id is not null").withColumn("part", held - 1).where("part >= 0")
     rows = rows.groupBy("doc_id", "part").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     return docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"), "part")
 
@@ -159,7 +161,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Model:
 
     def tokens(batches):
         counts, rows, cell_of = np.zeros((2, CELLS), dtype=np.int32), np.zeros(2, dtype=np.int64), _Cells()
-        for batch in batches:
+        for batch in parts(batches):
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = set(words(text))
                 cells = list({cell_of[w] for w in found} | {cell_of["^" + w[:STEM]] for w in found})
@@ -180,7 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Model:
 
     def measure(batches):
         own = shared.value
-        for batch in batches:
+        for batch in parts(batches, 1024):
             rows = []
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 scores = own.scores(words(text))
@@ -226,29 +228,32 @@ def _calibrate(model: Model, binned: list) -> None:
     model.weights = (float(beta[0]), max(float(beta[1]), 1e-3))
 
 
-def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """``keep`` columns of every row, then score double and passages array<struct>. Null and empty
-    texts have no passages and the score of an empty text. Texts are read whole; no rows are grouped."""
+def score(docs: DataFrame, model: Model, keep: list[str], name: str = "score") -> DataFrame:
+    """``keep`` columns of every row, then ``name`` double, which none of ``keep`` may be called (see
+    ``passages`` for the spans). Null and empty texts have the score of an empty text. Texts are read
+    whole; rows are never grouped, so repeated rows and ties are scored alike; an empty table gives no
+    rows."""
     shared = docs.sparkSession.sparkContext.broadcast(Model(model.counts, model.rows, model.rate, model.log_k, model.weights))
 
     def run(batches):
         own = shared.value
-        for batch in batches:
+        for batch in parts(batches):
             found = [own.probability(*own.best(t)) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, pa.float64())], [*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, pa.float64())], [*keep, name])
         own.forget()
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(F.col("text").alias("_text"), *keep).mapInArrow(run, f"{kinds}, score double")
+    return docs.select(F.col("text").alias(free_name("text", keep)), *keep).mapInArrow(run, f"{kinds}, `{name}` double")
 
 
 def passages(docs: DataFrame, model: Model, level: float = 0.01) -> DataFrame:
-    """(doc_id, start, end, passage_score, p) of every significant passage, character offsets."""
+    """(doc_id, start, end, passage_score, p) of every significant passage, character offsets; null and
+    empty texts have none."""
     shared = docs.sparkSession.sparkContext.broadcast(Model(model.counts, model.rows, model.rate, model.log_k, model.weights))
     names = ["doc_id", "start", "end", "passage_score", "p"]
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             rows = [(d, x["start"], x["end"], x["score"], x["p"]) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for x in shared.value.passages(t, level)]
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             kinds = [batch.column(0).type, pa.int64(), pa.int64(), pa.float64(), pa.float64()]
