@@ -155,6 +155,31 @@ def test_tokens_round_trip(spark):
     assert token_output.tokens_of(odd_docs(spark).limit(0)).count() == 0
 
 
+def test_tokens_of_special_strings(spark):
+    """Strings of added tokens in a text give the ids that the library alone gives."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    made, rng = token_output.encoder(public_tokenizers.path("byte_bpe_50k.json")), random.Random(3)
+    signs = ["a", "b ", "<|endoftext|>", " the", "é", "\n", "<|", "|>", " ", "12", "'s", " x", "日本", "?!"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 30))) for _ in range(10_000)]
+    got = [np.frombuffer(x, dtype=made.dtype).tolist() for x in made.encode(texts)]
+    assert got == [own.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_tokens_of_one_id_many_files(spark, monkeypatch):
+    """Rows that share an id spread over files; starts go on over them."""
+    monkeypatch.setattr(token_output, "FILE_BYTES", 500)
+    rows = [(7 if i % 3 else i, f"text {i} " + "word " * (i % 9)) for i in range(200)] + [(None, "x"), (7, None), (-5, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    manifest = token_output.write_tokens(docs, f"file:///tmp/planes-{random.random()}", __import__("public_tokenizers").path("byte_bpe_50k.json"))
+    assert sum(r.n_docs for r in manifest.collect()) == len(rows) and manifest.count() > 5
+    got = token_output.read_tokens(manifest).orderBy("start").collect()
+    assert [r.start for r in got] == np.cumsum([0] + [r.n_tokens for r in got])[:-1].tolist()
+    assert [r.doc_id for r in got] == sorted((r[0] for r in rows), key=lambda x: -(1 << 63) if x is None else x)
+
+
 @pytest.mark.parametrize("bits", [False, True])
 def test_planes(bits):
     rng = np.random.default_rng(5)
@@ -191,18 +216,36 @@ def test_bpe_equals_library(spark):
     assert {r.doc_id: r.text for r in back.collect()}[6] == ODD[6]
 
 
-def test_bpe_ways_agree():
-    """Steps of the transducer and the search out of any of its states settle upon the same tokens."""
-    fst = bpe.codec(*bpe.default_vocabulary()).fst
+def plain_bpe(piece, ranks):
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    while found := [(ranks[parts[i] + parts[i + 1]], i) for i in range(len(parts) - 1) if parts[i] + parts[i + 1] in ranks]:
+        i = min(found)[1]
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return [ranks[p] for p in parts]
+
+
+def test_bpe_transducer_equals_merges(monkeypatch):
+    """Steps alone, with tables that are emptied often, give the tokens of plain merging by rank; what is
+    settled on the way is never taken back."""
+    monkeypatch.setattr(bpe, "STATES", 300)
+    fst = bpe.Codec(*bpe.default_vocabulary()).fst
     rng = random.Random(5)
-    for word in [b"a", b" therblingly", "aaaaaaaaaé\u00fcß".encode(), bytes(range(256)), *(bytes(rng.choice(b"abest in'\xc3\xa9\xff") for _ in range(rng.randint(1, 40))) for _ in range(300))]:
+    for word in [b"a", b" therblingly", "aaaaaaaaaé\u00fcß".encode(), bytes(range(256)), *(bytes(rng.choice(b"abest in'\xc3\xa9\xff") for _ in range(rng.randint(1, 40))) for _ in range(400))]:
+        want = plain_bpe(word, fst.ranks)
+        assert fst.encode(word) == want
+        fst.clear()
         state, settled = 0, []
-        ways = [fst._finish(0, word)]
-        for i, byte in enumerate(word):
+        for byte in word:
             state, emitted = fst.step(state, byte)
             settled += emitted
-            ways.append(settled + fst._finish(state, word[i + 1 :]))
-        assert all(w == ways[0] for w in ways) and b"".join(fst.token[t] for t in ways[0]) == word
+            assert settled == want[: len(settled)] and len(fst.states[state][1]) <= max(map(len, fst.ranks))
+
+
+def test_bpe_decodes_broken_characters_in_parts():
+    made = bpe.codec(*bpe.default_vocabulary())
+    ids = made.encode("a日本é😀" * 3000)
+    assert "".join(made.decode_stream(ids[i : i + 7] for i in range(0, len(ids), 7))) == "a日本é😀" * 3000
+    assert made.digests(" ".join(map(str, ids)))[2] == hashlib.sha256(("a日本é😀" * 3000).encode()).hexdigest()
 
 
 def test_url_filter(spark):
@@ -365,6 +408,34 @@ def test_pii_equals_patterns(spark):
     assert pii.find(docs).count() == 2
 
 
+def test_pii_cues_are_words():
+    for clean in ("classname99999x", "passnumber12345", "the assn 1234567", "BASSNOTE1234567", "amounts: 123456", "hotel:5551234567"):
+        assert not any(v for v in pii.spans(clean).values()), clean
+    assert pii.spans("my ssn 123-45-6789.")["account"] == [(7, 18)]
+    assert pii.spans("https://" + "u" * 5000 + ":pw@h/x")["userinfo"] == [(8, 5011)]
+    assert pii.spans("mailto:jürgen@x.de, tel:(555) 012-3456")["mailbox"] == [(7, 18)]
+    assert pii.spans("tel:(555) 012-3456")["number"] == [(4, 18)]
+
+
+def test_pii_long_texts_and_empty_tables(spark):
+    for long in ("@" * 1_000_000, "1." * 500_000, "ssn " * 250_000, "http://" * 150_000, "+1 " * 300_000):
+        pii.spans(long)
+    docs = spark.createDataFrame([], "doc_id int, text string, email int, spans string")
+    assert pii.find(docs).count() == 0 and pii.redacted(docs).columns == docs.columns
+
+
+def test_toxicity_odd_labels_and_names(spark):
+    rows = [(i, "you vile scum" if i % 3 == 0 else f"fair words {i}", "s") for i in range(60)]
+    docs = spark.createDataFrame([*rows, (100, None, "s"), (101, "", "s"), (3, "you vile scum", "s")], "doc_id bigint, text string, score string")
+    labels = spark.createDataFrame([*((i, int(i % 3 == 0)) for i in range(60)), (1, 2), (2, -1), (None, 1), (4, None)], "doc_id bigint, toxic int")
+    model = toxicity.train(docs, labels)
+    got = toxicity.score(docs, model, docs.columns, "_score")
+    assert got.columns == [*docs.columns, "_score"] and got.count() == 63
+    assert {r["doc_id"]: r["_score"] for r in got.collect()}[3] > 0.5
+    assert toxicity.score(docs.limit(0), toxicity.train(docs.limit(0), labels.limit(0)), ["doc_id"]).count() == 0
+    assert toxicity.score(docs, toxicity.train(docs, labels.limit(0)), ["doc_id"]).count() == 63
+
+
 def test_nearest_recall(spark):
     rng = np.random.default_rng(9)
     x = rng.normal(size=(1500, 16)).astype(np.float32)
