@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reposcope.llm import bpe, mixing, pii, simhash, toxicity
-from reposcope.llm.common import scratch_path, table
+from reposcope.llm.common import free_name, scratch_path, table
 from reposcope.llm.entries import WEIGHTS
 
 #: SQL cannot express the stages; tests/llm compares them with plain implementations.
@@ -14,26 +14,34 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity score below 0.5. The scores are learnt from the whole table's labels."""
+    """Documents with a toxicity score below 0.5; the scores are learnt from the whole table's labels.
+    Null and empty texts have an empty text's score; repeated rows stay or go together; all columns
+    stay, whatever they are called; an empty table stays empty."""
     model = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return toxicity.score(docs.withColumn("text", F.col("text")), model, docs.columns).where("score < 0.5").drop("score")
+    name = free_name("score", docs.columns)
+    return toxicity.score(docs, model, docs.columns, name).where(F.col(name) < 0.5).drop(name)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: sets of five-word shingles of Jaccard similarity 0.8."""
+    """One document of each group of near copies, that with the smallest id: sets of five-word shingles
+    of Jaccard similarity 0.8. Null and empty texts are copies of each other; rows without an id stay;
+    all columns stay; an empty table stays empty."""
     return simhash.keep_one(docs)
 
 
 def redact_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data in brackets; null and empty texts as they are; all columns stay."""
     return pii.redacted(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their rates say, all columns. Null and empty texts weigh nothing and go by
+    the rate of their posterior; repeated rows are drawn alike; an empty table stays empty."""
     return mixing.mix(docs, mixing.quality_domains(table(spark, sf_dir, "labels")), WEIGHTS)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, ids array<int>): a row for each copy of a document."""
+    """(doc_id, ids array<int>): a row for each copy of a document; null and empty texts have no ids."""
     return bpe.encode(docs)
 
 
