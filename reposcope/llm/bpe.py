@@ -6,8 +6,9 @@ if the BPE of their bytes is these two). A state of the transducer is the last s
 the bytes since then; it knows the last token at each of them, and the longest suffix with which a
 token begins. A step by a byte takes that suffix one further, finds the last token at the new
 position, and emits all tokens that the starts from which one may still go on agree upon, so that
-never more bytes than the longest token wait. States and steps are made when first met and looked up
-from then on; a full table is emptied and fills again.
+never more bytes than the longest token wait. States and steps are kept when a state has been met
+often enough, and looked up from then on; what is left of a short piece in a state seldom met takes
+the same steps without keeping them. A full table is emptied and fills again.
 
 Decoding. Ids give bytes; an automaton over byte classes tells how many bytes at the end of a
 buffer belong to a character that is not complete, so text can be given out piece by piece.
@@ -23,6 +24,7 @@ from bisect import insort
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -31,7 +33,9 @@ from pyspark.sql import functions as F
 from reposcope.llm.common import parts
 
 #: Entries of a worker's tables (pieces, states, pairs of tokens); a full table is emptied.
-CACHE_ROWS, STATES, PAIRS = 400_000, 300_000, 400_000
+CACHE_ROWS, STATES, PAIRS = 400_000, 100_000, 400_000
+#: Meetings of a state without a step for a byte before that step is kept.
+MEETINGS = 4
 #: Texts encoded at once: what waits in a worker is theirs.
 BATCH = 256
 #: Ids decoded at once.
@@ -54,14 +58,14 @@ def chunks(text: str) -> list[str] | None:
 
 
 class PieceCache:
-    """Encodes texts piece by piece (see chunks), each looked up; unknown pieces go to ``ask``, which
-    encodes many at once. ``glue`` joins results."""
+    """Encodes texts piece by piece (see chunks) to bytes, each different piece of some texts looked up
+    once; unknown pieces go to ``ask``, which encodes many at once."""
 
-    def __init__(self, ask, glue, rows: int = CACHE_ROWS):
-        self.ask, self.glue, self.rows = ask, glue, rows
-        self.pieces: dict = {}
+    def __init__(self, ask, rows: int = CACHE_ROWS):
+        self.ask, self.rows = ask, rows
+        self.pieces: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str]) -> list:
+    def encode(self, texts: list[str]) -> list[bytes]:
         """No reference cycles are made here, so Python need not search the tables for them."""
         gc.disable()
         try:
@@ -70,19 +74,32 @@ class PieceCache:
             gc.freeze()
             gc.enable()
 
-    def _encode(self, texts: list[str]) -> list:
-        pieces, glue = self.pieces, self.glue
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        pieces = self.pieces
         if len(pieces) > self.rows:
             pieces.clear()
         split = [chunks(t) for t in texts]
-        new = list(set().union(*(s for s in split if s is not None)) - pieces.keys())
+        flat = [p for s in split if s is not None for p in s]
+        places = pa.array(flat, pa.large_string()).dictionary_encode().indices.to_numpy()
+        first = np.flatnonzero(places > np.maximum.accumulate(np.r_[-1, places[:-1]])) if flat else []
+        words = [flat[i] for i in first]
+        made = list(map(pieces.get, words))
+        new = [w for w, m in zip(words, made, strict=True) if m is None]
         if new:
-            pieces.update(zip(new, self.ask(new), strict=True))
-        known = pieces.__getitem__
-        out = [glue.join(self.ask([t]) if s is None else map(known, s)) for t, s in zip(texts, split, strict=True)]
-        for piece in new:
-            if len(piece) > _LONG:
-                del pieces[piece]
+            answers = self.ask(new)
+            fresh = iter(answers)
+            made = [next(fresh) if m is None else m for m in made]
+            pieces.update((w, m) for w, m in zip(new, answers, strict=True) if len(w) <= _LONG)
+        every = pa.array(made, pa.large_binary()).take(pa.array(places))
+        data, at = every.buffers()[2], np.frombuffer(every.buffers()[1], dtype=np.int64, count=len(every) + 1) if len(every) else [0]
+        data, done, out = memoryview(data) if data else b"", 0, []
+        for t, s in zip(texts, split, strict=True):
+            if s is None:
+                out += self.ask([t])
+            else:
+                end = done + len(s)
+                out.append(bytes(data[at[done] : at[end]]))
+                done = end
         return out
 
 
@@ -118,6 +135,7 @@ class Transducer:
         #: times 2^20 and token), suffix.
         self.states: list[tuple[int, bytes, tuple, _Suffix]] = []
         self.steps: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.met: dict[int, int] = {}
         self._state(-1, b"", (), self._suffix(b""))
 
     def _suffix(self, text: bytes) -> _Suffix:
@@ -178,24 +196,31 @@ class Transducer:
         self.beside[a << 20 | b] = known
         return known
 
-    def step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """Make the state that follows, and what is settled on the way."""
-        before, pending, last, suffix = self.states[state]
-        pending += byte.to_bytes()
-        longer = suffix.next.get(byte)
-        if longer is None:
-            longer = suffix.next[byte] = self._suffix(suffix.text + byte.to_bytes())
-        n, known, found = len(pending), self.beside.get, 0
-        for size, token in longer.tokens:  # the first that fits is the only one
+    def _longer(self, suffix: _Suffix, byte: int) -> _Suffix:
+        made = suffix.next[byte] = self._suffix(suffix.text + byte.to_bytes())
+        return made
+
+    def _last(self, before: int, last: tuple | list, suffix: _Suffix, n: int) -> int:
+        """The last token of n pending bytes that end with the suffix, and its start: of the tokens that
+        end there the only one that fits what comes before it."""
+        known = self.beside.get
+        for size, token in suffix.tokens:
             start = n - size
             if start < 0:
                 continue
             ahead = last[start - 1] & _TOKEN if start else before
             fits = ahead < 0 or known(ahead << 20 | token)
             if self._fits(ahead, token) if fits is None else fits:
-                found = start << 20 | token
-                break
-        last = (*last, found)
+                return start << 20 | token
+        raise ValueError("the vocabulary lacks a byte")
+
+    def step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+        """Make the state that follows, and what is settled on the way."""
+        before, pending, last, suffix = self.states[state]
+        pending += byte.to_bytes()
+        longer = suffix.next.get(byte) or self._longer(suffix, byte)
+        n = len(pending)
+        last = (*last, self._last(before, last, longer, n))
         open_ = [n - size for size in longer.goes if size <= n]
         if open_ and not open_[0]:  # a token may still span all that is pending
             made = self._state(before, pending, last, longer), ()
@@ -215,8 +240,26 @@ class Transducer:
         self.steps[state << 8 | byte] = made
         return made
 
+    def _rest(self, state: int, rest: bytes) -> tuple[int, ...]:
+        """The tokens of what is pending and the rest, by steps that are not kept."""
+        before, pending, last, suffix = self.states[state]
+        last, n, known = list(last), len(pending), self.beside.get
+        for byte in rest:
+            suffix = suffix.next.get(byte) or self._longer(suffix, byte)
+            n += 1
+            for size, token in suffix.tokens:  # as in _last
+                start = n - size
+                if start < 0:
+                    continue
+                ahead = last[start - 1] & _TOKEN if start else before
+                fits = ahead < 0 or known(ahead << 20 | token)
+                if self._fits(ahead, token) if fits is None else fits:
+                    last.append(start << 20 | token)
+                    break
+        return self._path(last, n)
+
     @staticmethod
-    def _path(last: tuple, at: int) -> tuple[int, ...]:
+    def _path(last: tuple | list, at: int) -> tuple[int, ...]:
         out = []
         while at:
             x = last[at - 1]
@@ -233,10 +276,17 @@ class Transducer:
         if len(self.states) > STATES or len(self.beside) > PAIRS:
             self.clear()
         out: list[int] = []
-        state, known = 0, self.steps.get
-        for byte in piece:
+        state, known, short = 0, self.steps.get, len(piece) <= _LONG
+        for i, byte in enumerate(piece):
             way = known(state << 8 | byte)
-            state, emitted = self.step(state, byte) if way is None else way
+            if way is None:
+                times = self.met.get(state, 0)
+                if short and times < MEETINGS:
+                    self.met[state] = times + 1
+                    out += self._rest(state, piece[i:])
+                    return out
+                way = self.step(state, byte)
+            state, emitted = way
             if emitted:
                 out += emitted
         _, pending, last, _ = self.states[state]
@@ -279,17 +329,18 @@ class Codec:
         self.fst = Transducer(ranks)
         self.split = regex.compile(pattern).findall
         self.bytes_of = {str(i): t for t, i in ranks.items()}
-        self.cache = PieceCache(lambda texts: [self._plain(t) for t in texts], " ")
+        self.cache = PieceCache(lambda texts: [self._plain(t) for t in texts])
 
-    def _plain(self, text: str) -> str:
+    def _plain(self, text: str) -> bytes:
+        """Decimal ids, a space after each."""
         encode, out = self.fst.encode, []
         for piece in (text,) if WORD(text) else self.split(text):
             out += encode(piece.encode("utf-8", "surrogatepass"))
-        return " ".join(map(str, out))
+        return b"%d " * len(out) % tuple(out)
 
     def ids_texts(self, texts: list[str]) -> list[str]:
         """Decimal ids joined by one space, of every text."""
-        return [x for at in range(0, len(texts), BATCH) for x in self.cache.encode(texts[at : at + BATCH])]
+        return [x[:-1].decode() for at in range(0, len(texts), BATCH) for x in self.cache.encode(texts[at : at + BATCH])]
 
     def digests(self, ids: str) -> tuple[int, str, str]:
         """Number of decimal ids, SHA-256 of them and of the text that the streaming decoder gives out."""

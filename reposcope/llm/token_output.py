@@ -169,7 +169,7 @@ class Encoder:
         vocabulary = self.library.get_vocab()
         self.opens = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.opens[[i for token, i in vocabulary.items() if token.startswith(SPACE)]] = True
-        self.cache = PieceCache(self._ask, b"", PIECES)
+        self.cache = PieceCache(self._ask, PIECES)
 
     @staticmethod
     def _words(path: str):
