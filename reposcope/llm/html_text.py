@@ -1,39 +1,55 @@
 """Main text of web pages by site style trees.
 
 Pages of a host are merged into one tree of style nodes: a node is the way from the root through block
-elements with their classes. For every node, over all pages of its host and over all pages of all
-hosts, the entropies of its contents and of its presentations (the sequence of its children) are
-taken. Content that hardly changes from page to page, or comes from a small stock, has a low entropy:
-such branches hold menus, notices and the like, and are cut from each page; the rest is given out in
-page order. Hosts with few pages lean on the tree of all hosts, and that on what the presentation
-itself says (element and class names). What these names surely mark as standing around the article is
-cut at any entropy, unless it wraps half of the host's text.
-
-Copies of a page count once for a host, and copies of a node's content once for the node. A content
-that few pages of a host share stays by its own worth (1 less the logarithm of the pages that hold it
-over that of all the node's) where its node alone would be cut. The counts are grouped by host, node and content, never by
-host alone, so that a host may hold any share of the pages.
+elements with their classes. A node's blocks of text are its contents, the sequence of its children
+its presentation. Importance is the entropy that a doubling of the pages still adds, in bits: 1 if
+each further page brings contents of its own, 0 if all of them come from a stock that the pages seen
+so far have used up (menus, notices, adverts from a pool). Each content counts once, so copies of an
+article, under whatever menus, do not lower it. Contents and presentations make the composite
+importance: the more children a node has, the more its presentation counts.
+
+A node is as important as the less important of what its host and what all hosts say, either leaning
+towards 1 while it knows few pages. The logarithm of its odds decides together with a prior:
+elements and names that mark what stands around an article speak against it, the less the more of the
+host's text they hold (so that they say nothing about what wraps the page); an article element
+speaks for it. Below the border a branch is cut from every page of the host; there a content that no
+other page of any host holds still stays if it is much longer than the node's repeated contents.
+
+Everything is counted by host, node and content, never by host alone, so that a host may hold any
+share of the pages.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reposcope.llm.common import materialize
+from reposcope.llm.common import materialize, parts
 
-#: Pages that the tree of all hosts stands for beside a host's own, and the presentation beside that.
-LEAN = 5.0
-#: Trees of this many rows at most (about 100 bytes each) are broadcast; larger ones are joined.
+#: Pages of importance 1 that are taken as seen beforehand.
+LEAN = 3.0
+#: Share of the contents for each child element, in the composite importance.
+GAMMA = 0.9
+#: Verdicts of this many nodes at most (about 100 bytes each) are sent to every worker; more are joined.
 BROADCAST_ROWS = 200_000
-BORDER = 0.5
+#: Importance stays this far from 0 and 1, so that its odds are finite.
+EDGE = 0.02
+#: Log-odds: for an article, against what is marked as around it (outside and inside an article or main
+#: element).
+ARTICLE, OUTSIDE, INSIDE = 2.0, 8.0, 6.0
+#: How many times longer than a cut node's repeated contents a content must be to stay.
+LONGER = 4.0
+#: Elements within each other that make a way; deeper ones count as their ancestor at that depth.
+DEPTH = 64
 #: Elements whose text is never shown, elements inside a line, elements without an end,
-#: elements and words of classes that are not the article's.
+#: elements and words of classes that mark what is around an article.
 HIDDEN = frozenset("script style noscript template head title iframe svg math object select textarea button canvas audio video datalist".split())
 RAW = frozenset("script style noscript template iframe textarea title svg".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -41,10 +57,47 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 AROUND = frozenset("nav footer aside form menu dialog".split())
 _AROUND_WORD = re.compile(r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|banner|sponsor\w*|promo\w*|sidebar|side|widget|comments?|respond|disqus|cookies?|consent|notice|alert|popup|modal|newsletter|subscribe|menu|nav|navbar|navigation|breadcrumbs?|footer|share|sharing|social|related|recommended|login|search|toolbar|masthead|copyright|pagination|pager)(?:$|[\s_-])", re.I)
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+_OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+_NAIVE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _SPACE = re.compile(r"\s+")
 _DIGITS = re.compile(r"[0-9]+")
+#: Elements that an opening tag ends, beside the paragraphs that blocks end.
+_ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+
+
+def tags(source: str, at: int = 0) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, slash, name, attributes) of tags; no name for comments and declarations. Linear: once
+    a tag's quotes do not close, tags end at the next > whatever is quoted."""
+    quoted, n = True, len(source)
+    while (at := source.find("<", at)) >= 0:
+        after = source[at + 1 : at + 2]
+        if source.startswith("<!--", at):
+            end = source.find("-->", at + 4)
+            end = end + 3 if end >= 0 else n
+            yield at, end, "", "", ""
+        elif after and after in "!?":
+            end = source.find(">", at) + 1
+            if not end:
+                return
+            yield at, end, "", "", ""
+        elif after.isalpha() or after == "/":
+            m = _OPEN.match(source, at) if quoted else None
+            first = source[at + 1 + (after == "/") : at + 2 + (after == "/")]
+            if m is None and first.isascii() and first.isalpha():
+                quoted = False
+                if source.find(">", at) < 0:
+                    return
+                m = _NAIVE.match(source, at)
+            if m is None:
+                at += 1
+                continue
+            end = m.end()
+            at = (yield at, end, m[1], m[2].lower(), m[3]) or end
+            continue
+        else:
+            end = at + 1
+        at = end
 
 
 class Page:
@@ -53,58 +106,72 @@ class Page:
     def __init__(self, source: str):
         self.blocks: list[tuple[str, str]] = []
         self.children: dict[str, list[str]] = {}
-        stack: list[tuple[str, str]] = [("", "")]
-        held: list[str] = []
-        hidden, at, n = 0, 0, len(source)
-
-        def flush():
-            text = _SPACE.sub(" ", entities.unescape("".join(held))).strip()
-            held.clear()
-            if text:
-                self.blocks.append((stack[-1][1], text))
-
-        while at < n:
-            m = _TAG.search(source, at)
-            if not hidden:
-                held.append(source[at : m.start() if m else n])
-            if not m:
-                break
-            at = m.end()
-            if m[2] is None:
-                continue
-            name = m[2].lower()
-            if name == "br" and not hidden:
-                held.append(" ")
-            if name in VOID or name in INLINE:
-                if name == "hr" and not hidden:
-                    flush()
-                continue
-            if m[1]:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == name:
-                        flush()
-                        hidden -= sum(s[0] in HIDDEN for s in stack[k:])
-                        del stack[k:]
-                        break
-                continue
-            flush()
-            if name in CLOSES_P or name in ("li", "dt", "dd", "tr", "td", "th", "option"):
-                ends = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}.get(name, ("p",))
-                while stack[-1][0] in ends:
-                    stack.pop()
-            marks = " ".join(sorted({w for a in _ATTR.finditer(m[3]) for w in _DIGITS.sub("0", (a[2] or a[3] or a[4] or "")).split()})) if m[3] else ""
-            node = f"{stack[-1][1]}>{name}" + (f".{marks}" if marks else "")
-            self.children.setdefault(stack[-1][1], []).append(name)
-            if m[3].endswith("/") and name in ("svg", "math"):
-                continue
-            stack.append((name, node))
-            hidden += name in HIDDEN
-            if name in RAW:
-                end = re.compile(f"</{re.escape(name)}\\s*>", re.I).search(source, at)
-                stack.pop()
-                hidden -= name in HIDDEN
-                at = end.end() if end else n
-        flush()
+        self.stack: list[tuple[str, str]] = [("", "")]
+        self.open: Counter[str] = Counter()
+        self.held: list[str] = []
+        self.hidden = 0
+        at, found = 0, tags(source)
+        tag = next(found, None)
+        while tag is not None:
+            start, end, slash, name, rest = tag
+            if not self.hidden:
+                self.held.append(source[at:start])
+            at = end
+            if name and (raw := self._tag(slash, name, rest)):
+                close = re.compile(f"</{re.escape(raw)}\\s*>", re.I).search(source, end)
+                at = close.end() if close else len(source)
+            try:
+                tag = found.send(at) if name else next(found)
+            except StopIteration:
+                tag = None
+        if not self.hidden:
+            self.held.append(source[at:])
+        self._flush()
+
+    def _flush(self) -> None:
+        text = _SPACE.sub(" ", entities.unescape("".join(self.held))).strip()
+        self.held.clear()
+        if text:
+            self.blocks.append((self.stack[-1][1], text))
+
+    def _pop(self) -> None:
+        name, _ = self.stack.pop()
+        self.open[name] -= 1
+        self.hidden -= name in HIDDEN
+
+    def _tag(self, slash: str, name: str, rest: str) -> str | None:
+        """Takes a tag; the name if the element's text is raw."""
+        if name in VOID or name in INLINE:
+            if not self.hidden and name == "br":
+                self.held.append(" ")
+            elif not self.hidden and name == "hr":
+                self._flush()
+            return None
+        if slash:
+            if self.open[name] > 0:
+                self._flush()
+                while self.stack[-1][0] != name:
+                    self._pop()
+                self._pop()
+            return None
+        self._flush()
+        if name in CLOSES_P or name in _ENDS:
+            while self.stack[-1][0] in _ENDS.get(name, ("p",)):
+                self._pop()
+        above = self.stack[-1][1]
+        self.children.setdefault(above, []).append(name)
+        if name in RAW:
+            return name
+        if rest.endswith("/") and name in ("svg", "math"):
+            return None
+        marks = " ".join(sorted({w for a in _ATTR.finditer(rest) for w in _DIGITS.sub("0", a[2] or a[3] or a[4] or "").split()})) if rest else ""
+        if len(marks) > 200:
+            marks = xxhash.xxh64_hexdigest(marks.encode("utf-8", "surrogatepass"))
+        step = f">{name}.{marks.replace('>', '')}" if marks else f">{name}"
+        self.stack.append((name, above + step if len(self.stack) <= DEPTH else above))
+        self.open[name] += 1
+        self.hidden += name in HIDDEN
+        return None
 
 
 def _steps(node: str) -> list[str]:
@@ -113,31 +180,19 @@ def _steps(node: str) -> list[str]:
     return [node[:i] for i in at[1:]] + [node] if at else []
 
 
-def presentation(node: str, wrappers: frozenset[str] = frozenset()) -> tuple[float, bool]:
-    """What a node's own way says: 0 for what is marked as standing around the article, 1 else; and
-    whether that decides. It does not inside an article. Marks of ``wrappers``, and of whatever holds
-    a main element, say nothing."""
-    inside, look, sure = False, 1.0, False
+def marked(node: str) -> tuple[float, list[tuple[str, float]]]:
+    """The log-odds that speak for a node as an article's, and the marked ways to it with what each says
+    against it. Marks of whatever holds a main element say nothing."""
+    article, main, against = False, False, []
     for way in _steps(node):
         name, _, marks = way[way.rfind(">") + 1 :].partition(".")
         if name == "main":
-            look, sure = 1.0, False
-        inside = inside or name in ("article", "main")
-        if way not in wrappers and (name in AROUND or name == "header" and not inside or marks and name not in ("html", "body", "article", "main") and _AROUND_WORD.search(marks)):
-            look, sure = 0.0, sure or not inside
-    return look, sure
-
-
-def wrappers_of(sizes: dict[str, int]) -> frozenset[str]:
-    """Of nodes and their characters, over a host: the ways that several nodes share and that hold half of
-    all text or more. They are what the page is wrapped in, whatever they are called."""
-    inside: dict[str, list[int]] = {}
-    for node, size in sizes.items():
-        for way in _steps(node):
-            held = inside.setdefault(way, [0, 0])
-            held[0] += size
-            held[1] += 1
-    return frozenset(way for way, (size, nodes) in inside.items() if nodes > 1 and 2 * size >= sum(sizes.values()))
+            main = True
+            against.clear()
+        elif name in AROUND or name == "header" and not (article or main) or marks and name not in ("html", "body", "article") and _AROUND_WORD.search(marks):
+            against.append((way, INSIDE if article or main else OUTSIDE))
+        article = article or name == "article"
+    return (ARTICLE if article and not against else 0.0), against
 
 
 def host_of(url: str | None) -> str:
@@ -150,129 +205,154 @@ def _key(text: str, host: str) -> int:
     return xxhash.xxh64_intdigest(plain.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def _doc() -> Column:
-    return F.xxhash64("url", "html")
-
-
 def observations(pages: DataFrame) -> DataFrame:
-    """(doc, host, node, page, content, style, size): what each node holds on each page, one row for
-    each node; ``doc`` as in ``_doc``."""
+    """(host, node, page, contents, sizes, style, kids): what each node holds on each page, one row for
+    each node; page is a key of the page's whole text."""
+    names = ["host", "node", "page", "contents", "sizes", "style", "kids"]
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int64()]
 
     def run(batches):
-        for batch in batches:
+        for part in parts(batches, 64):
             rows: list[tuple] = []
-            for url, source, doc in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for url, source in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 page, host = Page(source or ""), host_of(url)
-                texts: dict[str, list[str]] = {}
+                texts: dict[str, dict[int, int]] = {}
                 for node, text in page.blocks:
-                    texts.setdefault(node, []).append(text)
+                    texts.setdefault(node, {})[_key(text, host)] = len(text)
                 whole = _key(" ".join(t for _, t in page.blocks), "")
-                rows += [(doc, host, node, whole, _key(" ".join(own), host), _key(" ".join(page.children.get(node, [])), ""), sum(map(len, own))) for node, own in texts.items()]
+                for node, own in texts.items():
+                    below = page.children.get(node, [])
+                    rows.append((host, node, whole, list(own), list(own.values()), _key(" ".join(below), ""), len(below)))
             columns = list(zip(*rows, strict=True)) or [[]] * 7
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["doc", "host", "node", "page", "content", "style", "size"])
-
-    return pages.select("url", "html", _doc().alias("doc")).mapInArrow(run, "doc bigint, host string, node string, page bigint, content bigint, style bigint, size bigint")
-
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
 
-def _entropy(df: DataFrame, by: list[str], of: str, name: str) -> DataFrame:
-    """Entropy of ``of`` over the logarithm of the pages, the same with every value counted once, and
-    the pages: 1 if each page differs."""
-    one = df.groupBy(*by, of).agg(F.sum("n").alias("n"))
-    whole = one.groupBy(*by).agg(F.sum("n").alias("_m"), F.sum(F.expr("n * log2(n)")).alias("_s"), F.count("*").alias("_d"))
-    many = F.col("_m") > 1
-    return whole.select(
-        *by, F.col("_m").alias(f"m_{name}"), F.when(many, 1 - F.col("_s") / (F.col("_m") * F.log2("_m"))).otherwise(1.0).alias(f"h_{name}"),
-        F.when(many, F.log2("_d") / F.log2("_m")).otherwise(1.0).alias(f"d_{name}"),
-    )
+    return pages.select("url", "html").mapInArrow(run, "host string, node string, page bigint, contents array<bigint>, sizes array<bigint>, style bigint, kids bigint")
 
 
-def importance(seen: DataFrame) -> DataFrame:
-    """(host, node, m, h, all_m, all_h, size): pages and composite entropy of each node, for its host
-    and for all hosts, and its characters on the host. A node's contents and presentations both count;
-    what varies most decides. Each content counts once, so that copies under differing menus do not
-    lower it."""
-    once = seen.groupBy("host", "node", "page", "content", "style").agg(F.lit(1).cast("bigint").alias("n"), F.max("size").alias("size"))
-    counted = once.groupBy("host", "node", "content", "style").agg(F.sum("n").alias("n"), F.sum("size").alias("size"))
+def growth(values: DataFrame, by: list[str], name: str) -> DataFrame:
+    """Of ``values(..., a, b)``, one row for each different value with whether either half of the pages
+    holds it: the entropy that the second half adds, counting each value once; 0 to 1."""
+    halves = F.sum("a") + F.sum("b")
+    return values.groupBy(*by).agg(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.log2(2 * F.count("*") / halves))).alias(name))
 
-    def both(by):
-        own = _entropy(counted, by, "content", "c").join(_entropy(counted, by, "style", "s"), by)
-        return own.select(*by, F.col("m_c").alias("m"), F.greatest("d_c", F.when(F.col("m_s") > 1, F.col("h_s")).otherwise(0.0)).alias("h"))
 
-    every = both(["node"]).select("node", F.col("m").alias("all_m"), F.col("h").alias("all_h"))
-    sizes = counted.groupBy("host", "node").agg(F.sum("size").alias("size"))
-    return both(["host", "node"]).join(sizes, ["host", "node"]).join(every, "node")
+def _held(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Different values with the halves that hold them, and the least and greatest page that does."""
+    return rows.groupBy(*by).agg(F.max("a").alias("a"), F.max("b").alias("b"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("size").alias("size"))
 
 
-def weight(node: str, m: float, h: float, all_m: float, all_h: float, wrappers: frozenset[str] = frozenset()) -> float:
-    """Importance of a node: its host's entropy, leaning on all hosts' and on the presentation. What
-    the presentation surely marks as standing around the article stays below the border."""
-    look, sure = presentation(node, wrappers)
-    every = (all_m * all_h + LEAN * look) / (all_m + LEAN)
-    own = (m * h + LEAN * every) / (m + LEAN)
-    return own * (0.4 if sure else 1.0)
+def importance(seen: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(host, node, u, size): composite importance of each node and its characters on the host; and
+    (host, node, content): contents that stay though their node may be cut."""
+    once = seen.groupBy("host", "node", "page").agg(*(F.first(c).alias(c) for c in ("contents", "sizes", "style", "kids")))
+    half = F.pmod("page", F.lit(2))
+    once = once.withColumns({"a": 1 - half, "b": half, "low": F.col("page"), "high": F.col("page")})
+    blocks = once.select("host", "node", F.explode(F.arrays_zip("contents", "sizes")).alias("x"), "a", "b", "low", "high").select("host", "node", F.col("x.contents").alias("content"), F.col("x.sizes").alias("size"), "a", "b", "low", "high")
+    own = materialize(_held(blocks, ["host", "node", "content"]), "contents")
+    every = _held(own, ["node", "content"])
+    styles = _held(once.withColumn("size", F.lit(0)), ["host", "node", "style"])
+    weight = F.pow(F.lit(GAMMA), "kids")
 
+    def composite(contents, presentations, counted, by, name):
+        rows = growth(contents, by, "c").join(growth(presentations, by, "s"), by).join(counted, by)
+        u = (1 - weight) * F.col("s") + weight * F.col("c")
+        return rows.select(*by, ((F.col("m") * u + LEAN) / (F.col("m") + LEAN)).alias(name))
 
-def rare_contents(seen: DataFrame, tree: DataFrame) -> DataFrame:
-    """(doc, rare array<struct<node, h>>): for each page the nodes whose own content says more on this
-    host than the node does on the whole (1 if no other page holds it), if the node may be cut."""
-    one = seen.groupBy("host", "node", "content", "page").agg(F.lit(1).alias("n")).groupBy("host", "node", "content").agg(F.count("*").alias("n"))
-    least = F.expr(f"(m * h + {LEAN} * all_m * all_h / (all_m + {LEAN})) / (m + {LEAN})")
-    doubtful = tree.where((least < BORDER) & (F.col("m") > 1)).select("host", "node", "m", "h")
-    rare = one.join(doubtful, ["host", "node"]).withColumn("own", 1 - F.log2("n") / F.log2("m")).where("own > h").select("host", "node", "content", "own")
-    return seen.join(rare, ["host", "node", "content"]).groupBy("doc").agg(F.collect_set(F.struct("node", F.col("own").alias("h"))).alias("rare"))
+    pages = once.groupBy("host", "node").agg(F.count("*").alias("m"), F.avg("kids").alias("kids"))
+    total = pages.groupBy("node").agg(F.sum("m").alias("m_"), (F.sum(F.col("m") * F.col("kids")) / F.sum("m")).alias("kids")).withColumnRenamed("m_", "m")
+    by_host = composite(own, styles, pages, ["host", "node"], "own")
+    by_node = composite(every, _held(styles, ["node", "style"]), total, ["node"], "every")
+    chars = F.aggregate("sizes", F.lit(0).cast("bigint"), lambda total, x: total + x)
+    sizes = once.groupBy("host", "node").agg(F.sum(chars).alias("size"))
+    tree = by_host.join(by_node, "node").join(sizes, ["host", "node"]).select("host", "node", F.least("own", "every").alias("u"), "size")
+    repeated = every.where("low < high").groupBy("node").agg(F.avg("size").alias("usual"))
+    tree = materialize(tree, "style-tree")
+    single = every.where("low = high").join(repeated, "node").where(F.col("size") > LONGER * F.col("usual")).select("node", "content")
+    return tree, own.join(tree.where("u < 0.5").select("host", "node"), ["host", "node"]).join(single, ["node", "content"]).select("host", "node", "content")
 
 
-class Kept:
-    """What stays of a host's pages."""
+def verdicts(tree: DataFrame) -> DataFrame:
+    """(host, node, odds, prior) of each node: odds of its importance and prior together, and the prior
+    alone. What a marked way says weighs less the more of the host's text it holds."""
 
-    def __init__(self, tree: list[dict]):
-        self.wrappers = wrappers_of({t["node"]: t["size"] for t in tree})
-        self.tree = {t["node"]: t for t in tree}
-        self.nodes = {n: self.stays(n, t["h"]) for n, t in self.tree.items()}
-
-    def stays(self, node: str, h: float) -> bool:
-        t = self.tree[node]
-        return weight(node, t["m"], h, t["all_m"], t["all_h"], self.wrappers) >= BORDER
-
-    def text(self, source: str, rare: list[dict]) -> str:
-        own = {r["node"]: r["h"] for r in rare}
-        keep = self.nodes | {n: self.stays(n, h) for n, h in own.items() if not self.nodes.get(n, True)}
-        return " ".join(t for node, t in Page(source).blocks if keep.get(node, presentation(node)[0] > 0))
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for host, node in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                plus, against = marked(node)
+                rows += [(host, node, plus, way, x) for way, x in against or [(None, 0.0)]]
+            columns = list(zip(*rows, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, (pa.string(), pa.string(), pa.float64(), pa.string(), pa.float64()), strict=True)], ["host", "node", "plus", "way", "against"])
+
+    said = tree.select("host", "node").mapInArrow(run, "host string, node string, plus double, way string, against double")
+    steps = F.split("node", ">")
+    ways = F.transform(F.sequence(F.lit(2), F.size(steps)), lambda i: F.array_join(F.slice(steps, F.lit(1), i), ">"))
+    inside = tree.where(F.size(steps) > 1).select("host", F.explode(ways).alias("way"), "size").groupBy("host", "way").agg(F.sum("size").alias("inside"))
+    whole = tree.groupBy("host").agg(F.sum("size").alias("whole"))
+    held = said.join(inside, ["host", "way"], "left").join(whole, "host")
+    minus = F.when(F.col("way").isNotNull(), -F.col("against") * (1 - F.col("inside") / F.col("whole"))).otherwise(0.0)
+    prior = held.groupBy("host", "node").agg((F.max("plus") + F.min(minus)).alias("prior"))
+    u = F.least(F.greatest("u", F.lit(EDGE)), F.lit(1 - EDGE))
+    return tree.join(prior, ["host", "node"]).select("host", "node", (F.log(u / (1 - u)) + F.col("prior")).alias("odds"), "prior")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row. Null pages count as empty; text is empty if nothing
-    is left. Repeated rows give repeated rows; null URLs make one host of their own.
+    is left. Repeated rows give repeated rows and count once in the trees; null URLs make one host of
+    their own; other columns are not read; an empty table gives no rows. Pages are read whole, in
+    linear time, however long they are and whatever tags they leave open.
+
+    Verdicts of BROADCAST_ROWS nodes at most go to all workers; more are joined to the blocks."""
+    tree, rare = importance(materialize(observations(pages), "style-nodes"))
+    said, rare = materialize(verdicts(tree), "verdicts"), materialize(rare, "rare-contents")
+    if said.count() + rare.count() > BROADCAST_ROWS:
+        return _joined(pages, said, rare)
+    nodes = {(r["host"], r["node"]): (r["odds"], r["prior"]) for r in said.toLocalIterator()}
+    own = {(r["host"], r["node"], r["content"]) for r in rare.toLocalIterator()}
+    shared = pages.sparkSession.sparkContext.broadcast((nodes, own))
+
+    def run(batches):
+        known, single = shared.value
+        for part in parts(batches, 64):
+            out = []
+            for url, source in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                host, found = host_of(url), []
+                for node, text in Page(source or "").blocks:
+                    odds, prior = known[host, node]
+                    if odds >= 0 or prior > -_MOST and single and (host, node, _key(text, host)) in single:
+                        found.append(text)
+                out.append(" ".join(found))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    The nodes' importance comes to the pages by host: a host's whole list is one map, built from
-    nodes, whose number depends on the host's layouts and not on its pages."""
-    seen = materialize(observations(pages), "style-nodes")
-    tree = materialize(importance(seen), "style-tree")
-    trees = tree.groupBy("host").agg(F.collect_list(F.struct("node", "m", "h", "all_m", "all_h", "size")).alias("tree"))
-    rare = materialize(rare_contents(seen, tree), "rare-contents")
-    return _cut(pages, F.broadcast(trees) if tree.count() <= BROADCAST_ROWS else trees, F.broadcast(rare) if rare.count() <= BROADCAST_ROWS else rare)
+    kind = pages.schema["page_id"].dataType.simpleString()
+    return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars bigint")
 
 
-def _cut(pages: DataFrame, trees: DataFrame, rare: DataFrame) -> DataFrame:
-    at = F.instr(F.coalesce("url", F.lit("")), "://")
-    rest = F.when(at > 0, F.expr("substring(url, instr(url, '://') + 3)")).otherwise("")
-    host = F.lower(F.regexp_extract(rest, "^([^/?#]*)", 1))
+#: The greatest odds that importance alone can give.
+_MOST = 3.9
 
-    def run(batches):
-        known: dict[str, Kept] = {}
-        for batch in batches:
-            out = []
-            hosts, lists, rares = batch.column(3).to_pylist(), batch.column(4), batch.column(5).to_pylist()
-            for i, (source, own_host) in enumerate(zip(batch.column(2).to_pylist(), hosts, strict=True)):
-                if own_host not in known:
-                    if len(known) > 5000:
-                        known.clear()
-                    known[own_host] = Kept(lists[i].as_py() or [])
-                out.append(known[own_host].text(source or "", rares[i] or []))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
+def _joined(pages: DataFrame, said: DataFrame, rare: DataFrame) -> DataFrame:
+    """The same by joins of all blocks with their verdicts; a row for each page marks it at place -1."""
     kind = pages.schema["page_id"].dataType.simpleString()
-    joined = pages.select("page_id", "url", "html").withColumns({"host": host, "doc": _doc()}).join(trees, "host", "left").join(rare, "doc", "left")
-    return joined.select("page_id", "url", "html", "host", "tree", "rare").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars bigint")
+    kinds = [pa.int64(), None, pa.string(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.string()]
+    names = ["row", "page_id", "url", "place", "host", "node", "content", "text"]
 
+    def run(batches):
+        for part in parts(batches, 64):
+            rows = []
+            for row, page_id, url, source in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                host = host_of(url)
+                rows.append((row, page_id, url, -1, host, None, None, None))
+                rows += [(row, page_id, url, i, host, node, _key(text, host), text) for i, (node, text) in enumerate(Page(source or "").blocks)]
+            own = [k or part.column(1).type for k in kinds]
+            columns = list(zip(*rows, strict=True)) or [[]] * 8
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, own, strict=True)], names)
+
+    numbered = pages.select(F.monotonically_increasing_id().alias("row"), "page_id", "url", "html")
+    blocks = materialize(numbered.mapInArrow(run, f"row bigint, page_id {kind}, url string, place int, host string, node string, content bigint, text string"), "blocks")
+    kept = blocks.join(said, ["host", "node"], "left").join(rare.withColumn("single", F.lit(True)), ["host", "node", "content"], "left")
+    kept = kept.where((F.col("place") < 0) | (F.col("odds") >= 0) | (F.col("prior") > -_MOST) & F.col("single"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("place") >= 0, F.struct("place", "text")))), lambda x: x["text"]), " ")
+    made = kept.groupBy("row").agg(F.first("page_id").alias("page_id"), F.first("url").alias("url"), text.alias("text"))
+    return made.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
