@@ -357,6 +357,64 @@ def test_html_copies_leave_unique_articles(spark, copies, single):
     assert single < 10 or all(got[i] == want[i] for i in range(copies))
 
 
+def styled_pages(rng, pages, names):
+    """Pages of three hosts whose menus, adverts and footers come from stocks, and what their articles hold."""
+    def text(n):
+        return " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(n))
+
+    words, adverts = [text(1) for _ in range(30)], [text(8) for _ in range(12)]
+    rows, want = [], {}
+    for i in range(pages):
+        own = [text(20) for _ in range(rng.randint(1, 4))]
+        parts = {"menu": "".join(f"<p>{rng.choice(words)}" for _ in range(5)), "advert": rng.choice(adverts), "body": "".join(f"<p>{t}</p>" for t in own), "foot": "All rights " + rng.choice(adverts)}
+        rows.append((i, f"http://h{i % 3}.com/{i}", "<html><body>" + "".join(f"<div class='{names[k]}'>{v}</div>" for k, v in parts.items()) + "</body></html>"))
+        want[i] = " ".join(own)
+    return rows, want
+
+
+def test_html_trees_decide_without_names(spark):
+    """Class names that mean nothing: menus, adverts and footers go by the tree alone, articles stay."""
+    rows, want = styled_pages(random.Random(3), 240, {"menu": "qx", "advert": "zw", "body": "vk", "foot": "jy"})
+    pages = spark.createDataFrame(rows, "page_id int, url string, html string")
+    assert {r.page_id: r.text for r in html_text.extract(pages).collect()} == want
+    tree, _ = html_text.importance(html_text.observations(pages))
+    said = html_text.verdicts(tree).collect()
+    changed = [r for r in said if (r.odds >= 0) != (r.prior >= 0)]
+    print(f"the tree changes the verdict of {len(changed)} of {len(said)} nodes")
+    assert len(changed) == 9
+
+
+def test_html_trees_overrule_names(spark):
+    """A wrapper named like a sidebar that holds the host's text stays; a repeated block in an article goes."""
+    rows, want = styled_pages(random.Random(4), 120, {"menu": "menu", "advert": "zw", "body": "sidebar", "foot": "footer"})
+    rows = [(i, u, h.replace("</body>", "<article><div>Share this page</div></article></body>")) for i, u, h in rows]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    assert got == want
+
+
+def test_html_joined_way_is_the_same(spark, monkeypatch):
+    rows, want = styled_pages(random.Random(5), 90, {"menu": "qx", "advert": "zw", "body": "vk", "foot": "jy"})
+    rows += [(200, None, None), (201, "x", ""), (5, *rows[5][1:]), (5, *rows[5][1:])]
+    long = "".join(random.Random(1).choice("abcdefgh ") for _ in range(900))
+    rows.append((300, "http://h0.com/x", f"<html><body><div class='zw'>{long}</div></body></html>"))
+    pages = spark.createDataFrame([(*r, 1, "x") for r in rows], "page_id int, url string, html string, host int, text string")
+    one = sorted(map(tuple, html_text.extract(pages).collect()), key=str)
+    monkeypatch.setattr(html_text, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, html_text.extract(pages).collect()), key=str) == one and len(one) == len(rows)
+    assert {r[0]: r[2] for r in one}[300] == " ".join(long.split()) and all(r[2] == want[r[0]] for r in one if r[0] in want)
+    assert html_text.extract(pages.limit(0)).count() == 0
+
+
+def test_html_hostile_pages_take_linear_time():
+    import time
+
+    began = time.time()
+    for s in ("<" + "a" * 1_000_000, "<a " * 300_000, '<a "' * 250_000, "<div>" * 200_000, "</p>" * 250_000 + "<div>" * 999, '<a ">" ' * 150_000, "<!--" * 250_000, "<" * 1_000_000, "<p class='" + "x " * 400_000 + "'>t"):
+        html_text.Page(s)
+    assert time.time() - began < 30
+    assert [t for _, t in html_text.Page("a <é b < c <3 <p title='x>y'>d</p> <a href=\"u>e").blocks][:2] == ["a <é b < c <3", "d"]
+
+
 def brute_segments(s):
     best = max(((sum(s[i:j]), -(i - j), i, j) for i in range(len(s)) for j in range(i + 1, len(s) + 1)), default=(0,), key=lambda x: (x[0], -x[1] if len(x) > 1 else 0))
     if best[0] <= 0:
