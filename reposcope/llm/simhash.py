@@ -23,11 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reposcope.llm.common import connected_components, materialize
+from reposcope.llm.common import connected_components, materialize, parts
 
 SEED = 42
 #: Members of a tile; a group that is verified together holds two tiles at most.
@@ -35,8 +36,9 @@ TILE = 2048
 #: What one dealt signature costs, in verified candidates.
 ROW_COST = 300
 _SLICE = 1 << 16
-#: Bands of minima: sets of similarity 0.8 share none of them with a chance of 8e-6, of 0.85 with 1e-9.
-BANDS, BAND_ROWS = 64, 8
+#: Bands of minima: sets of similarity 0.8 share none of them with a chance of 2e-4, of 0.85 with 2e-6;
+#: half of those at 0.8 that share none are near by their fingerprints.
+BANDS, BAND_ROWS = 28, 6
 #: Documents and characters of a tile of whole texts; two tiles at most are compared together.
 SET_TILE, SET_CHARS = 512, 16_000_000
 _ODD = np.random.default_rng(SEED).integers(0, 2**63, (2, BANDS * BAND_ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -72,7 +74,7 @@ def fingerprints(docs: DataFrame, words: int, distinct: bool = False, id_col: st
     """(id, fp) of every row. Null texts count as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             texts = batch.column(1).cast(pa.large_binary())
             made = [fingerprint(shingle_hashes(t.as_py(), words, distinct)) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.int64())], ["id", "fp"])
@@ -169,7 +171,7 @@ def plan(reps: DataFrame, bound: int) -> list[tuple[list[int], int]]:
     return [(bits, t) for bits, t in zip(layouts[chosen[2]], chosen[1], strict=True) if t >= 0]
 
 
-def probe(reps: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
+def probe(reps: DataFrame, layout: list[tuple[list[int], int]]) -> DataFrame:
     """(g, fp, rep): each fingerprint at each of its signatures. Threshold 1: a value also stands at
     the values with one more bit set; 2: at all values one bit away, so that values two bits apart
     meet between."""
@@ -177,7 +179,7 @@ def probe(reps: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
     def run(batches):
         for batch in batches:
             fps, rep = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            for i, (bits, t) in enumerate(parts):
+            for i, (bits, t) in enumerate(layout):
                 value = part_values(fps, bits)
                 base = np.int64(i) << np.int64(40)
                 keys, rows = [value | base], [np.arange(len(fps))]
@@ -249,7 +251,8 @@ def _verify(g: np.ndarray, fps: np.ndarray, rep: np.ndarray, bound: int) -> list
 
 def links(reps: DataFrame, bound: int) -> DataFrame:
     """(a, b): links that connect whatever fingerprints differ by ``bound`` bits or fewer. Their
-    number is that of spanning forests of the groups, not of all linked pairs."""
+    number is that of spanning forests of the groups, not of all linked pairs. The probes are made
+    anew for the count of hot signatures: that takes less than writing and reading them."""
     probes = probe(reps, plan(reps, bound))
     hot = probes.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > 2 * TILE).select("g", F.ceil(F.col("n") / TILE).alias("tiles"))
     own = F.pmod(F.xxhash64("fp"), F.col("tiles"))
@@ -291,8 +294,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, bound: int = 9, distinct: b
     """
     fps = materialize(fingerprints(docs, words, distinct, id_col, text_col), "fingerprints")
     reps = materialize(fps.where("id is not null").groupBy("fp").agg(F.min("id").alias("rep")), "representatives")
-    parts = connected_components(links(reps, bound))
-    named = reps.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component"))
+    linked = connected_components(links(reps, bound))
+    named = reps.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component"))
     return fps.join(named, "fp", "left").select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
 
 
@@ -309,7 +312,7 @@ def marks(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "
     an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             fps, same, keys = [], [], []
             for t in batch.column(1).cast(pa.large_binary()):
                 hashes = shingle_hashes(t.as_py(), words, True)
@@ -349,10 +352,55 @@ def similar_forest(sets: list[np.ndarray], rep: np.ndarray, similarity: float) -
     return links
 
 
+def _meet(key: np.ndarray, rep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys in order, the least rep of each, and the (rep, least rep) of all others as distinct rows."""
+    order = np.lexsort((rep, key))
+    key, rep = key[order], rep[order]
+    new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, dtype=np.int64)
+    least = np.repeat(rep[new], np.diff(np.r_[new, len(key)]))
+    other = rep != least
+    return key[new], rep[new], np.unique(np.stack([rep[other], least[other]], axis=1), axis=0)
+
+
+def band_links(reps: DataFrame) -> DataFrame:
+    """(a, b): links that connect all ``reps(rep, bands)`` that share a band. Whatever meets within a
+    batch is linked there, so that one row for each key and batch is shuffled, however many share it;
+    the sorted rows of a key then pass by, none being held but the first."""
+
+    def local(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            rep = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))
+            key, least, met = _meet(lists.flatten().to_numpy(zero_copy_only=False), rep)
+            columns = [np.r_[key, met[:, 0]], np.r_[least, met[:, 0]], np.r_[least, met[:, 1]]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "a", "b"])
+
+    def across(batches):
+        now, first = None, 0
+        for batch in batches:
+            key, a, b = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            known = a != b
+            key, rep = key[~known], a[~known]
+            pairs = [np.stack([a[known], b[known]], axis=1)]
+            if len(key):
+                starts = np.flatnonzero(np.r_[key[0] != now, key[1:] != key[:-1]])
+                heads = rep[starts]
+                if not len(starts) or starts[0]:
+                    starts, heads = np.r_[0, starts], np.r_[first, heads]
+                head = np.repeat(heads, np.diff(np.r_[starts, len(key)]))
+                pairs.append(np.stack([rep, head], axis=1)[rep != head])
+                now, first = key[-1], head[-1]
+            table = np.concatenate(pairs)
+            yield pa.RecordBatch.from_arrays([pa.array(table[:, 0]), pa.array(table[:, 1])], ["a", "b"])
+
+    met = reps.select("rep", "bands").mapInArrow(local, "key bigint, a bigint, b bigint")
+    return met.repartition("key").sortWithinPartitions("key").mapInArrow(across, "a bigint, b bigint")
+
+
 def _stars(keyed: DataFrame, key: str) -> DataFrame:
     """(a, b): each ``rep`` of a key that several share, with the key's smallest."""
     least = keyed.groupBy(key).agg(F.min("rep").alias("b"), F.max("rep").alias("_most")).where("b < _most").select(key, "b")
-    return keyed.join(least, key).where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
+    return keyed.join(least, key).where("rep <> b").select(F.col("rep").alias("a"), "b")
 
 
 def similar_links(texts: DataFrame, clusters: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -391,24 +439,24 @@ def alike(docs: DataFrame, words: int = 5, similarity: float = 0.8, bound: int =
     which texts to compare. Null ids are in no component."""
     found = materialize(marks(docs, words, id_col, text_col), "marks")
     named = found.where("id is not null")
-    reps = materialize(named.groupBy("same").agg(F.min("id").alias("rep"), F.first("fp").alias("fp")), "representatives")
+    reps = materialize(named.groupBy("same").agg(F.min("id").cast("bigint").alias("rep"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "representatives")
     by_bits = materialize(reps.groupBy("fp").agg(F.min("rep").alias("rep")), "fingerprints")
-    banded = named.join(reps.select("same", F.col("rep").alias("id")), ["same", "id"]).select(F.col("id").alias("rep"), F.explode("bands").alias("key"))
-    candidates = links(by_bits, bound).union(_stars(reps.select("rep", "fp"), "fp")).union(_stars(banded, "key"))
+    candidates = links(by_bits, bound).union(_stars(reps.select("rep", "fp"), "fp")).union(band_links(reps))
     clusters = materialize(connected_components(candidates), "clusters")
-    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(reps.select("rep").distinct(), "rep", "left_semi")
-    parts = connected_components(similar_links(texts, clusters, words, similarity))
-    by_set = reps.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("same", F.coalesce("component", "rep").alias("component"))
+    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text"))
+    linked = connected_components(similar_links(texts, clusters, words, similarity))
+    by_set = reps.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("same", F.coalesce("component", "rep").alias("component"))
     return found.join(by_set, "same", "left").select("id", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that stay: of each group of similar texts (see ``alike``) the row with the smallest doc_id (of repeated
-    ids, one row). All columns stay; rows without an id stay."""
-    found = alike(docs, **options).where("id = component").select(F.col("id").alias("_keep")).distinct()
+    """The rows of ``docs`` that stay: of each group of similar texts (see ``alike``) the row with the
+    smallest doc_id (of repeated ids, one row). All columns stay, whatever they are called; rows without
+    an id stay; an empty table stays empty."""
+    found = alike(docs, **options).where("id = component").select(F.col("id").alias("doc_id")).distinct()
     unnamed = docs.where("doc_id is null")
-    kept = docs.join(found, docs["doc_id"] == found["_keep"], "left_semi")
-    repeated = kept.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").limit(1).count()
+    kept = docs.join(found, "doc_id", "left_semi").select(docs.columns)
+    repeated = kept.groupBy("doc_id").count().where("count > 1").limit(1).count()
     if repeated:
         kept = kept.dropDuplicates(["doc_id"])
     return kept.unionByName(unnamed)
