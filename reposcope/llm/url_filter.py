@@ -2,9 +2,10 @@
 
 The models are Markov models of the characters of accepted and of rejected URLs, orders 0 to 4, each
 order smoothed by the one below it (hierarchical Dirichlet). Counts cover all labelled URLs and are
-exact: a key holds the order and all bytes, so that no two contexts share a count. The model is as
-large as the number of distinct keys, 24 bytes each, and is broadcast. The score is the difference of
-the log-likelihoods over the length; its border is calibrated on URLs that did not count.
+exact: a key holds the order and all bytes, so that no two contexts share a count. The model grows
+with the number of distinct keys, 24 bytes each: up to MODEL_ROWS rows it is broadcast, a larger one is
+joined to the n-grams of the different URLs. The score is the difference of the log-likelihoods over
+the length; its border is calibrated on URLs that did not count.
 """
 
 from __future__ import annotations
@@ -14,8 +15,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reposcope.llm.common import materialize, parts
+
 ORDERS, STRENGTH = 5, 4.0
 BINS, SPAN = 400, 4.0
+#: Counts that a broadcast model holds at most.
+MODEL_ROWS = 4_000_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MODEL_SCHEMA = "label int, key bigint, n bigint"
 
@@ -62,13 +67,14 @@ def _keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def count(labelled: DataFrame) -> DataFrame:
-    """Summed counts of ``labelled(text, label)``, label 1 for rejected: (label, key, n)."""
+    """Summed counts of ``labelled(text, label)``, label 1 for rejected: (label, key, n). Null texts count
+    as empty ones; an empty table gives no rows."""
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches, 10_000):
             labels = batch.column(1).to_numpy(zero_copy_only=False)
             for label in (0, 1):
-                texts = batch.column(0).filter(pa.array(labels == label)).to_pylist()
+                texts = [t or "" for t in batch.column(0).filter(pa.array(labels == label)).to_pylist()]
                 if texts:
                     key, n = np.unique(np.concatenate([x.ravel() for x in _keys(texts)[:2]]), return_counts=True)
                     for a in range(0, len(key), 100_000):
@@ -91,6 +97,15 @@ def model_of(counts: DataFrame) -> Model:
     return keys, model
 
 
+def _ratios(own: np.ndarray, context: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """From counts (label, order, character) of context and character and of contexts."""
+    p = np.full((2, own.shape[2]), 1 / 256)
+    for k in range(ORDERS):
+        p = (own[:, k] + STRENGTH * p) / (context[:, k] + STRENGTH)
+    size = np.diff(np.r_[start, own.shape[2]])
+    return np.add.reduceat(np.log(p[1]) - np.log(p[0]), start) / size
+
+
 def ratios(texts: list[str], model: Model) -> np.ndarray:
     """Log-likelihood as rejected less as accepted, over the length."""
     if not texts:
@@ -100,26 +115,51 @@ def ratios(texts: list[str], model: Model) -> np.ndarray:
 
     def found(asked):
         if not len(keys):
-            return np.zeros((2, len(asked)))
+            return np.zeros((2, *asked.shape))
         at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
         return np.where(keys[at] == asked, counts[:, at], 0.0)
 
-    p = np.full((2, context.shape[1]), 1 / 256)
-    for k in range(ORDERS):
-        p = (found(own[k]) + STRENGTH * p) / (found(context[k]) + STRENGTH)
-    size = np.diff(np.r_[start, context.shape[1]])
-    return np.add.reduceat(np.log(p[1]) - np.log(p[0]), start) / size
+    return _ratios(found(own), found(context), start)
+
+
+def score_by_join(df: DataFrame, counts: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
+    """The same as ``score`` for a model of any size: each n-gram of the different texts meets its counts
+    by a join on its key; what comes back to a text is bounded by its own length."""
+    texts = materialize(df.select(F.coalesce(text_col, F.lit("")).alias("text")).distinct().withColumn("uid", F.monotonically_increasing_id()), "urls")
+    labels = counts.groupBy("key").agg(*(F.sum(F.when(F.col("label") == x, F.col("n")).otherwise(0)).alias(f"n{x}") for x in (0, 1)))
+
+    def grams(batches):
+        for part in parts(batches, 500):
+            context, own, start = _keys(part.column(0).to_pylist())
+            uid = np.repeat(part.column(1).to_numpy(), np.diff(np.r_[start, context.shape[1]]))
+            place = np.arange(context.shape[1], dtype=np.int64) - np.repeat(start, np.diff(np.r_[start, context.shape[1]]))
+            for k in range(ORDERS):
+                for j, key in enumerate((context[k], own[k])):
+                    yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array((2 * k + j << 32) | place), pa.array(key)], ["uid", "at", "key"])
+
+    def summed(batches):
+        for part in parts(batches):
+            made = []
+            for own in part.column(1):
+                n = np.stack([own.values.field(i).to_numpy().astype(np.float64) for i in (1, 2)])
+                table = n.reshape(2, 2 * ORDERS, -1)
+                made.append(_ratios(table[:, 1::2], table[:, ::2], np.zeros(1, dtype=np.int64))[0])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.float64())], ["uid", "llr"])
+
+    met = texts.mapInArrow(grams, "uid bigint, at bigint, key bigint").join(labels, "key", "left").na.fill(0, ["n0", "n1"])
+    each = met.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("at", "n0", "n1"))).alias("found")).mapInArrow(summed, "uid bigint, llr double")
+    scored = texts.join(each, "uid").select(F.col("text").alias("_of"), "llr")
+    return df.join(scored, F.coalesce(df[text_col], F.lit("")) == F.col("_of")).select(*keep, "llr")
 
 
 def score(df: DataFrame, model: Model, text_col: str, keep: list[str]) -> DataFrame:
-    """``keep`` columns and llr double."""
+    """``keep`` columns and llr double; a null text counts as empty."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         own = shared.value
-        for batch in batches:
-            texts = [t or "" for t in batch.column(0).to_pylist()]
-            made = np.concatenate([np.empty(0)] + [ratios(texts[i : i + 1000], own) for i in range(0, len(texts), 1000)])
+        for batch in parts(batches, 1000):
+            made = ratios([t or "" for t in batch.column(0).to_pylist()], own)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(made)], [*keep, "llr"])
 
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
@@ -143,15 +183,19 @@ def judge(pages: DataFrame, rules: dict[str, str], id_col: str = "page_id", url_
     """(id_col, host, path, rule, verdict, llr) of every row. The rules' verdicts label the URLs from
     which the models are made (four fifths count, one fifth calibrates, by a hash of the URL); the
     other rows are judged by the models. Without rows of both labels the border is 0, and the verdict
-    allow at it. Null URLs have an empty host and path. Repeated rows are judged alike. The models
-    read whole URLs as they are."""
+    allow at it. Null URLs have an empty host and path. Repeated rows are judged alike; other columns
+    are not read; an empty table gives no rows. The models read whole URLs as they are."""
     base = with_parts(pages.select(F.col(id_col), F.col(url_col).alias("url")))
     rule, verdict = rule_of(rules, F.col("host"), F.col("path"))
     base = base.withColumns({"rule": rule, "_own": verdict, "_text": F.coalesce("url", F.lit(""))})
     labelled = base.where("_own is not null").select(F.col("_text").alias("text"), (F.col("_own") == "block").cast("int").alias("label"), (F.pmod(F.xxhash64("url"), F.lit(5)) == 0).alias("held"))
-    model = model_of(count(labelled.where("not held")))
-    border = calibrate(score(labelled.where("held"), model, "text", ["label"]))
+    counts = materialize(count(labelled.where("not held")), "url-counts")
+    if counts.count() <= MODEL_ROWS:
+        way, model = score, model_of(counts)
+    else:
+        way, model = score_by_join, counts
+    border = calibrate(way(labelled.where("held"), model, "text", ["label"]))
     kept = [id_col, "host", "path", "rule", "_own"]
-    scored = score(base, model, "_text", kept)
+    scored = way(base, model, "_text", kept)
     own = F.when(F.col("llr") > border, "block").otherwise("allow")
     return scored.select(id_col, "host", "path", "rule", F.coalesce("_own", own).alias("verdict"), "llr")
