@@ -5,7 +5,9 @@ Equal vectors are one entry with their smallest ids, as many as a result can nam
 could only come after them. A query walks the tree with a priority queue, best bound first, and
 visits leaves until it has seen enough; how many leaves is calibrated: for a sample of queries the
 exact neighbours are found by comparing with all rows, and visits are widened until the wanted share
-of them is reached. Leaves and their queries are dealt in blocks of bounded size.
+of them is reached. A leaf's entries are dealt in blocks of bounded size, one copy for each QUERIES
+queries; a block is held while its queries pass by. With more rows than the tree was fitted for, leaves
+hold more entries, and as many more blocks.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from reposcope.llm.common import materialize
 SAMPLE = 50_000
 LEAF, MOST_LEAVES, BRANCH = 96, 4096, 12
 CALIBRATION = 128
-MEMBERS, QUERIES, GROUPS = 4096, 1024, 64
+MEMBERS, QUERIES, GROUPS = 4096, 65_536, 64
 
 
 @dataclass
@@ -117,14 +119,18 @@ def grow(sample: np.ndarray, leaf_size: int) -> Tree:
 
 
 def usable(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(vec_id, vec): rows whose vector is not null, empty or zero, holds no null or
-    number that is not finite, and has the commonest length (inner products need one)."""
+    """(vec_id, vec): rows whose vector is not null, empty or zero and holds no null or number that is
+    not finite. Shorter vectors end in zeros, as the longest need them: that leaves their products as
+    they are."""
     v = F.col("vec")
     df = rows.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vec_col).alias("vec"))
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     df = df.where(v.isNotNull() & F.col("vec_id").isNotNull() & ~bad & F.exists(v, lambda x: x != 0))
-    first = df.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return df.where(F.size("vec") == (first["d"] if first else -1))
+    ends = df.agg(F.min(F.size("vec")), F.max(F.size("vec"))).first()
+    if ends[0] == ends[1]:
+        return df
+    zero = F.lit(0).cast(rows.schema[vec_col].dataType.elementType)
+    return df.withColumn("vec", F.concat("vec", F.array_repeat(zero, F.lit(ends[1]) - F.size("vec"))))
 
 
 def _matrix(column) -> np.ndarray:
@@ -143,7 +149,8 @@ def _top(score: np.ndarray, first_id: np.ndarray, k: int) -> np.ndarray:
 
 
 def exact(entries: DataFrame, queries: dict[int, np.ndarray], k: int) -> list:
-    """The k best entries (by leaf and smallest id) of a bounded set of queries, over all entries."""
+    """The k best entries (by leaf and smallest id) of a bounded set of queries, over all entries but
+    those that are the query's row alone."""
     shared = entries.sparkSession.sparkContext.broadcast((np.array(list(queries)), np.stack(list(queries.values()))))
 
     def run(batches):
@@ -152,11 +159,13 @@ def exact(entries: DataFrame, queries: dict[int, np.ndarray], k: int) -> list:
             score = _matrix(batch.column(2)) @ q.T
             ids = batch.column(1).to_numpy(zero_copy_only=False)
             leaf = batch.column(0).to_numpy(zero_copy_only=False)
+            single = batch.column(3).to_numpy(zero_copy_only=False) == 1
             for j, name in enumerate(names):
-                at = _top(score[:, j], ids, k)
+                at = _top(np.where(single & (ids == name), -np.inf, score[:, j]), ids, k)
+                at = at[~(single & (ids == name))[at]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), name)), pa.array(leaf[at]), pa.array(ids[at]), pa.array(score[at, j])], ["q", "leaf", "id", "score"])
 
-    made = entries.select("leaf", F.col("ids")[0].alias("id"), "vec").mapInArrow(run, "q bigint, leaf int, id bigint, score double")
+    made = entries.select("leaf", F.col("ids")[0].alias("id"), "vec", F.size("ids").alias("n")).mapInArrow(run, "q bigint, leaf int, id bigint, score double")
     by = Window.partitionBy("q").orderBy(F.desc("score"), "id")
     return made.withColumn("r", F.row_number().over(by)).where(F.col("r") <= k).collect()
 
@@ -166,7 +175,8 @@ def search(rows: DataFrame, is_query, k: int = 20, recall: float = 0.94, id_col:
     holds its k nearest found rows, nearest first, ties to the smaller id; its own row is none. Fewer
     if there are fewer candidates. Scores are the inner products of the vectors in double precision.
     Rows that ``usable`` leaves out are neither queries nor candidates; none left give no rows. Of
-    rows with the same id and vector one is kept."""
+    rows with the same id and vector one is kept; rows with the same id and other vectors are further
+    candidates, but not for the rows of that id. Other columns are not read."""
     spark = rows.sparkSession
     element = rows.schema[vec_col].dataType.elementType.simpleString()
     base = usable(rows, id_col, vec_col).withColumn("key", F.xxhash64("vec"))
@@ -196,7 +206,7 @@ def search(rows: DataFrame, is_query, k: int = 20, recall: float = 0.94, id_col:
     queries = materialize(vectors.select("q", "vec"), "queries")
 
     trial = {r["q"]: np.array(r["vec"]) for r in queries.orderBy(F.xxhash64("q")).limit(CALIBRATION).collect()}
-    visits = _visits(tree, trial, exact(entries, trial, k + 1) if trial else [], recall)
+    visits = _visits(tree, trial, exact(entries, trial, k) if trial else [], recall)
     shared_sizes = spark.sparkContext.broadcast(sizes)
 
     width = -(-tree.n_leaves // GROUPS)  # neighbouring leaves make a group, so that a query goes to few
@@ -222,19 +232,37 @@ def search(rows: DataFrame, is_query, k: int = 20, recall: float = 0.94, id_col:
             at = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(groups, pa.int32()), pa.array(lists, pa.list_(pa.int32()))], ["q", "vec", "grp", "leaves"])
 
-    tasks = queries.repartition("q").mapInArrow(walk, f"q bigint, vec array<{element}>, grp int, leaves array<int>")
+    n_queries = queries.count()
+    walks = max(2 * spark.sparkContext.defaultParallelism, n_queries // 4096)
+    tasks = queries.repartition(walks, "q").mapInArrow(walk, f"q bigint, vec array<{element}>, grp int, leaves array<int>")
     entries = entries.withColumn("grp", F.floor(F.col("leaf") / width).cast("int"))
     held = entries.groupBy("grp").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("mb"))
-    qb = int(max(1, -(-queries.count() // QUERIES)))
+    qb = int(max(1, -(-n_queries // QUERIES)))
     blocks = F.broadcast(held)  # GROUPS rows at most
+    none = F.lit(None)
 
-    left = tasks.join(blocks, "grp").select("grp", F.pmod(F.xxhash64("q"), F.lit(qb)).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("m"), "q", "leaves", "vec")
-    right = entries.join(blocks, "grp").select("grp", F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("b"), F.pmod(F.xxhash64(F.col("ids")[0]), F.col("mb")).cast("int").alias("m"), "leaf", "ids", "vec")
+    left = tasks.join(blocks, "grp").select("grp", F.pmod(F.xxhash64("q"), F.lit(qb)).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("m"), "q", "leaves", none.cast("int").alias("leaf"), none.cast("array<bigint>").alias("ids"), "vec")
+    right = entries.join(blocks, "grp").select("grp", F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("b"), F.pmod(F.xxhash64(F.col("ids")[0]), F.col("mb")).cast("int").alias("m"), none.cast("bigint").alias("q"), none.cast("array<int>").alias("leaves"), "leaf", "ids", "vec")
 
-    def compare(own: pa.Table, members: pa.Table) -> pa.Table:
-        names = ["q", "ids", "score"]
-        if not own.num_rows or not members.num_rows:
-            return pa.table({"q": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int64())), "score": pa.array([], pa.float64())})
+    def compare(batches):
+        now, members = None, []
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            block = np.stack([table.column(i).to_numpy() for i in range(3)], axis=1)
+            is_entry = table.column("q").is_null().to_numpy()
+            cuts = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]).any(axis=1) | (is_entry[1:] != is_entry[:-1])])
+            for start, end in zip(cuts, np.r_[cuts[1:], len(block)], strict=True):
+                part, key = table.slice(start, end - start), tuple(block[start].tolist())
+                if key != now:
+                    now, members = key, []
+                if is_entry[start]:
+                    members.append(part.select(["leaf", "ids", "vec"]))
+                elif members:
+                    members = [pa.concat_tables(members).combine_chunks()]
+                    for at in range(0, part.num_rows, 1024):
+                        yield from best_of(part.slice(at, 1024), members[0]).to_batches()
+
+    def best_of(own: pa.Table, members: pa.Table) -> pa.Table:
         ids = members.column("ids").combine_chunks()
         first = ids.flatten().to_numpy()[ids.offsets.to_numpy()[:-1] - ids.offsets[0].as_py()]
         m, q = _matrix(members.column("vec").combine_chunks()), _matrix(own.column("vec").combine_chunks())
@@ -249,9 +277,10 @@ def search(rows: DataFrame, is_query, k: int = 20, recall: float = 0.94, id_col:
         best = [b[np.isfinite(row[b])] for b, row in zip(best, score, strict=True)]
         at = np.concatenate(best)
         by = np.repeat(np.arange(len(q)), [len(b) for b in best])
-        return pa.Table.from_arrays([pa.array(own.column("q").to_numpy()[by]), ids.take(pa.array(at)), pa.array((q[by] * m[at]).sum(axis=1))], names)
+        return pa.Table.from_arrays([pa.array(own.column("q").to_numpy()[by]), ids.take(pa.array(at)), pa.array((q[by] * m[at]).sum(axis=1))], ["q", "ids", "score"])
 
-    found = left.groupBy("grp", "b", "m").cogroup(right.groupBy("grp", "b", "m")).applyInArrow(compare, "q bigint, ids array<bigint>, score double")
+    dealt = left.unionByName(right).repartition("grp", "b", "m").sortWithinPartitions("grp", "b", "m", F.col("q").isNotNull())
+    found = dealt.mapInArrow(compare, "q bigint, ids array<bigint>, score double")
     order = Window.partitionBy("q").orderBy(F.desc("score"), F.col("ids")[0])
     best = found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)
     each = best.select("q", F.explode("ids").alias("vec_id"), "score")
