@@ -6,9 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 Z95 = 1.959963984540054
+#: Fixed value: commands that look for code.
 SEARCHES = r"(^|[\s|;&(])(rg|grep|ag|ack|fd|find)\s"
 
 
+#: Sequence numbers that are summed up together, so that a thread of any length is many groups.
+SEQUENCES = 65_536
+
+
 def sized_commits(commits: DataFrame, most: int = 30) -> DataFrame:
     """(commit, file, evidence): distinct files of commits of 2 to ``most`` entries; the size counts
     repeated entries. Evidence of a pair is 1 / ln(1 + size)."""
@@ -33,7 +38,10 @@ def cochange_for_seeds(scores: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def chao1(frequencies: DataFrame, known_missing: Column | int = 0) -> DataFrame:
-    """Adds estimated, ci_lower, ci_upper, completeness and reliable to rows with observed, f1, f2."""
+    """Adds estimated, ci_lower, ci_upper, completeness and reliable to rows with observed, f1, f2. Counts
+    below 0, or f1 and f2 above observed together, are an error."""
+    wrong = (F.col("observed") < 0) | (F.col("f1") < 0) | (F.col("f2") < 0) | (F.col("f1") + F.col("f2") > F.col("observed"))
+    frequencies = frequencies.withColumn("observed", F.when(wrong, F.raise_error(F.lit("counts must be 0 or more, and those of one and two captures within all")).cast(frequencies.schema["observed"].dataType)).otherwise(F.col("observed")))
     o, f1, f2 = (F.col(c).cast("double") for c in ("observed", "f1", "f2"))
     known = (known_missing if isinstance(known_missing, Column) else F.lit(known_missing)).cast("double")
     unseen = F.when(f2 > 0, f1 * f1 / (2 * f2)).otherwise(f1 * (f1 - 1) / 2)
@@ -59,23 +67,37 @@ def looks_like_search(command: Column) -> Column:
     return command.rlike(SEARCHES)
 
 
+def after(points: DataFrame, events: DataFrame, key: str = "thread", order: str = "seq", name: str = "n") -> DataFrame:
+    """Adds to points(key, order) how many events(key, order) of their key come later. Events are counted
+    by spans of SEQUENCES first; a point needs the later spans' sum and its own span's rows, so that
+    no key is ever one group."""
+    span = F.floor(F.col(order) / SEQUENCES)
+    marked = points.select(key, order).distinct().withColumn("_e", F.lit(0)).unionByName(events.select(key, order).withColumn("_e", F.lit(1))).withColumn("_span", span)
+    counts = marked.groupBy(key, "_span").agg(F.sum("_e").alias("_in"))
+    later = Window.partitionBy(key).orderBy(F.desc("_span")).rowsBetween(Window.unboundedPreceding, -1)
+    beyond = counts.select(key, "_span", F.coalesce(F.sum("_in").over(later), F.lit(0)).alias("_beyond"))
+    here = Window.partitionBy(key, "_span").orderBy(F.desc(order)).rangeBetween(Window.unboundedPreceding, -1)
+    inside = marked.withColumn("_here", F.coalesce(F.sum("_e").over(here), F.lit(0))).where("_e = 0")
+    summed = inside.join(beyond, [key, "_span"]).select(key, order, (F.col("_here") + F.col("_beyond")).alias(name))
+    return points.join(summed, [key, order])
+
+
 def outcomes(answers: DataFrame, events: DataFrame) -> DataFrame:
-    """(thread, answer_seq, surface, searches_after, changed, hit, missed, recall): what happened in a
-    thread after each answer(thread, seq, surface, files). recall is null without changed files. Events
-    (thread, seq, kind, value) meet answers by their thread, which the join shuffles on."""
-    a = answers.select("thread", F.col("seq").alias("answer_seq"), "surface", "files")
-    later = a.join(events, "thread", "left").withColumn("_after", F.col("seq") > F.col("answer_seq"))
-    grouped = later.groupBy("thread", "answer_seq", "surface", "files").agg(
-        F.count_if(F.col("_after") & (F.col("kind") == "search")).alias("searches_after"),
-        F.array_sort(F.collect_set(F.when(F.col("_after") & (F.col("kind") == "change"), F.col("value")))).alias("changed"),
-    )
+    """(thread, answer_seq, surface, files, searches_after, changed, hit, missed, recall): what happened in
+    a thread after each answer(thread, seq, surface, files). recall is null without changed files.
+    Searches are counted (see ``after``); a changed value meets an answer once, by its last change."""
+    a = after(answers.select("thread", "seq", "surface", "files"), events.where("kind = 'search'"), name="searches_after")
+    last = events.where("kind = 'change' and value is not null").groupBy("thread", "value").agg(F.max("seq").alias("_last"))
+    met = a.join(last, (a["thread"] == last["thread"]) & (last["_last"] > a["seq"]), "left").select(a["*"], "value")
+    grouped = met.groupBy("thread", F.col("seq").alias("answer_seq"), "surface", "files", "searches_after").agg(F.array_sort(F.collect_set("value")).alias("changed"))
     hit = F.array_sort(F.array_intersect("changed", "files"))
-    return grouped.select("thread", "answer_seq", "surface", "searches_after", "changed", hit.alias("hit"), F.array_sort(F.array_except("changed", "files")).alias("missed"), F.when(F.size("changed") > 0, F.size(hit) / F.size("changed")).alias("recall"))
+    return grouped.select("thread", "answer_seq", "surface", "files", "searches_after", "changed", hit.alias("hit"), F.array_sort(F.array_except("changed", "files")).alias("missed"), F.when(F.size("changed") > 0, F.size(hit) / F.size("changed")).alias("recall"))
 
 
 def by_surface(found: DataFrame) -> DataFrame:
-    """Answers, outcomes and means for each surface; means leave nulls out."""
-    return found.groupBy("surface").agg(F.count("*").alias("answers"), F.avg("searches_after").alias("mean_searches"), F.count("recall").alias("recall_samples"), F.avg("recall").alias("mean_recall"))
+    """Answers, outcomes and means for each surface of answers joined to their outcomes; an answer without
+    an outcome has null searches_after. Means leave nulls out."""
+    return found.groupBy("surface").agg(F.count("*").alias("answers"), F.count("searches_after").alias("outcomes"), F.avg("searches_after").alias("mean_searches"), F.count("recall").alias("recall_samples"), F.avg("recall").alias("mean_recall"))
 
 
 def content_hash(source: Column) -> Column:
@@ -101,10 +123,10 @@ def merge_incremental(old: DataFrame, fresh: DataFrame, report: DataFrame) -> Da
     return old.join(report.where("status <> 'added'").select("file"), "file", "left_anti").unionByName(fresh.join(report.where("status <> 'removed'").select("file"), "file", "left_semi"))
 
 
-def merged_length(intervals: DataFrame, key: str) -> DataFrame:
-    """(key, total): length of the union of [start, end) intervals of each key."""
-    w = Window.partitionBy(key).orderBy("start", "end")
+def merged_length(intervals: DataFrame, *keys: str) -> DataFrame:
+    """(keys..., total): length of the union of [start, end) intervals of each key."""
+    w = Window.partitionBy(*keys).orderBy("start", "end")
     reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     new = intervals.withColumn("_new", (reach.isNull() | (F.col("start") > reach)).cast("int"))
     islands = new.withColumn("_island", F.sum("_new").over(w))
-    return islands.groupBy(key, "_island").agg((F.max("end") - F.min("start")).alias("n")).groupBy(key).agg(F.sum("n").alias("total"))
+    return islands.groupBy(*keys, "_island").agg((F.max("end") - F.min("start")).alias("n")).groupBy(*keys).agg(F.sum("n").alias("total"))

@@ -1,9 +1,9 @@
-"""Call resolution: ranked strategies as conditional aggregations over candidate rows.
+"""Call resolution: ranked strategies over symbols summed up by key, classes and their relations.
 
 calls(call, caller, caller_file, name, receiver), symbols(id, name, kind, container, file), imports
-(file, local, target), types(file, name, type, ord). One equi-join of calls and symbols by name gives
-the candidates; every strategy is a conditional aggregate over a call's candidates, so the calls are
-grouped once.
+(file, local, target), types(file, name, type, ord). Symbols come to calls as a count and one id for each
+name, (name, file) and (name, container): every strategy is a left join on a key with at most one row
+on the right, so a call stays one row however many symbols share its name.
 """
 
 from __future__ import annotations
@@ -22,30 +22,29 @@ def receiver_types(types: DataFrame) -> DataFrame:
     return both.groupBy("file", "name").agg(F.max_by("type", "ord").alias("type"))
 
 
+def _single(symbols: DataFrame, *by: str) -> DataFrame:
+    """How many symbols each key has, and the id and kind of one; both are its own if it is the only."""
+    return symbols.groupBy(*by).agg(F.count("*").alias("n"), F.max("id").alias("one"), F.max("kind").alias("kind"))
+
+
 def proposals(calls: DataFrame, symbols: DataFrame, imports: DataFrame, types: DataFrame) -> DataFrame:
-    """One row for each call: candidates, and for each strategy its symbol or null. A name with many
-    symbols meets them only as counts and one id: nothing collects candidate lists."""
-    names = symbols.select("id", "name", "kind", "container", F.col("file").alias("symbol_file"))
-    bound = imports.groupBy("file", "local").agg(F.max_by("target", "ord").alias("target"))
-    c = calls.join(bound, (calls["caller_file"] == bound["file"]) & (calls["name"] == bound["local"]), "left").drop("file", "local")
-    t = receiver_types(types).withColumnsRenamed({"file": "_tf", "name": "_tn"})
-    c = c.join(t, (c["caller_file"] == t["_tf"]) & (c["receiver"] == t["_tn"]), "left").drop("_tf", "_tn")
-    rows = c.join(names, "name", "left")
-
-    def only(test):
-        return F.when(F.count_if(test) == 1, F.max(F.when(test, F.col("id"))))
-
-    any_ = F.col("id").isNotNull()
-    typed = (F.col("container") == F.col("type")) & (F.col("kind") == "method")
-    method = F.col("receiver").isNotNull() & (F.max(F.when(any_, F.col("kind"))) == "method")
-    unique = only(any_)
-    return rows.groupBy("call", "caller", "receiver").agg(
-        F.count("id").alias("candidates"),
-        only(F.col("symbol_file") == F.col("target")).alias("importMap"),
-        only(F.col("symbol_file") == F.col("caller_file")).alias("sameFile"),
-        only(typed).alias("typedReceiver"),
-        F.when(method, F.lit(None)).otherwise(unique).alias("uniqueName"),
-        F.when(method, unique).alias("uniqueMethod"),
+    """One row for each call: candidates, and for each strategy its symbol or null. Calls without a caller
+    (top-level ones) are left out."""
+    bound = imports.groupBy(F.col("file").alias("caller_file"), F.col("local").alias("name")).agg(F.max_by("target", "ord").alias("target"))
+    typed = receiver_types(types).select(F.col("file").alias("caller_file"), F.col("name").alias("receiver"), "type")
+    rows = calls.where("caller is not null").join(bound, ["caller_file", "name"], "left").join(typed, ["caller_file", "receiver"], "left")
+    every = _single(symbols, "name").select("name", F.col("n").alias("candidates"), F.col("one").alias("only"), "kind")
+    by_file = _single(symbols, "name", "file").where("n = 1")
+    by_class = _single(symbols.where("kind = 'method' and container is not null"), "name", "container").where("n = 1")
+    rows = rows.join(every, "name", "left")
+    rows = rows.join(by_file.select("name", F.col("file").alias("target"), F.col("one").alias("importMap")), ["name", "target"], "left")
+    rows = rows.join(by_file.select("name", F.col("file").alias("caller_file"), F.col("one").alias("sameFile")), ["name", "caller_file"], "left")
+    rows = rows.join(by_class.select("name", F.col("container").alias("type"), F.col("one").alias("typedReceiver")), ["name", "type"], "left")
+    unique = F.when(F.col("candidates") == 1, F.col("only"))
+    method = F.col("receiver").isNotNull() & (F.col("kind") == "method")
+    return rows.select(
+        "call", "caller", "receiver", F.coalesce("candidates", F.lit(0)).alias("candidates"), "importMap", "sameFile", "typedReceiver",
+        F.when(~method, unique).alias("uniqueName"), F.when(method, unique).alias("uniqueMethod"),
     )
 
 
@@ -83,10 +82,40 @@ def file_imports(imports: DataFrame, symbols: DataFrame) -> DataFrame:
     return imports.join(named, ["local", "target"]).select("file", "symbol").distinct()
 
 
-def stats(resolved: DataFrame) -> DataFrame:
-    """(what, n): calls by strategy or by status."""
+def stats(resolved: DataFrame, imported: DataFrame | None = None) -> DataFrame:
+    """(what, n): calls by strategy or by status, and import edges if they are given."""
     what = F.when(F.col("status") == "resolved", F.col("strategy")).otherwise(F.col("status"))
-    return resolved.groupBy(what.alias("what")).agg(F.count("*").alias("n"))
+    rows = resolved.select(what.alias("what"))
+    if imported is not None:
+        rows = rows.union(imported.select(F.lit("importEdge").alias("what")))
+    return rows.groupBy("what").agg(F.count("*").alias("n"))
+
+
+def all_edges(calls: DataFrame, imported: DataFrame) -> DataFrame:
+    """Call edges and import edges as one bag."""
+    return calls.unionByName(imported)
+
+
+def class_resolution(names: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Adds the class that each (file, name) means: the only one of the name in the file, else the only
+    one of all, else null."""
+    classes = symbols.where("kind = 'class'")
+    own = _single(classes, "file", "name").where("n = 1").select("file", "name", F.col("one").alias("_own"))
+    every = _single(classes, "name").where("n = 1").select("name", F.col("one").alias("_every"))
+    return names.join(own, ["file", "name"], "left").join(every, "name", "left").withColumn("class", F.coalesce("_own", "_every")).drop("_own", "_every")
+
+
+def type_relations(declared: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(subtype, supertype, kind) by ids, from declared(file, subtype, supertype, kind): extends and
+    implements between classes that are resolved and differ; overrides of methods whose class extends
+    another with exactly one method of the name. A bag, as declared."""
+    sub = class_resolution(declared.withColumnRenamed("subtype", "name"), symbols).select("file", "supertype", "kind", F.col("class").alias("_sub"))
+    both = class_resolution(sub.withColumnRenamed("supertype", "name"), symbols).select(F.col("_sub").alias("subtype"), F.col("class").alias("supertype"), "kind")
+    known = both.where("subtype is not null and supertype is not null and subtype <> supertype")
+    methods = symbols.where("kind = 'method' and container is not null").select("id", F.col("name").alias("method"), "file", F.col("container").alias("name"))
+    owned = class_resolution(methods, symbols).where("class is not null").select("id", F.col("class").alias("container"), F.col("method").alias("name"))
+    extends = known.where("kind = 'extends'").select(F.col("subtype").alias("sub"), F.col("supertype").alias("super"))
+    return known.unionByName(overrides(owned, extends).withColumn("kind", F.lit("overrides")))
 
 
 def overrides(methods: DataFrame, extends: DataFrame) -> DataFrame:
@@ -110,3 +139,18 @@ def module_path(imports: DataFrame, files: DataFrame, extensions: list[str]) ->
     asked = rows.select("file", "ord", F.posexplode(ways).alias("pos", "target"))
     known = asked.join(files.select(F.col("file").alias("target")).distinct(), "target", "left_semi")
     return known.groupBy("file", "ord").agg(F.min_by("target", "pos").alias("target"))
+
+
+def resolve_project(found: dict[str, DataFrame], files: DataFrame, extensions: list[str]) -> dict[str, DataFrame]:
+    """All relations of a project from ``extract.relations``: symbols, edges (calls and imports),
+    file_imports, type_relations, stats."""
+    symbols = found["symbols"]
+    targets = module_path(found["imports"], files, extensions)
+    imports = found["imports"].join(targets, ["file", "ord"]).select("file", "local", "target", "ord")
+    resolved = resolve(proposals(found["calls"], symbols, imports, found["types"]))
+    last = imports.groupBy("file", "local").agg(F.max_by("target", "ord").alias("target"))
+    imported = import_edges(last, symbols)
+    return {
+        "symbols": symbols, "edges": all_edges(call_edges(resolved), imported), "file_imports": file_imports(last, symbols),
+        "type_relations": type_relations(found["type_relations"], symbols), "stats": stats(resolved, imported),
+    }

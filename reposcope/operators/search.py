@@ -64,12 +64,31 @@ def with_context(rows: DataFrame, page: DataFrame, before: int, after: int) -> D
     return around.groupBy(*page.columns).agg(side(F.col("_l") < F.col("line")).alias("before"), side(F.col("_l") > F.col("line")).alias("after"))
 
 
+def _first(found: DataFrame, limit: int) -> DataFrame:
+    """The first rows by file, with ``truncated``: whether more follow. Looks at limit + 1 rows."""
+    page = found.orderBy("file").limit(limit + 1)
+    counted = page.withColumns({"_n": F.row_number().over(Window.orderBy("file")), "_all": F.count("*").over(Window.partitionBy(F.lit(1)))})
+    return counted.where(F.col("_n") <= limit).withColumn("truncated", F.col("_all") > limit).drop("_n", "_all")
+
+
 def files_with_matches(rows: DataFrame, s: Search) -> DataFrame:
-    return hits(rows, s).select("file").distinct().orderBy("file").limit(s.limit)
+    """(file, truncated); the offset does not count here."""
+    return _first(hits(rows, s).select("file").distinct(), s.limit)
 
 
 def counts(rows: DataFrame, s: Search) -> DataFrame:
-    return hits(rows, s).groupBy("file").agg(F.count("*").alias("n")).orderBy("file").limit(s.limit)
+    """(file, n, truncated): matching lines of each file; the offset does not count here."""
+    return _first(hits(rows, s).groupBy("file").agg(F.count("*").alias("n")), s.limit)
+
+
+def prepare(files: DataFrame, path: str | None = None, buckets: int = 64) -> DataFrame:
+    """Lines made once for many searches: written to ``path`` by ranges of files, so that a search in some
+    folders reads their row groups only; kept in the session without a path."""
+    rows = lines(files)
+    if path is None:
+        return rows.persist()
+    rows.repartitionByRange(buckets, "file", "line").sortWithinPartitions("file", "line").write.mode("overwrite").parquet(path)
+    return files.sparkSession.read.parquet(path)
 
 
 def batch(rows: DataFrame, searches: list[Search]) -> DataFrame:

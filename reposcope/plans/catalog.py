@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reposcope.functions import text as tx
-from reposcope.operators import graph, metrics, mining, resolve, retrieval, search
+from reposcope.operators import context, graph, metrics, mining, resolve, retrieval, search
 from reposcope.operators.search import Search
 from reposcope.sources import repository
 
@@ -30,11 +30,18 @@ def query(sql: str | None = None):
     return register
 
 
+def _load() -> None:
+    """The modules that register queries beside this one."""
+    from reposcope.plans import logs, project  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(SQL)
 
 
@@ -96,12 +103,12 @@ def grep_context(spark, sf_dir):
     return found.select("file", "line", "text", flat("before").alias("before_text"), flat("after").alias("after_text"))
 
 
-@query(f"WITH {_LINES} SELECT DISTINCT file FROM lines WHERE contains(text, 'moron') ORDER BY file LIMIT 100")
+@query(f"WITH {_LINES}, hit AS (SELECT DISTINCT file FROM lines WHERE contains(text, 'moron')) SELECT file, (SELECT count(*) FROM hit) > 100 AS truncated FROM hit ORDER BY file LIMIT 100")
 def grep_files(spark, sf_dir):
     return search.files_with_matches(_lines(spark, sf_dir), Search("moron", case_sensitive=True, limit=100))
 
 
-@query(f"WITH {_LINES} SELECT file, count(*) AS n FROM lines WHERE contains(text, 'the ') GROUP BY file ORDER BY file LIMIT 500")
+@query(f"WITH {_LINES}, hit AS (SELECT file, count(*) AS n FROM lines WHERE contains(text, 'the ') GROUP BY file) SELECT file, n, (SELECT count(*) FROM hit) > 500 AS truncated FROM hit ORDER BY file LIMIT 500")
 def grep_count(spark, sf_dir):
     return search.counts(_lines(spark, sf_dir), Search("the ", case_sensitive=True, limit=500))
 
@@ -128,9 +135,10 @@ def inventory_status(spark, sf_dir):
     return repository.inventory(d.select(repository.remote_status(file, encoding, F.col("n_chars"), F.col("source") == "src3", 5000).alias("status")))
 
 
-@query("SELECT lang AS language, count(DISTINCT source) AS files FROM documents GROUP BY lang")
+@query("SELECT CASE lang WHEN 'de' THEN 'python' ELSE 'typescript' END AS language, count(DISTINCT source || lang) AS files FROM documents WHERE lang <> 'es' GROUP BY 1")
 def language_count(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").groupBy(F.col("lang").alias("language")).agg(F.count_distinct("source").alias("files"))
+    ending = F.create_map(F.lit("en"), F.lit(".tsx"), F.lit("fr"), F.lit(".ts"), F.lit("de"), F.lit(".py"), F.lit("es"), F.lit(".txt"))
+    return context.languages(_t(spark, sf_dir, "documents").select(F.concat("source", ending[F.col("lang")]).alias("file")))
 
 
 # --- co-change, completeness, feedback ----------------------------------------------------------------
@@ -188,7 +196,7 @@ def chao1_by_group(spark, sf_dir):
 
 
 _OUTCOMES = """ev AS (SELECT user_id AS thread, event_id AS seq, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) % 10 AS k FROM events),
-a AS (SELECT thread, seq, 's' || (k % 3) AS surface, k FROM ev WHERE event_type = 'view' AND thread % 5 = 0),
+a AS (SELECT thread, seq, 's' || (k % 3) AS surface, k FROM ev WHERE event_type = 'view'),
 o AS (SELECT a.thread, a.seq AS answer_seq, a.surface, a.k, count(*) FILTER (e.event_type = 'click' AND e.seq > a.seq) AS searches_after,
 count(DISTINCT CASE WHEN e.event_type = 'purchase' AND e.seq > a.seq THEN e.k END) AS changed,
 count(DISTINCT CASE WHEN e.event_type = 'purchase' AND e.seq > a.seq AND e.k IN (a.k, (a.k + 1) % 10) THEN e.k END) AS hits
@@ -197,7 +205,7 @@ FROM a JOIN ev e ON e.thread = a.thread GROUP BY 1, 2, 3, 4)"""
 
 def _outcomes(spark, sf_dir):
     e = _t(spark, sf_dir, "events").select(F.col("user_id").alias("thread"), F.col("event_id").alias("seq"), "event_type", (F.get_json_object("props", "$.k").cast("bigint") % 10).alias("k"))
-    answers = e.where("event_type = 'view' and thread % 5 = 0").select("thread", "seq", F.concat(F.lit("s"), (F.col("k") % 3).cast("string")).alias("surface"), F.array("k", (F.col("k") + 1) % 10).alias("files"))
+    answers = e.where("event_type = 'view'").select("thread", "seq", F.concat(F.lit("s"), (F.col("k") % 3).cast("string")).alias("surface"), F.array("k", (F.col("k") + 1) % 10).alias("files"))
     kind = F.when(F.col("event_type") == "click", "search").when(F.col("event_type") == "purchase", "change").otherwise("other")
     return mining.outcomes(answers, e.select("thread", "seq", kind.alias("kind"), F.col("k").alias("value")))
 
@@ -207,7 +215,7 @@ def feedback_outcome(spark, sf_dir):
     return _outcomes(spark, sf_dir).select("thread", "answer_seq", "surface", "searches_after", F.size("changed").cast("bigint").alias("n_changed"), F.size("hit").cast("bigint").alias("n_hit"), F.round("recall", 6).alias("recall"))
 
 
-@query(f"WITH {_OUTCOMES}, r AS (SELECT *, CASE WHEN changed > 0 THEN hits / changed::DOUBLE END AS recall FROM o) SELECT surface, count(*) AS answers, round(avg(searches_after), 6) AS mean_searches, count(recall) AS recall_samples, round(avg(recall), 6) AS mean_recall FROM r GROUP BY surface")
+@query(f"WITH {_OUTCOMES}, r AS (SELECT *, CASE WHEN changed > 0 THEN hits / changed::DOUBLE END AS recall FROM o) SELECT surface, count(*) AS answers, count(searches_after) AS outcomes, round(avg(searches_after), 6) AS mean_searches, count(recall) AS recall_samples, round(avg(recall), 6) AS mean_recall FROM r GROUP BY surface")
 def feedback_by_surface(spark, sf_dir):
     return mining.by_surface(_outcomes(spark, sf_dir)).withColumns({c: F.round(c, 6) for c in ("mean_searches", "mean_recall")})
 
@@ -269,7 +277,7 @@ def latest_turn(spark, sf_dir):
 
 @query("SELECT event_type, round(median(value), 6) AS median FROM events GROUP BY event_type")
 def median_value(spark, sf_dir):
-    return _t(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.expr("percentile(value, 0.5)"), 6).alias("median"))
+    return metrics.median(_t(spark, sf_dir, "events"), "value", "event_type").withColumn("median", F.round("median", 6))
 
 
 _LIFE = """e AS (SELECT user_id AS thread, CAST(json_extract_string(props, '$.k') AS BIGINT) % 10 AS item, event_id AS seq, event_type = 'click' AS s,
@@ -314,10 +322,10 @@ def call_budget(spark, sf_dir):
     return _t(spark, sf_dir, "customer").select("c_custkey", n.alias("n"), metrics.call_budget(n).alias("calls"))
 
 
-@query(f"WITH {_OUTCOMES} SELECT thread, answer_seq, surface || chr(9) || searches_after || chr(9) || coalesce(CASE WHEN changed > 0 THEN hits END::VARCHAR, 'n/a') AS report FROM o")
+@query(f"""WITH {_OUTCOMES}, r AS (SELECT *, CASE WHEN changed > 0 THEN hits / changed::DOUBLE END AS recall FROM o)
+SELECT surface, surface || chr(9) || count(*) || chr(9) || count(searches_after) || chr(9) || printf('%.2f', avg(searches_after)) || chr(9) || count(recall) || chr(9) || coalesce(printf('%.2f', avg(recall)), 'n/a') AS report FROM r GROUP BY surface""")
 def feedback_report(spark, sf_dir):
-    hits = F.when(F.size("changed") > 0, F.size("hit"))
-    return _outcomes(spark, sf_dir).select("thread", "answer_seq", metrics.report_line(F.col("surface"), F.col("searches_after"), hits).alias("report"))
+    return metrics.surface_report(mining.by_surface(_outcomes(spark, sf_dir)))
 
 
 # --- graph ------------------------------------------------------------------------------------------
@@ -364,7 +372,7 @@ def diffuse_t1(spark, sf_dir):
 
 # --- resolution -------------------------------------------------------------------------------------
 _SYMBOLS = """sym AS (SELECT p_partkey AS id, replace(p_name, ' ', '_') || '_' || p_size AS name, CASE WHEN p_size % 2 = 0 THEN 'method' ELSE 'function' END AS kind, p_type AS container, p_brand AS file FROM part),
-li AS (SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) AS pos FROM lineitem WHERE l_orderkey % 10 = 0),
+li AS (SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) AS pos FROM lineitem),
 calls AS (SELECT a.l_orderkey * 100 + a.pos AS call, a.l_partkey AS caller, s.file AS caller_file, t.name || CASE WHEN (a.l_orderkey + a.pos) % 9 = 0 THEN '_x' ELSE '' END AS name,
 CASE WHEN a.pos % 2 = 0 THEN 'r' || t.id END AS receiver, CASE WHEN a.l_orderkey % 30 = 0 THEN t.container ELSE 'none' END AS rtype
 FROM li a JOIN li b ON b.l_orderkey = a.l_orderkey AND b.pos = a.pos + 1 JOIN sym s ON s.id = a.l_partkey JOIN sym t ON t.id = b.l_partkey),
@@ -379,6 +387,7 @@ CASE WHEN count(id) = 1 AND NOT (receiver IS NOT NULL AND max(kind) = 'method')
 CASE WHEN count(id) = 1 AND receiver IS NOT NULL AND max(kind) = 'method' THEN max(id) END AS um FROM cand GROUP BY call, caller, receiver),
 res AS (SELECT call, caller, coalesce(im, sf, tr, un, um) AS callee, CASE WHEN im IS NOT NULL THEN 'importMap' WHEN sf IS NOT NULL THEN 'sameFile' WHEN tr IS NOT NULL THEN 'typedReceiver' WHEN un IS NOT NULL THEN 'uniqueName' WHEN um IS NOT NULL THEN 'uniqueMethod' END AS strategy,
 CASE WHEN candidates = 0 THEN 'unknown' WHEN coalesce(im, sf, tr, un, um) IS NULL THEN 'ambiguous' WHEN coalesce(im, sf, tr, un, um) = caller THEN 'self' ELSE 'resolved' END AS status FROM prop)"""
+_IMPORTED = "SELECT a.id AS src, b.id AS dst, 0.2::DOUBLE AS weight, 'importEdge' AS strategy FROM imports i JOIN sym b ON b.name = i.local AND b.file = i.target JOIN sym a ON a.file = i.file WHERE a.id <> b.id"
 _EDGES = "edges AS (SELECT caller AS src, callee AS dst, CASE strategy WHEN 'importMap' THEN 0.95 WHEN 'sameFile' THEN 0.9 WHEN 'typedReceiver' THEN 0.85 WHEN 'uniqueName' THEN 0.75 ELSE 0.55 END::DOUBLE AS weight, strategy FROM res WHERE status = 'resolved')"
 
 
@@ -386,7 +395,7 @@ def _code(spark, sf_dir):
     part = _t(spark, sf_dir, "part")
     symbols = part.select(F.col("p_partkey").alias("id"), F.expr("concat(replace(p_name, ' ', '_'), '_', p_size)").alias("name"), F.expr("case when p_size % 2 = 0 then 'method' else 'function' end").alias("kind"), F.col("p_type").alias("container"), F.col("p_brand").alias("file"))
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
-    li = _t(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 0").select("l_orderkey", F.row_number().over(w).alias("pos"), F.col("l_partkey").alias("caller"), F.lead("l_partkey").over(w).alias("callee")).where("callee is not null")
+    li = _t(spark, sf_dir, "lineitem").select("l_orderkey", F.row_number().over(w).alias("pos"), F.col("l_partkey").alias("caller"), F.lead("l_partkey").over(w).alias("callee")).where("callee is not null")
     own = symbols.select(F.col("id").alias("caller"), F.col("file").alias("caller_file"))
     other = symbols.select(F.col("id").alias("callee"), F.col("name").alias("_n"), F.col("container").alias("_c"))
     rows = li.join(own, "caller").join(other, "callee").selectExpr("l_orderkey * 100 + pos as call", "caller", "caller_file", "concat(_n, case when (l_orderkey + pos) % 9 = 0 then '_x' else '' end) as name", "case when pos % 2 = 0 then concat('r', callee) end as receiver", "case when l_orderkey % 30 = 0 then _c else 'none' end as rtype")
@@ -405,9 +414,10 @@ def resolve_edges(spark, sf_dir):
     return resolve.call_edges(resolve.resolve(_proposed(spark, sf_dir)))
 
 
-@query(f"WITH {_SYMBOLS} SELECT CASE WHEN status = 'resolved' THEN strategy ELSE status END AS what, count(*) AS n FROM res GROUP BY 1")
+@query(f"WITH {_SYMBOLS} SELECT CASE WHEN status = 'resolved' THEN strategy ELSE status END AS what, count(*) AS n FROM res GROUP BY 1 UNION ALL SELECT 'importEdge', count(*) FROM ({_IMPORTED})")
 def resolve_stats(spark, sf_dir):
-    return resolve.stats(resolve.resolve(_proposed(spark, sf_dir)))
+    symbols, _, imports, _ = _code(spark, sf_dir)
+    return resolve.stats(resolve.resolve(_proposed(spark, sf_dir)), resolve.import_edges(imports, symbols))
 
 
 @query(f"WITH {_SYMBOLS}, u AS (SELECT caller, 1 AS s, im AS dst FROM prop UNION ALL SELECT caller, 2, sf FROM prop UNION ALL SELECT caller, 3, tr FROM prop UNION ALL SELECT caller, 4, un FROM prop UNION ALL SELECT caller, 5, um FROM prop) SELECT caller AS src, dst, count(DISTINCT s) AS n FROM u WHERE dst IS NOT NULL AND dst <> caller GROUP BY 1, 2")
@@ -415,7 +425,7 @@ def captures(spark, sf_dir):
     return resolve.captures(_proposed(spark, sf_dir))
 
 
-@query(f"WITH {_SYMBOLS} SELECT a.id AS src, b.id AS dst, 0.2::DOUBLE AS weight, 'importEdge' AS strategy FROM imports i JOIN sym b ON b.name = i.local AND b.file = i.target JOIN sym a ON a.file = i.file WHERE a.id <> b.id")
+@query(f"WITH {_SYMBOLS} {_IMPORTED}")
 def import_edges(spark, sf_dir):
     symbols, _, imports, _ = _code(spark, sf_dir)
     return resolve.import_edges(imports, symbols)
@@ -436,17 +446,17 @@ def overrides(spark, sf_dir):
 
 
 # --- trace, impact, retrieval -------------------------------------------------------------------------
-@query(f"""WITH {_SYMBOLS}, {_EDGES}, r AS (SELECT DISTINCT src AS node, 'callee' AS relation, dst AS other, strategy AS via FROM edges WHERE src <= 200 UNION SELECT DISTINCT dst, 'caller', src, strategy FROM edges WHERE dst <= 200),
+@query(f"""WITH {_SYMBOLS}, {_EDGES}, r AS (SELECT DISTINCT src AS node, 'callee' AS relation, dst AS other, strategy AS via FROM edges UNION SELECT DISTINCT dst, 'caller', src, strategy FROM edges),
 k AS (SELECT *, row_number() OVER (PARTITION BY node, relation ORDER BY other, via) AS n FROM r) SELECT node, relation, other, via FROM k WHERE n <= 2""")
 def trace_onehop(spark, sf_dir):
-    nodes = _t(spark, sf_dir, "part").where("p_partkey <= 200").select(F.col("p_partkey").alias("node"))
+    nodes = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"))
     return retrieval.one_hop(resolve_edges(spark, sf_dir), nodes, 2)
 
 
-@query(f"WITH {_SYMBOLS}, {_EDGES} SELECT e.src AS caller, s.file, string_agg(DISTINCT e.dst::VARCHAR, ',' ORDER BY e.dst::VARCHAR) AS targets, string_agg(DISTINCT e.strategy, ',' ORDER BY e.strategy) AS via FROM edges e JOIN sym s ON s.id = e.src WHERE e.dst % 3 = 0 GROUP BY 1, 2")
+@query(f"WITH {_SYMBOLS}, {_EDGES} SELECT e.src AS caller, s.file, string_agg(DISTINCT e.dst::VARCHAR, ',' ORDER BY e.dst::VARCHAR) AS targets, string_agg(DISTINCT e.strategy, ',' ORDER BY e.strategy) AS via FROM edges e JOIN sym s ON s.id = e.src GROUP BY 1, 2")
 def impact_callers(spark, sf_dir):
     symbols = _code(spark, sf_dir)[0]
-    found = retrieval.direct_callers(resolve_edges(spark, sf_dir), symbols, symbols.where("id % 3 = 0"))
+    found = retrieval.direct_callers(resolve_edges(spark, sf_dir), symbols, symbols)
     return found.select("caller", "file", F.array_join(F.array_sort(F.col("targets").cast("array<string>")), ",").alias("targets"), F.array_join("via", ",").alias("via"))
 
 
@@ -461,12 +471,12 @@ def blast_radius(spark, sf_dir):
     symbols, _, imports, _ = _code(spark, sf_dir)
     moved = F.when(F.col("file").isin("Brand#1", "Brand#2", "Brand#3"), F.concat(F.lit("tests/"), F.col("file"), F.lit(".ts"))).otherwise(F.col("file"))
     imported = resolve.file_imports(imports, symbols).withColumn("file", moved)
-    return retrieval.blast_radius(resolve_edges(spark, sf_dir), symbols.withColumn("file", moved), imported)
+    return retrieval.blast_radius(resolve_edges(spark, sf_dir), symbols.withColumn("file", moved), imported).select("id", "callers", "caller_files", "test_files")
 
 
-@query(f"WITH {_SYMBOLS}, {_EDGES} SELECT src, dst, weight, strategy FROM edges WHERE src <> dst AND src % 4 = 0 AND dst % 4 = 0")
+@query(f"WITH {_SYMBOLS}, {_EDGES} SELECT src, dst, weight, strategy FROM edges e WHERE src <> dst AND src IN (SELECT p_partkey FROM part WHERE p_type <> 'PROMO') AND dst IN (SELECT p_partkey FROM part WHERE p_type <> 'PROMO')")
 def result_edges(spark, sf_dir):
-    ids = _t(spark, sf_dir, "part").where("p_partkey % 4 = 0").select(F.col("p_partkey").alias("id"))
+    ids = _t(spark, sf_dir, "part").where("p_type <> 'PROMO'").select(F.col("p_partkey").alias("id"))
     return retrieval.edges_among(resolve_edges(spark, sf_dir), ids)
 
 
@@ -483,13 +493,13 @@ def target_resolution(spark, sf_dir):
     return retrieval.resolve_targets(fixed.union(least).union(single).distinct(), symbols)
 
 
-_TERMS = r"""tok AS (SELECT doc_id AS id, unnest(string_split_regex(lower(regexp_replace(text, '([a-z0-9])([A-Z])', '\1 \2', 'g')), '[^a-z0-9]+')) AS term FROM documents WHERE lang = 'en'),
-terms AS (SELECT id, term, count(*) AS tf FROM tok WHERE length(term) >= 3 GROUP BY 1, 2), nd AS (SELECT count(*)::DOUBLE AS n FROM documents WHERE lang = 'en'),
+_TERMS = r"""tok AS (SELECT doc_id AS id, unnest(string_split_regex(lower(regexp_replace(text, '([a-z0-9])([A-Z])', '\1 \2', 'g')), '[^a-z0-9]+')) AS term FROM documents),
+terms AS (SELECT id, term, count(*) AS tf FROM tok WHERE length(term) >= 3 GROUP BY 1, 2), nd AS (SELECT count(*)::DOUBLE AS n FROM documents),
 idf AS (SELECT term, count(*) AS df, ln((SELECT n FROM nd) / count(*)) AS idf FROM terms GROUP BY term HAVING count(*) <= 0.15 * (SELECT n FROM nd))"""
 
 
 def _terms(spark, sf_dir):
-    d = _t(spark, sf_dir, "documents").where("lang = 'en'")
+    d = _t(spark, sf_dir, "documents")
     return retrieval.term_table(d, "doc_id", "text"), d.count()
 
 
@@ -500,7 +510,10 @@ def tfidf_terms(spark, sf_dir):
 
 
 _QUESTION = ["idiot", "clown", "moron", "trash", "the"]
-_SCORES = f"sc AS (SELECT id, sum((1 + ln(tf)) * idf * idf) / sqrt(sum((1 + ln(tf)) * idf * (1 + ln(tf)) * idf)) AS score FROM terms JOIN idf USING (term) WHERE term IN ({', '.join(repr(t) for t in _QUESTION)}) GROUP BY id)"
+_ASKED = f"term IN ({', '.join(repr(t) for t in _QUESTION)})"
+_SCORES = f"""nrm AS (SELECT id, sqrt(sum((1 + ln(tf)) * idf * (1 + ln(tf)) * idf)) AS norm FROM terms JOIN idf USING (term) GROUP BY id),
+dot AS (SELECT id, sum((1 + ln(tf)) * idf * idf) AS dot FROM terms JOIN idf USING (term) WHERE {_ASKED} GROUP BY id), len AS (SELECT sqrt(sum(idf * idf)) AS length FROM idf WHERE {_ASKED}),
+sc AS (SELECT id, dot / (norm * length) AS score FROM dot JOIN nrm USING (id), len)"""
 
 
 def _scores(spark, sf_dir):
@@ -522,29 +535,10 @@ def budget_pack(spark, sf_dir):
 
 @query("""WITH r AS (SELECT n_nationkey AS project, s_suppkey AS source, row_number() OVER (PARTITION BY n_nationkey ORDER BY (s_acctbal = max_bal) DESC, s_suppkey) AS k FROM (SELECT *, max(s_acctbal) OVER (PARTITION BY s_nationkey) AS max_bal FROM supplier) JOIN nation ON n_nationkey = s_nationkey) SELECT project, source FROM r WHERE k = 1""")
 def project_default_source(spark, sf_dir):
-    s = _t(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("project"), F.col("s_suppkey").alias("source"), "s_acctbal")
-    return s.groupBy("project").agg(F.min_by("source", F.struct(-F.col("s_acctbal"), "source")).alias("source"))
-
-
-# --- facts from source text ---------------------------------------------------------------------------
-_SOURCES = [
-    ("a.ts", "handlers[action.type](x)\nbus.emit('save', 1) // emit('no')\nimport(name)\nimport('fixed')\nhandlers['go'](y)\n"),
-    ("b.py", "import importlib\nfrom .util import helper as h\nclass A(Base):\n    def run(self):\n        h(1)\n        self.repo.save()\nimportlib.import_module(x)\ngetattr(a, b)\n"),
-]
-
-
-@query()
-def boundaries(spark, sf_dir):
-    from reposcope.operators import code
-
-    return code.boundaries(spark.createDataFrame(_SOURCES, "file string, source string").unionByName(_files(spark, sf_dir)))
-
-
-@query()
-def python_facts(spark, sf_dir):
-    from reposcope.operators import code
-
-    return code.python_facts(spark.createDataFrame(_SOURCES[1:], "file string, source string"))
+    s = _t(spark, sf_dir, "supplier")
+    top = s.groupBy("s_nationkey").agg(F.max("s_acctbal").alias("top"))
+    rows = s.join(top, "s_nationkey").select(F.col("s_nationkey").alias("project"), F.lit("h").alias("host"), F.lit("local_path").alias("type"), F.col("s_suppkey").cast("string").alias("path"), (F.col("s_acctbal") == F.col("top")).alias("is_default"), F.col("s_suppkey").alias("ord"))
+    return context.project_paths(rows, "h").select("project", F.col("path").cast("bigint").alias("source"))
 
 
 @query("WITH s AS (SELECT user_id AS thread, event_id AS seq, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), g AS (SELECT *, sum(new) OVER (PARTITION BY thread ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS k FROM s) SELECT thread, count(*) AS n, max(seq) AS last_seq FROM g GROUP BY thread, k")

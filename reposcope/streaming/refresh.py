@@ -1,25 +1,48 @@
-"""Streams: files that change, and the activity log in windows of event time."""
+"""Streams: files that change, the activity log in windows of event time, answers that wait for silence."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from reposcope.operators.mining import freshness, merge_incremental
 
+#: Limits of the time between two looks.
+SECONDS = (5, 3600)
+
+
+def merge_batch(stored: DataFrame, batch: DataFrame, swept: bool) -> tuple[DataFrame, DataFrame]:
+    """The report of what differs, and the merged table. A batch that is a whole sweep also tells what is
+    gone; otherwise ``gone`` rows of the batch do, and files it does not name stay as they are."""
+    gone = batch.where("gone").select("file").distinct() if "gone" in batch.columns else None
+    seen = batch.where("not gone").drop("gone") if gone is not None else batch
+    if swept:
+        report = freshness(stored, seen)
+    else:
+        named = seen.select("file") if gone is None else seen.select("file").union(gone).distinct()
+        report = freshness(stored.join(named, "file", "left_semi"), seen)
+    return report, merge_incremental(stored, seen, report)
 
-def refresh_on(stream: DataFrame, read_stored, write_merged, seconds: int = 30):
-    """Starts a query that, for each batch of (file, hash, ...) rows seen, merges what changed.
-    ``read_stored()`` gives the stored table, ``write_merged(df, batch_id)`` must be safe to repeat."""
+
+def refresh_on(stream: DataFrame, read_stored: Callable[[], DataFrame], write_merged: Callable[[DataFrame, int], None], seconds: int = 30, swept: bool = False):
+    """A writer that, for each batch of (file, hash, ...[, gone]) rows seen, merges what changed and drops what
+    is gone; ``swept`` if every batch is a whole sweep of the files. A file seen more than once in a
+    batch counts as last seen (``seen_at``, if there is such a column). ``read_stored()`` gives the stored
+    table, ``write_merged(df, batch_id)`` must be safe to repeat."""
     def merge(batch: DataFrame, batch_id: int) -> None:
-        stored = read_stored()
-        seen = stored.join(batch.select("file"), "file", "left_semi")
-        report = freshness(seen, batch).persist()
-        if report.count():
-            write_merged(merge_incremental(stored, batch, report), batch_id)
-        report.unpersist()
+        if "seen_at" in batch.columns:
+            rest = [c for c in batch.columns if c != "file"]
+            batch = batch.groupBy("file").agg(F.max_by(F.struct(*rest), "seen_at").alias("x")).select("file", "x.*").drop("seen_at")
+        report, merged = merge_batch(read_stored(), batch, swept)
+        if report.limit(1).count():
+            write_merged(merged, batch_id)
 
-    return stream.writeStream.foreachBatch(merge).trigger(processingTime=f"{min(max(seconds, 5), 3600)} seconds")
+    return stream.writeStream.foreachBatch(merge).trigger(processingTime=f"{min(max(seconds, SECONDS[0]), SECONDS[1])} seconds")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
@@ -28,3 +51,72 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
     watched = events.withWatermark("ts", late)
     grouped = watched.groupBy("thread", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"), F.max("seq").alias("last_seq"))
     return grouped.select("thread", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "last_seq")
+
+
+def windows(events: DataFrame, length: str = "1 hour", slide: str | None = None, late: str = "1 hour") -> DataFrame:
+    """(start, end, kind, n): counts of events (ts, kind) in tumbling windows, or sliding ones."""
+    watched = events.withWatermark("ts", late)
+    span = F.window("ts", length, slide) if slide else F.window("ts", length)
+    return watched.groupBy(span.alias("w"), "kind").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "kind", "n")
+
+
+OUTCOME = "thread string, answer_seq bigint, surface string, searches_after bigint, changed array<string>, hit array<string>, missed array<string>, recall double"
+_STATE = "seqs array<bigint>, surfaces array<string>, files array<array<string>>, searches array<bigint>, last array<map<string,bigint>>"
+
+
+def _take(pending: list[list], rows: pd.DataFrame) -> list[tuple]:
+    """Applies events in the order of their sequence; gives the outcomes that an idle event closes. Each of
+    pending is [seq, surface, files, searches, changed]."""
+    out = []
+    for r in rows.sort_values("seq", kind="stable").itertuples(index=False):
+        if r.kind == "answer":
+            pending.append([int(r.seq), r.surface, list(r.files) if r.files is not None else [], 0, {}])
+            continue
+        if r.kind == "idle":
+            out += [_closed(p) for p in pending if p[0] <= r.seq]
+            pending[:] = [p for p in pending if p[0] > r.seq]
+            continue
+        for p in pending:
+            if r.seq > p[0]:
+                if r.kind == "search":
+                    p[3] += 1
+                elif r.kind == "change" and r.value:
+                    p[4][r.value] = int(r.seq)
+    return out
+
+
+def _closed(p: list) -> tuple:
+    changed = sorted(p[4])
+    hit = sorted(set(changed) & set(p[2]))
+    return p[0], p[1], p[3], changed, hit, sorted(set(changed) - set(p[2])), len(hit) / len(changed) if changed else None
+
+
+def outcomes_on_idle(log: DataFrame, minutes: int = 30) -> DataFrame:
+    """Outcomes of answers as their threads fall silent, from a stream of (thread, seq, kind, value, surface,
+    files): kind is answer, search, change or idle. State is kept for each thread: its open answers,
+    their searches and changed files. An idle event closes all answers before it; so does
+    ``minutes`` without any event. Events count by sequence, not by time."""
+    columns = OUTCOME.split(", ")
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        pending = [list(x) for x in zip(*state.get, strict=True)] if state.exists else []
+        pending = [[s, n, list(f), c, dict(m)] for s, n, f, c, m in pending]
+        if state.hasTimedOut:
+            done, pending = [_closed(p) for p in pending], []
+        else:
+            done = _take(pending, pd.concat(list(batches), ignore_index=True))
+        if pending:
+            state.update(tuple(list(x) for x in zip(*pending, strict=True)))
+            state.setTimeoutDuration(minutes * 60_000)
+        elif state.exists:
+            state.remove()
+        if done:
+            yield pd.DataFrame([(key[0], *d) for d in done], columns=[c.split()[0] for c in columns])
+
+    return log.groupBy("thread").applyInPandasWithState(run, OUTCOME, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def stop(query: StreamingQuery, seconds: int = 60) -> bool:
+    """Ends a stream after the batch it is in; whether it ended in time."""
+    query.stop()
+    return query.awaitTermination(seconds)
