@@ -12,7 +12,7 @@ from reposcope.sources import repository
 #: An event of a user is one of a turn: of a hundredth of the log.
 _EVENTS = """ev AS (SELECT user_id AS thread, event_id AS seq, 't' || (event_id // 1000) AS turn, CASE event_type WHEN 'signup' THEN 'turn/started' WHEN 'error' THEN 'turn/completed' WHEN 'click' THEN 'item/started' ELSE 'item/completed' END AS kind,
 CASE WHEN event_type = 'view' THEN NULL ELSE 'i' || (k % 3) END AS item, CASE WHEN event_type = 'view' THEN 'agentMessage' WHEN k % 3 = 0 THEN 'toolCall' WHEN k % 3 = 1 THEN 'commandExecution' ELSE 'reasoning' END AS type,
-CASE WHEN k % 2 = 0 THEN 'symbol_lookup' ELSE 'other' END AS nm, CASE WHEN k % 4 < 2 THEN 'git  grep x' ELSE 'npm test' END AS command, CASE WHEN event_type = 'view' THEN 'see Path/' || k || ' and Term' END AS text, event_id - event_id % 3 AS at
+CASE WHEN k % 2 = 0 THEN 'symbol_lookup' ELSE 'other' END AS nm, CASE WHEN k % 4 < 2 THEN 'git  grep x' ELSE 'npm test' END AS command, CASE WHEN event_type = 'view' THEN 'see Path/' || k || ' and Term' END AS text, event_id - event_id % 3 AS ms
 FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events))"""
 
 
@@ -26,19 +26,19 @@ def _events(spark, sf_dir):
 
 
 _V4 = """tl AS (SELECT thread, max_by(turn, seq) AS turn FROM ev WHERE kind = 'turn/completed' GROUP BY 1), sel AS (SELECT ev.* FROM ev JOIN tl USING (thread, turn)),
-it AS (SELECT thread, item, seq, kind = 'item/started' AS s, type, at, CASE WHEN type = 'toolCall' AND nm = 'symbol_lookup' THEN 'native' WHEN type = 'commandExecution' AND regexp_matches(command, '\\b(?:rg|grep|find|fd|sed|awk|git\\s+grep)\\b') THEN 'shell' WHEN type = 'reasoning' THEN 'reasoning' END AS ch
+it AS (SELECT thread, item, seq, kind = 'item/started' AS s, type, ms, CASE WHEN type = 'toolCall' AND nm = 'symbol_lookup' THEN 'native' WHEN type = 'commandExecution' AND regexp_matches(command, '\\b(?:rg|grep|find|fd|sed|awk|git\\s+grep)\\b') THEN 'shell' WHEN type = 'reasoning' THEN 'reasoning' END AS ch
 FROM sel WHERE kind IN ('item/started', 'item/completed') AND item IS NOT NULL),
 n AS (SELECT *, coalesce(lag(s) OVER w, false) AS b, lead(s) OVER w IS NULL AND s AS lo FROM it WINDOW w AS (PARTITION BY thread, item ORDER BY seq)),
 g AS (SELECT *, sum(CASE WHEN s AND NOT b THEN 1 ELSE 0 END) OVER (PARTITION BY thread, item ORDER BY seq) AS run FROM n),
-o AS (SELECT thread, item, run, type AS ot, at AS oa FROM g WHERE s AND NOT b), j AS (SELECT g.*, ot, oa FROM g LEFT JOIN o USING (thread, item, run)),
-l AS (SELECT *, CASE WHEN s AND b THEN 'duplicate' WHEN s AND lo THEN 'unmatched' WHEN s THEN 'open' WHEN NOT b THEN 'orphan' WHEN ot <> type THEN 'mismatch' WHEN at < oa THEN 'invalid' ELSE 'pair' END AS role FROM j),
+o AS (SELECT thread, item, run, type AS ot, ms AS oa FROM g WHERE s AND NOT b), j AS (SELECT g.*, ot, oa FROM g LEFT JOIN o USING (thread, item, run)),
+l AS (SELECT *, CASE WHEN s AND b THEN 'duplicate' WHEN s AND lo THEN 'unmatched' WHEN s THEN 'open' WHEN NOT b THEN 'orphan' WHEN ot <> type THEN 'mismatch' WHEN ms < oa THEN 'invalid' ELSE 'pair' END AS role FROM j),
 c AS (SELECT thread, count(*) FILTER (role IN ('pair', 'invalid')) AS pairs, count(*) FILTER (lo) AS unmatched, count(*) FILTER (role = 'duplicate') AS duplicates, count(*) FILTER (role = 'orphan') AS orphans, count(*) FILTER (role = 'mismatch') AS mismatches,
-count(*) FILTER (role = 'invalid') AS invalid, count(*) FILTER (role = 'pair' AND oa = at AND ch IS NOT NULL) AS no_length, count(*) FILTER (role IN ('pair', 'invalid') AND ch = 'native') AS native_calls, count(*) FILTER (role IN ('pair', 'invalid') AND ch = 'shell') AS shell_calls FROM l GROUP BY thread),
-iv AS (SELECT thread, ch, oa AS a, at AS z FROM l WHERE role = 'pair' AND ch IS NOT NULL UNION ALL SELECT thread, 'classified', oa, at FROM l WHERE role = 'pair' AND ch IS NOT NULL),
+count(*) FILTER (role = 'invalid') AS invalid, count(*) FILTER (role = 'pair' AND oa = ms AND ch IS NOT NULL) AS no_length, count(*) FILTER (role IN ('pair', 'invalid') AND ch = 'native') AS native_calls, count(*) FILTER (role IN ('pair', 'invalid') AND ch = 'shell') AS shell_calls FROM l GROUP BY thread),
+iv AS (SELECT thread, ch, oa AS a, ms AS z FROM l WHERE role = 'pair' AND ch IS NOT NULL UNION ALL SELECT thread, 'classified', oa, ms FROM l WHERE role = 'pair' AND ch IS NOT NULL),
 im AS (SELECT *, max(z) OVER (PARTITION BY thread, ch ORDER BY a, z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM iv), ig AS (SELECT *, sum(CASE WHEN r IS NULL OR a > r THEN 1 ELSE 0 END) OVER (PARTITION BY thread, ch ORDER BY a, z ROWS UNBOUNDED PRECEDING) AS q FROM im),
 il AS (SELECT thread, ch, q, max(z) - min(a) AS len, max(CASE WHEN a = z THEN 1 ELSE 0 END) AS flat FROM ig GROUP BY 1, 2, 3), ln AS (SELECT thread, ch, CASE WHEN max(flat) = 0 THEN CAST(sum(len) AS BIGINT) END AS total FROM il GROUP BY 1, 2),
 lp AS (SELECT thread, max(total) FILTER (ch = 'native') AS native, count(*) FILTER (ch = 'native') AS cn, max(total) FILTER (ch = 'shell') AS shell, count(*) FILTER (ch = 'shell') AS cs, max(total) FILTER (ch = 'reasoning') AS reasoning, count(*) FILTER (ch = 'reasoning') AS cr, max(total) FILTER (ch = 'classified') AS classified FROM ln GROUP BY 1),
-tm AS (SELECT thread, min_by(at, seq) FILTER (kind = 'turn/started') AS began, min_by(at, seq) FILTER (kind = 'turn/completed') AS ended, count(*) FILTER (kind = 'turn/started') AS starts FROM sel GROUP BY 1),
+tm AS (SELECT thread, min_by(ms, seq) FILTER (kind = 'turn/started') AS began, min_by(ms, seq) FILTER (kind = 'turn/completed') AS ended, count(*) FILTER (kind = 'turn/started') AS starts FROM sel GROUP BY 1),
 an AS (SELECT thread, max_by(text, seq) AS answer FROM sel WHERE kind = 'item/completed' AND type = 'agentMessage' AND text IS NOT NULL GROUP BY 1),
 a AS (SELECT th.thread, tl.turn, coalesce(pairs, 0) AS pairs, coalesce(unmatched, 0) AS unmatched, coalesce(duplicates, 0) AS duplicates, coalesce(orphans, 0) AS orphans, coalesce(mismatches, 0) AS mismatches, coalesce(invalid, 0) AS invalid, coalesce(no_length, 0) AS no_length, coalesce(native_calls, 0) AS native_calls, coalesce(shell_calls, 0) AS shell_calls,
 began, ended, starts, answer, lp.* EXCLUDE thread, lp.thread IS NOT NULL AS timed FROM (SELECT DISTINCT thread FROM ev) th LEFT JOIN tl USING (thread) LEFT JOIN c USING (thread) LEFT JOIN lp USING (thread) LEFT JOIN tm USING (thread) LEFT JOIN an USING (thread)),
@@ -55,7 +55,7 @@ def v4_metrics(spark, sf_dir):
 
 
 @query(f"""WITH {_EVENTS}, m AS (SELECT thread, count(*) FILTER (kind = 'item/completed' AND nm = 'symbol_lookup') AS native_calls, count(*) FILTER (kind = 'item/completed' AND type = 'commandExecution' AND regexp_matches(command, '\\b(?:rg|grep|find|fd|sed|awk|git\\s+grep)\\b')) AS shell_calls,
-min_by(at, seq) FILTER (kind = 'turn/started') AS began, max_by(at, seq) FILTER (kind = 'turn/completed') AS ended, max_by(text, seq) FILTER (text IS NOT NULL) AS answer FROM ev GROUP BY thread)
+min_by(ms, seq) FILTER (kind = 'turn/started') AS began, max_by(ms, seq) FILTER (kind = 'turn/completed') AS ended, max_by(text, seq) FILTER (text IS NOT NULL) AS answer FROM ev GROUP BY thread)
 SELECT thread, native_calls, shell_calls, native_calls + shell_calls AS operations, ended - began AS wall_ms, coalesce(length(answer) > 0, false) AS answered, coalesce(contains(lower(answer), 'path/') AND contains(lower(answer), 'term'), false) AS correct FROM m""")
 def v2_metrics(spark, sf_dir):
     return metrics.metrics_v2(_events(spark, sf_dir), "thread", path="Path/", terms=["TERM"])

@@ -242,7 +242,7 @@ def fuse_scores(spark, sf_dir):
 
 
 @query("""WITH f AS (SELECT source || '/' || lang || '/' || doc_id || '.txt' AS id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)
-SELECT id, array_to_string(list_transform(range(1, least(len(l), 5) + 1), i -> i || '|' || l[i]), chr(10)) || CASE WHEN len(l) > 5 THEN chr(10) || '… ' || (len(l) - 5) || ' more lines' ELSE '' END AS snippet FROM f""")
+SELECT id, array_to_string(list_transform(range(1, least(len(l), 5) + 1), lambda i: i || '|' || l[i]), chr(10)) || CASE WHEN len(l) > 5 THEN chr(10) || '… ' || (len(l) - 5) || ' more lines' ELSE '' END AS snippet FROM f""")
 def snippets(spark, sf_dir):
     files = _t(spark, sf_dir, "documents").where("text is not null").select(F.expr(_FILE).alias("file"), F.col("text").alias("source"))
     symbols = files.select(F.col("file").alias("id"), "file", F.lit(0).alias("start"), F.lit(1 << 30).alias("end"))

@@ -94,7 +94,7 @@ def scan_counts(found: DataFrame) -> DataFrame:
 
 def normal_path(path: Column) -> Column:
     """Slashes, and ``./`` before it."""
-    plain = F.regexp_replace(path, r"\\\\", "/")
+    plain = F.translate(path, "\\", "/")
     return F.when(plain.startswith("./") | plain.startswith("/"), plain).otherwise(F.concat(F.lit("./"), plain))
 
 
