@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 from reposcope.functions import text as tx
-from reposcope.operators import code, graph, metrics, mining, resolve, search
+from reposcope.operators import code, extract, graph, metrics, mining, resolve, search
 from reposcope.plans import catalog
 from reposcope.sources import repository
 
@@ -92,8 +92,8 @@ def test_snapshot_round_trip(spark, tmp_path):
 
 def test_boundaries_and_facts():
     assert code.boundaries_in("bus.emit('save')\n// bus.emit('x')\nimport('m'); import(m)\n") == [(1, "event-dispatch", "save"), (3, "dynamic-import", None)]
-    facts = code.facts_of_python("a.py", "class A:\n    def f(self):\n        g()\n")
-    assert [f[1] for f in facts if f[0] == "symbol"] == ["a.py#A@1:1", "a.py#A.f@2:5"] and ("call", "a.py#A.f@2:5", "g", None, 2, None) in facts
+    facts, problem = extract.extract("a.py", "python", "class A:\n    def f(self):\n        g()\n")
+    assert [s["id"] for s in facts.symbols] == ["a.py#A@1:1", "a.py#A.f@2:5"] and [(c["symbol"], c["name"], c["receiver"], c["line"]) for c in facts.calls] == [("a.py#A.f@2:5", "g", None, 2)] and problem is None
 
 
 def test_corpus_operators_may_be_absent(monkeypatch):
