@@ -68,12 +68,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A node that holds more than one in HOT of a round's rows meets them by broadcast; fewer than HOT can.
+HOT = 1000
+
+
+def _met(rows: DataFrame, key: str, hubs: DataFrame, others: DataFrame, how: str) -> DataFrame:
+    """``rows`` with the columns of their key: rows of ``hubs``, of which there are fewer than HOT, stay
+    where they are, so that no task gets all rows of a hub; the rest are shuffled to ``others``."""
+    few = F.broadcast(hubs)
+    return rows.join(few, key).unionByName(rows.join(few, key, "left_anti").join(others, key, how))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of ``edges(a, b)``; component is the smallest node reached.
 
     Alternating large-star / small-star rounds: every round is aggregations and equi-joins, the
-    rows never exceed the number of edges, and a hub's neighbours are met by partial aggregation.
-    Self-loops and repeated edges are allowed; no edges give no rows.
+    rows never exceed the number of edges, and a hub's neighbours are neither collected nor shuffled to
+    one task. Self-loops and repeated edges are allowed; no edges give no rows.
     """
     pairs = (
         edges.where("a <> b")
@@ -85,14 +96,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
         state = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state[0] == 0 or state == before:
             break
-        before = state
-        both = current.union(current.select("v", "u").toDF("u", "v"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        joined = small.union(least.select("u", F.col("m").alias("v"))).where("u <> v")
-        current = materialize(joined.distinct(), "edges")
+        before, share = state, max(state[0] // HOT, 1)
+        low = current.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m"))
+        often = current.groupBy("v").agg(F.count("*").alias("n")).where(F.col("n") > share).select("v")
+        met = _met(current, "v", often.join(low, "v", "left"), low, "left")
+        large = materialize(met.select("u", F.coalesce("m", "v").alias("v")), "stars")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        others = _met(large, "u", least.where(F.col("n") > share).drop("n"), least.where(F.col("n") <= share).drop("n"), "inner")
+        small = others.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        current = materialize(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
     nodes = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return nodes.union(roots)

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from reposcope.llm import bpe, html_text, mixing, nearest, pii, simhash, token_output, toxicity, url_filter, winnow
+from reposcope.llm import bpe, common, entries, html_text, mixing, nearest, pii, simhash, token_output, toxicity, url_filter, winnow
 from reposcope.llm.common import connected_components, table
 
 SMALL = "/root/testdata/sf0.001"
@@ -28,6 +28,44 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+@pytest.mark.parametrize("hot", [1, 4, 1000])
+def test_components_of_hubs(spark, monkeypatch, hot):
+    """Hubs with the smallest and the largest id, a chain and scattered links, however many nodes count as hubs."""
+    monkeypatch.setattr(common, "HOT", hot)
+    rng = random.Random(5)
+    edges = [(0, i) for i in range(1, 60)] + [(999, i) for i in range(100, 160)] + [(i, i + 1) for i in range(300, 320)]
+    edges += [(rng.randrange(400, 500), rng.randrange(400, 500)) for _ in range(60)] + [(150, 450)]
+    comp = {n: n for e in edges for n in e if e[0] != e[1]}
+    for _ in comp:
+        for a, b in edges:
+            if a != b:
+                comp[a] = comp[b] = min(comp[a], comp[b])
+    rng.shuffle(edges)
+    got = connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
+    assert {r.node: r.component for r in got} == comp and len(got) == len(comp)
+
+
+def test_op1_equals_brute_force(spark):
+    """The whole query against all pairs of its fixture's fingerprints."""
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(50)}" for _ in range(rng.randint(0, 60))) for _ in range(40)]
+    for t in list(texts):
+        words = t.split()
+        for _ in range(2):
+            if words:
+                words[rng.randrange(len(words))] = "Changed"
+            texts.append(" ".join(words))
+    rows = [(1000 - 3 * i, t) for i, t in enumerate(texts)] + [(2001, None), (2002, ""), (2003, texts[0].upper())]
+    path = f"{common.scratch_path(spark, 'op1')}"
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{path}/documents.parquet")
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in entries.queries()["op1_simhash"](spark, path).collect()}
+    rows.sort()
+    fps = [brute_simhash(t, 4) for _, t in rows]
+    comp = brute_components(fps, 4)
+    assert got == {i: (f"{fps[k]:016x}", rows[comp[k]][0]) for k, (i, _) in enumerate(rows)}
+    assert len({c for _, c in got.values()}) < len(rows) - 5
+
+
 def brute_simhash(text, k):
     import xxhash
 
