@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reposcope.llm.common import connected_components, materialize, parts
+from reposcope.llm.common import connected_components, free_name, materialize, parts
 
 SEED = 42
 #: Members of a tile; a group that is verified together holds two tiles at most.
@@ -308,23 +308,23 @@ def bands(hashes: np.ndarray) -> np.ndarray:
 
 
 def marks(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp, same, bands) of every row: ``same`` is equal for equal sets of shingles; no bands for
-    an empty set."""
+    """(id, mark, fp, same, bands) of every row: ``mark`` is xxhash64 of the text, ``same`` is equal for equal
+    sets of shingles; no bands for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
             fps, same, keys = [], [], []
-            for t in batch.column(1).cast(pa.large_binary()):
+            for t in batch.column(2).cast(pa.large_binary()):
                 hashes = shingle_hashes(t.as_py(), words, True)
                 fps.append(fingerprint(hashes))
                 same.append(xxhash.xxh3_128_digest(np.sort(hashes).tobytes()))
                 keys.append(bands(hashes) if len(hashes) else np.empty(0, dtype=np.int64))
             starts = np.cumsum([0] + [len(k) for k in keys]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(starts), pa.array(np.concatenate(keys) if keys else np.empty(0, dtype=np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), pa.array(same, pa.binary()), lists], ["id", "fp", "same", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64()), pa.array(same, pa.binary()), lists], ["id", "mark", "fp", "same", "bands"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp bigint, same binary, bands array<bigint>")
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, mark bigint, fp bigint, same binary, bands array<bigint>")
 
 
 def similar_forest(sets: list[np.ndarray], rep: np.ndarray, similarity: float) -> list[tuple[int, int]]:
@@ -404,8 +404,8 @@ def _stars(keyed: DataFrame, key: str) -> DataFrame:
 
 
 def similar_links(texts: DataFrame, clusters: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(a, b): links that connect whatever documents of one cluster are similar. ``texts(rep, text)``,
-    ``clusters(node, component)``; a cluster larger than a tile is dealt like a hot signature."""
+    """(a, b): links that connect whatever documents of one cluster are similar. ``texts(rep, text)`` has
+    each set once, ``clusters(node, component)``; a cluster larger than a tile is dealt like a hot signature."""
     held = texts.join(clusters.select(F.col("node").alias("rep"), F.col("component").alias("g")), "rep")
     large = held.groupBy("g").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
     large = large.select("g", F.ceil(F.greatest(F.col("n") / SET_TILE, F.col("chars") / SET_CHARS)).alias("tiles")).where("tiles > 2")
@@ -432,31 +432,54 @@ def similar_links(texts: DataFrame, clusters: DataFrame, words: int, similarity:
     return dealt.repartition("g").sortWithinPartitions("g").mapInArrow(run, "a bigint, b bigint")
 
 
-def alike(docs: DataFrame, words: int = 5, similarity: float = 0.8, bound: int = 9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, component) of every row: component is the smallest id that links reach. Two texts are
-    linked if their sets of shingles have Jaccard ``similarity`` or more, or are equal (null and
-    empty texts have the empty set). Fingerprints within ``bound`` bits and shared bands only say
-    which texts to compare. Null ids are in no component."""
-    found = materialize(marks(docs, words, id_col, text_col), "marks")
-    named = found.where("id is not null")
-    reps = materialize(named.groupBy("same").agg(F.min("id").cast("bigint").alias("rep"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "representatives")
+def _classes(docs: DataFrame, words: int, similarity: float, bound: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, mark, class) of every row with an id. Sets of shingles are numbered, whatever ids their
+    documents have, and linked by their numbers; a class is the number of one of its sets."""
+    found = materialize(marks(docs, words, id_col, text_col).where("id is not null"), "marks")
+    first = F.min(F.struct("id", "mark")).alias("shown")
+    sets = found.groupBy("same").agg(first, F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    reps = materialize(sets.withColumn("rep", F.monotonically_increasing_id()), "representatives")  # numbers as they are written
     by_bits = materialize(reps.groupBy("fp").agg(F.min("rep").alias("rep")), "fingerprints")
     candidates = links(by_bits, bound).union(_stars(reps.select("rep", "fp"), "fp")).union(band_links(reps))
     clusters = materialize(connected_components(candidates), "clusters")
-    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text"))
+    asked = reps.join(clusters.select(F.col("node").alias("rep")), "rep").select("rep", F.col("shown.id").alias("_id"), F.col("shown.mark").alias("_mark"))
+    own = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_mark"), F.col(text_col).alias("text"))
+    texts = own.join(asked, ["_id", "_mark"]).groupBy("rep").agg(F.first("text").alias("text"))
     linked = connected_components(similar_links(texts, clusters, words, similarity))
-    by_set = reps.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("same", F.coalesce("component", "rep").alias("component"))
-    return found.join(by_set, "same", "left").select("id", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
-
-
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that stay: of each group of similar texts (see ``alike``) the row with the
-    smallest doc_id (of repeated ids, one row). All columns stay, whatever they are called; rows without
-    an id stay; an empty table stays empty."""
-    found = alike(docs, **options).where("id = component").select(F.col("id").alias("doc_id")).distinct()
-    unnamed = docs.where("doc_id is null")
-    kept = docs.join(found, "doc_id", "left_semi").select(docs.columns)
-    repeated = kept.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    if repeated:
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(unnamed)
+    named = reps.select("same", "rep").join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("same", F.coalesce("component", "rep").alias("class"))
+    return found.join(named, "same").select("id", "mark", "class")
+
+
+#: Bits between fingerprints that are compared as whole sets. Unrelated texts are within 6 bits with a
+#: chance of 4.5e-12, so that up to 10^11 documents chance joins few of them; within 9 it is 1.8e-9.
+NEAR = 6
+
+
+def alike(docs: DataFrame, words: int = 5, similarity: float = 0.8, bound: int = NEAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, component) of every row: component is the smallest id of the texts that links reach. Two texts
+    are linked if their sets of shingles have Jaccard ``similarity`` or more, or are equal (null and
+    empty texts have the empty set). Fingerprints within ``bound`` bits and shared bands only say
+    which texts to compare. Rows of one id are as many documents. Null ids are in no component."""
+    rows = _classes(docs, words, similarity, bound, id_col, text_col)
+    least = rows.groupBy("class").agg(F.min("id").alias("component"))
+    none = docs.where(F.col(id_col).isNull()).select(F.col(id_col).alias("id"), F.col(id_col).alias("component"))
+    return rows.join(least, "class").select("id", "component").unionByName(none)
+
+
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, bound: int = NEAR) -> DataFrame:
+    """The rows of ``docs`` that stay: of each group of similar texts (see ``alike``) one row, that with the
+    smallest doc_id (of several with that id, the one whose text has the smallest xxhash64; of rows with
+    that text too, the one with the smallest hash of all columns). What goes is similar to what stays, by links, whatever ids repeat. All columns stay, whatever
+    they are called; rows without an id stay; an empty table stays empty."""
+    rows = _classes(docs, words, similarity, bound, "doc_id", "text")
+    stays = materialize(rows.groupBy("class").agg(F.min(F.struct("id", "mark")).alias("x")).select(F.col("x.id").alias("_id"), F.col("x.mark").alias("_mark")), "stays")
+    text = F.xxhash64(docs["text"])
+    kept = docs.join(stays, (docs["doc_id"] == stays["_id"]) & (text == stays["_mark"]), "left_semi")
+    repeated = rows.join(stays, (rows["id"] == stays["_id"]) & (rows["mark"] == stays["_mark"]), "left_semi").groupBy("id", "mark").count().where("count > 1")
+    if repeated.limit(1).count():
+        own, mark = free_name("_row", docs.columns), free_name("_text", docs.columns)
+        whole = kept.select(F.struct("*").alias(own), F.xxhash64("text").alias(mark))
+        order = F.xxhash64(*(F.col(f"{own}.`{c}`") for c, kind in docs.dtypes if "map<" not in kind))
+        one = whole.groupBy(F.col(f"{own}.doc_id"), mark).agg(F.min_by(own, order).alias(own))
+        kept = one.select(*(F.col(f"{own}.`{c}`").alias(c) for c in docs.columns))
+    return kept.unionByName(docs.where("doc_id is null"))

@@ -136,6 +136,26 @@ def test_keep_one(spark):
     assert kept.columns == ["doc_id", "text", "fp", "score"]
 
 
+def test_keep_one_of_repeated_ids(spark):
+    """Ids that repeat name several documents: each group keeps one of its own."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(5, a, "x"), (5, b, "x"), (7, b + " more", "x"), (9, c, "x"), (9, c, "x"), (9, c.upper(), "x"), (11, c, "x"), (None, a, "x"), (3, d, "x"), (3, d + " end", "x"), (2, "", "x"), (2, None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, _mark string")
+    kept = simhash.keep_one(docs)
+    got = sorted((r.doc_id, (r.text or "")[:1].lower()) for r in kept.where("doc_id is not null").collect())
+    assert got == [(2, ""), (3, "d"), (5, "a"), (5, "b"), (9, "c")] and kept.columns == docs.columns
+    assert kept.where("doc_id is null").count() == 1
+    shown = sorted(tuple(r) for r in simhash.alike(docs.where("doc_id is not null")).collect())
+    assert shown == [(2, 2), (2, 2), (3, 3), (3, 3), (5, 5), (5, 5), (7, 5), (9, 9), (9, 9), (9, 9), (11, 9)]
+
+
+def test_keep_one_of_empty_tables(spark):
+    none = odd_docs(spark).limit(0)
+    assert simhash.keep_one(none).count() == 0 and simhash.alike(none).count() == 0
+    unnamed = spark.createDataFrame([(None, "a")], "doc_id bigint, text string")
+    assert simhash.keep_one(unnamed).count() == 1
+
+
 def test_keep_one_goes_by_whole_sets(spark):
     """Pairs of Jaccard similarity 0.8 and little more all lose one, pairs below 0.8 none."""
     rng, rows, similar = random.Random(11), [], set()
