@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reposcope.operators import ordered
+
 Z95 = 1.959963984540054
 #: Fixed value: commands that look for code.
 SEARCHES = r"(^|[\s|;&(])(rg|grep|ag|ack|fd|find)\s"
@@ -124,9 +126,6 @@ def merge_incremental(old: DataFrame, fresh: DataFrame, report: DataFrame) -> Da
 
 
 def merged_length(intervals: DataFrame, *keys: str) -> DataFrame:
-    """(keys..., total): length of the union of [start, end) intervals of each key."""
-    w = Window.partitionBy(*keys).orderBy("start", "end")
-    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = intervals.withColumn("_new", (reach.isNull() | (F.col("start") > reach)).cast("int"))
-    islands = new.withColumn("_island", F.sum("_new").over(w))
-    return islands.groupBy(*keys, "_island").agg((F.max("end") - F.min("start")).alias("n")).groupBy(*keys).agg(F.sum("n").alias("total"))
+    """(keys..., total): length of the union of [start, end) intervals of each key, in many tasks if a key
+    has many (see ``ordered``)."""
+    return ordered.union_length(intervals, list(keys))

@@ -17,8 +17,10 @@ IMPORT_WEIGHT = 0.2
 
 
 def receiver_types(types: DataFrame) -> DataFrame:
-    """(file, name, type): the last binding of each name counts, also as ``this.`` name."""
-    both = types.union(types.select("file", F.concat(F.lit("this."), F.col("name")), "type", "ord"))
+    """(file, name, type): the last binding of each name counts, also as ``this.`` name; where the bindings
+    know their class (``container``), only those of a class do."""
+    own = types.where("container is not null") if "container" in types.columns else types
+    both = types.select("file", "name", "type", "ord").unionByName(own.select("file", F.concat(F.lit("this."), F.col("name")).alias("name"), "type", "ord"))
     return both.groupBy("file", "name").agg(F.max_by("type", "ord").alias("type"))
 
 
@@ -43,7 +45,7 @@ def proposals(calls: DataFrame, symbols: DataFrame, imports: DataFrame, types: D
     unique = F.when(F.col("candidates") == 1, F.col("only"))
     method = F.col("receiver").isNotNull() & (F.col("kind") == "method")
     return rows.select(
-        "call", "caller", "receiver", F.coalesce("candidates", F.lit(0)).alias("candidates"), "importMap", "sameFile", "typedReceiver",
+        "call", "caller", "caller_file", "name", "receiver", F.coalesce("candidates", F.lit(0)).alias("candidates"), "importMap", "sameFile", "typedReceiver",
         F.when(~method, unique).alias("uniqueName"), F.when(method, unique).alias("uniqueMethod"),
     )
 
@@ -142,15 +144,20 @@ def module_path(imports: DataFrame, files: DataFrame, extensions: list[str]) ->
 
 
 def resolve_project(found: dict[str, DataFrame], files: DataFrame, extensions: list[str]) -> dict[str, DataFrame]:
-    """All relations of a project from ``extract.relations``: symbols, edges (calls and imports),
-    file_imports, type_relations, stats."""
+    """All relations of a project from ``extract.relations``: symbols, edges (calls and imports), captures,
+    file_imports, type_relations, stats, and the state they can be kept up to date from."""
+    from reposcope.operators import incremental
+
     symbols = found["symbols"]
     targets = module_path(found["imports"], files, extensions)
     imports = found["imports"].join(targets, ["file", "ord"]).select("file", "local", "target", "ord")
-    resolved = resolve(proposals(found["calls"], symbols, imports, found["types"]))
-    last = imports.groupBy("file", "local").agg(F.max_by("target", "ord").alias("target"))
-    imported = import_edges(last, symbols)
+    state = incremental.build(symbols, found["calls"], imports, found["types"])
+    return project_of(state, found["type_relations"]) | {"state": state}
+
+
+def project_of(state, declared: DataFrame) -> dict[str, DataFrame]:
+    """What an index is made of, from a state of ``incremental`` and the declared type relations."""
     return {
-        "symbols": symbols, "edges": all_edges(call_edges(resolved), imported), "file_imports": file_imports(last, symbols),
-        "type_relations": type_relations(found["type_relations"], symbols), "stats": stats(resolved, imported),
+        "symbols": state.symbols, "edges": state.edges(), "captures": state.captures(), "file_imports": state.imports_of_files(),
+        "type_relations": type_relations(declared, state.symbols), "stats": state.stats,
     }

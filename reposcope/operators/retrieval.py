@@ -8,12 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reposcope.functions.text import identifier_terms, identifiers, is_test_file
-from reposcope.operators import graph, mining
+from reposcope.operators import graph, mining, spans
+from reposcope.shared import Scratch
 
 #: Terms in more than this share of the symbols say nothing.
 MOST_SHARE = 0.15
 #: Diffusion time, and how many symbols that a question finds by its words start it.
 TIME, QUESTION_SEEDS = 1.5, 5
+#: What a diffusion leaves out of the kernel, and what residual it leaves where it is, as shares of the mass.
+TOLERANCE, LOST = 1e-6, 1e-9
 #: Weight of co-change beside seeds that were given; beside a question it is 0.
 COCHANGE_WEIGHT = 0.5
 #: Strategies in the order in which they explain a symbol.
@@ -109,12 +112,19 @@ class Index:
     def __post_init__(self):
         self.terms = term_table(self.symbols)
         self.n = None
+        self.graph = None
 
     def size(self) -> int:
         if self.n is None:
             self.n = self.symbols.count()
         return self.n
 
+    def transition(self) -> graph.Transition:
+        """The graph of all edges, laid out once for all questions."""
+        if self.graph is None:
+            self.graph = graph.laid_out(self.edges.select("src", "dst", "weight"))
+        return self.graph
+
     def persist(self) -> Index:
         """Keeps what every question reads, until ``release``."""
         for name in ("symbols", "edges", "file_imports", "type_relations", "terms"):
@@ -124,6 +134,9 @@ class Index:
     def release(self) -> None:
         for name in ("symbols", "edges", "file_imports", "type_relations", "terms"):
             getattr(self, name).unpersist()
+        if self.graph is not None:
+            self.graph.release()
+            self.graph = None
 
     def calls(self) -> DataFrame:
         """(src, dst, strategy): each pair's strongest strategy; import edges are no calls."""
@@ -169,30 +182,31 @@ def _none(index: Index) -> DataFrame:
     return index.symbols.where("false").select("id", F.lit(0.0).alias("score"))
 
 
-def rank(index: Index, seeds: list[str] | None = None, question: str | None = None, structural_weight: float = 1.0, cochange_weight: float | None = None, question_seeds: int = QUESTION_SEEDS) -> DataFrame | None:
+def rank(index: Index, seeds: list[str] | None = None, question: str | None = None, structural_weight: float = 1.0, cochange_weight: float | None = None, question_seeds: int = QUESTION_SEEDS, scratch: Scratch | None = None) -> DataFrame | None:
     """(id, score, structural, lexical, cochange, via) of what is relevant; None if nothing is asked.
 
     Seeds go before a question. With seeds, symbols of seed files are withheld, as the asker has them;
-    a symbol asked for by its name stays. With a question the best symbols by words are the seeds and stay."""
+    a symbol asked for by its name stays. With a question the best symbols by words are the seeds and stay.
+    What is made on the way is written to ``scratch``, which its owner releases."""
+    scratch = scratch or Scratch()
     asked = [s for s in seeds or [] if s.strip()]
     terms = identifiers(question or "")
     if not asked and not terms:
         return None
     idf = idf_table(index.terms, index.size())
     if asked:
-        near = seeds_of(index, asked).persist()
+        near = scratch.written(seeds_of(index, asked), "seeds")
         words = _none(index)
         weight = COCHANGE_WEIGHT if cochange_weight is None else cochange_weight
     else:
-        words = question_scores(index.terms, idf, terms).persist()
+        words = scratch.written(question_scores(index.terms, idf, terms), "words")
         best = words.orderBy(F.desc("score"), "id").limit(question_seeds)
-        near = index.symbols.select("id", "file").join(F.broadcast(best), "id").select("id", "file", F.lit(False).alias("by_file"), "score").persist()  # question_seeds rows
+        near = scratch.written(index.symbols.select("id", "file").join(F.broadcast(best), "id").select("id", "file", F.lit(False).alias("by_file"), "score"), "seeds")  # question_seeds rows
         weight = 0.0 if cochange_weight is None else cochange_weight
     if not near.count():
         return _via(index, near, fuse(words, _none(index), _none(index)))
     mass = near.select(F.col("id").alias("node"), (F.col("score") if "score" in near.columns else F.lit(1.0)).alias("x"))
-    graph_edges = index.edges.select("src", "dst", "weight")
-    structural = graph.diffuse(graph_edges, mass, TIME, 1e-4).select(F.col("node").alias("id"), F.col("relevance").alias("score"))
+    structural = graph.diffuse(index.transition(), mass, TIME, TOLERANCE, lost=LOST, scratch=scratch).select(F.col("node").alias("id"), F.col("relevance").alias("score"))
     history = _cochange_scores(index, near) if weight > 0 else None
     found = fuse(words, structural, history if history is not None else _none(index), structural_weight, weight)
     if asked:
@@ -211,15 +225,16 @@ def snippets(symbols: DataFrame, sources: DataFrame, lines: int = 40) -> DataFra
     return symbols.join(split, F.col("file") == F.col("_f"), "left").withColumn("snippet", F.concat(F.array_join(body, "\n"), more)).drop("_f", "_lines")
 
 
-def retrieve(index: Index, seeds: list[str] | None = None, question: str | None = None, budget: int = 4000, **options) -> dict:
+def retrieve(index: Index, seeds: list[str] | None = None, question: str | None = None, budget: int = 4000, scratch: Scratch | None = None, **options) -> dict:
     """symbols (ranked within the budget), tokens_used, files, edges (among the symbols), blast_radius (of
     symbols returned or asked for by name). All five are there, and empty, if nothing is asked or found."""
-    found = rank(index, seeds, question, **options)
+    scratch = scratch or Scratch()
+    found = rank(index, seeds, question, scratch=scratch, **options)
     every = index.symbols.select("id", "name", "file", "start", "end", "tokens")
     if found is None:
         empty = every.where("false")
         return {"symbols": empty, "tokens_used": 0, "files": [], "edges": index.edges.where("false"), "blast_radius": blast_radius(index.edges.where("false"), index.symbols, index.file_imports.where("false"))}
-    packed = within_budget(every.join(found, "id"), budget).persist()
+    packed = scratch.written(within_budget(every.join(found, "id"), budget), "packed")
     rows = packed.orderBy("running").select("file", "running").collect()  # budget rows at most
     near = packed.select("id")
     asked = near.union(seeds_of(index, seeds or []).where("not by_file").select("id")).distinct()
@@ -257,7 +272,5 @@ def direct_callers(edges: DataFrame, symbols: DataFrame, targets: DataFrame) ->
 
 
 def inside(hits: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Hits (file, line from 1) within spans of symbols (id, file, start, end from 0): the file is the
-    join's key, the span a condition on it."""
-    s = symbols.select("id", F.col("file").alias("_f"), "start", "end")
-    return hits.join(s, (F.col("file") == F.col("_f")) & (F.col("line") - 1).between(F.col("start"), F.col("end"))).drop("_f")
+    """Hits (file, line from 1) within spans of symbols (id, file, start, end from 0): see ``spans``."""
+    return spans.containing(hits, symbols.select("id", "file", "start", "end"))

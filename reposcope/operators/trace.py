@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reposcope.functions.text import query_patterns
-from reposcope.operators import retrieval, search
+from reposcope.operators import retrieval, search, spans
 from reposcope.operators.retrieval import Index
+from reposcope.shared import Scratch
 
 #: Hits of each pattern, lines after a trace's hits, symbols of a trace, rows of each relation.
 HITS, AFTER, NODES, RELATIONS = 8, 12, 3, 12
@@ -68,7 +69,7 @@ def candidates(index: Index, hits: DataFrame, target: Target | None) -> DataFram
     at = hits.select("pattern", path.alias("file"), "line")
     s = index.symbols.select("id", "name", "container", "file", "start", "end")
     named = s.join(at.select("file", F.col("pattern").alias("name")).distinct(), ["file", "name"], "left_semi")
-    around = s.join(at.select(F.col("file").alias("_f"), "line"), (F.col("file") == F.col("_f")) & (F.col("line") - 1).between(F.col("start"), F.col("end")))
+    around = spans.containing(at.select("file", "line").distinct(), s.select("id", "file", "start", "end"))
     ways = [named.select("id", F.lit(2).alias("rank")), around.select("id", F.lit(5).alias("rank"))]
     if target is not None:
         anchored = s.where(F.col("name") == target.anchor)
@@ -109,15 +110,16 @@ def direct_trace(index: Index, hits: DataFrame, target: Target | None) -> tuple[
 def evidence(hits: DataFrame, nodes: DataFrame) -> DataFrame:
     """Hits within the traced symbols; all hits if there are none."""
     path = F.regexp_replace(F.regexp_replace("file", r"\\", "/"), r"^\./", "")
-    spans = F.broadcast(nodes.select(F.col("file").alias("_f"), "first", "last"))  # NODES rows
-    inside = hits.join(spans, (path == F.col("_f")) & F.col("line").between(F.col("first"), F.col("last")), "left_semi")
+    near = F.broadcast(nodes.select(F.col("file").alias("_f"), "first", "last"))  # NODES rows
+    inside = hits.join(near, (path == F.col("_f")) & F.col("line").between(F.col("first"), F.col("last")), "left_semi")
     any_ = F.broadcast(nodes.agg(F.count("*").alias("_n")))  # one row
     return inside.union(hits.crossJoin(any_).where("_n = 0").drop("_n"))
 
 
-def query_codebase(index: Index, lines: DataFrame, query: str, mode: str = "explore", budget: int = 4000) -> dict:
+def query_codebase(index: Index, lines: DataFrame, query: str, mode: str = "explore", budget: int = 4000, scratch: Scratch | None = None) -> dict:
     """explore: exact hits of up to three patterns beside ranked context; trace: hits of one anchor, the
-    symbols they mean and their direct relations."""
+    symbols they mean and their direct relations. What is made on the way is written to ``scratch``."""
+    scratch = scratch or Scratch()
     if mode not in ("explore", "trace"):
         raise ValueError("mode must be explore or trace")
     found = query_patterns(query)
@@ -126,8 +128,8 @@ def query_codebase(index: Index, lines: DataFrame, query: str, mode: str = "expl
     hits = exact_hits(lines, patterns, mode == "trace")
     out = {"query": query, "mode": mode, "patterns": patterns}
     if mode == "explore":
-        return out | {"exact_matches": hits, "context": retrieval.retrieve(index, question=query, budget=budget)}
-    hits = hits.persist()
+        return out | {"exact_matches": hits, "context": retrieval.retrieve(index, question=query, budget=budget, scratch=scratch)}
+    hits = scratch.written(hits, "hits")
     nodes, relations = direct_trace(index, hits, target)
-    nodes = nodes.persist()
+    nodes = scratch.written(nodes, "nodes")
     return out | {"exact_matches": evidence(hits, nodes), "symbols": nodes, "relations": relations}

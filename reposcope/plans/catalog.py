@@ -360,13 +360,13 @@ def matvec(spark, sf_dir):
     return graph.spread(seed, steps).withColumn("x", F.round("x", 9))
 
 
-_COEF = graph.coefficients(1.0, 1e-2)
+_COEF = graph.coefficients(1.0, 1e-6)
 
 
 @query(f"WITH {_GRAPH}, x0 AS (SELECT 'S1' AS node, 1.0::DOUBLE AS x), " + ", ".join(_STEP.format(k=k, j=k - 1) for k in range(1, len(_COEF))) + ", u AS (" + " UNION ALL ".join(f"SELECT node, x * {c!r} AS m FROM x{k}" for k, c in enumerate(_COEF)) + "), g AS (SELECT node, sum(m) AS mass FROM u GROUP BY 1) SELECT g.node, round(mass, 9) AS mass, round(mass / sqrt(degree), 9) AS relevance FROM g JOIN deg USING (node)")
 def diffuse_t1(spark, sf_dir):
     seed = spark.createDataFrame([("S1", 1.0)], "node string, x double")
-    out = graph.diffuse(_edges(spark, sf_dir), seed, 1.0, 1e-2)
+    out = graph.diffuse(_edges(spark, sf_dir), seed, 1.0, 1e-6)
     return out.select("node", F.round("mass", 9).alias("mass"), F.round("relevance", 9).alias("relevance"))
 
 

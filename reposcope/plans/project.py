@@ -201,7 +201,7 @@ _TERMS = r"""tok AS (SELECT p_partkey AS id, unnest(string_split_regex(lower(p_n
 nd AS (SELECT count(*)::DOUBLE AS n FROM part), idf AS (SELECT term, ln((SELECT n FROM nd) / count(*)) AS idf FROM terms GROUP BY term HAVING count(*) <= 0.15 * (SELECT n FROM nd)),
 nrm AS (SELECT id, sqrt(sum((1 + ln(tf)) * idf * (1 + ln(tf)) * idf)) AS norm FROM terms JOIN idf USING (term) GROUP BY id),
 asked AS (SELECT * FROM idf WHERE term IN ('small', 'anvil')), lex AS (SELECT id, sum((1 + ln(tf)) * idf * idf) / (any_value(norm) * (SELECT sqrt(sum(idf * idf)) FROM asked)) AS lexical FROM terms JOIN asked USING (term) JOIN nrm USING (id) GROUP BY id)"""
-_COEF = graph.coefficients(retrieval.TIME, 1e-4)
+_COEF = graph.coefficients(retrieval.TIME, retrieval.TOLERANCE)
 _HEAT = """adj AS (SELECT src, dst, sum(weight) AS w FROM (SELECT src, dst, weight FROM alle UNION ALL SELECT dst, src, weight FROM alle) WHERE src <> dst GROUP BY 1, 2), deg AS (SELECT src AS node, sum(w) AS degree FROM adj GROUP BY 1),
 p AS (SELECT a.src, a.dst, a.w / d.degree AS p FROM adj a JOIN deg d ON d.node = a.src), """ + ", ".join(f"x{k} AS (SELECT coalesce(dst, node) AS node, sum(x * coalesce(p, 1)) AS x FROM x{k - 1} LEFT JOIN p ON p.src = x{k - 1}.node GROUP BY 1)" for k in range(1, len(_COEF))) + ", mass AS (SELECT node, sum(m) AS mass FROM (" + " UNION ALL ".join(f"SELECT node, x * {c!r} AS m FROM x{k}" for k, c in enumerate(_COEF)) + ") GROUP BY 1), st AS (SELECT m.node AS id, CASE WHEN degree > 0 THEN mass / sqrt(degree) ELSE mass END AS structural FROM mass m LEFT JOIN deg d ON d.node = m.node WHERE mass > 0)"
 _NEAR = f"near AS (SELECT id, min_by(strategy, {_RANK}) AS via FROM (SELECT dst AS id, src AS seed, strategy FROM pair UNION ALL SELECT src, dst, strategy FROM pair) WHERE seed IN (SELECT node FROM x0) GROUP BY 1)"

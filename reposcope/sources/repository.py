@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import json
 import re
-import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from reposcope.operators import ordered
+from reposcope.sources import snapshots
+
 #: Folders that are never read, folders left out of remote inventories, languages by extension.
 ALWAYS_SKIP = (".git", "node_modules", "dist", "build", "out", "target", "vendor", ".venv", "venv", "__pycache__", ".next", ".turbo", "coverage")
 REMOTE_SKIP = ("node_modules", "dist", "build", "out", "target", "vendor", "venv", "__pycache__", "coverage")
@@ -87,6 +89,15 @@ def scan(spark: SparkSession, root: str, gitignore: str = "", hidden: bool = Fal
     return kept.withColumns({"hash": F.substring(F.sha2("source", 256), 1, 32), "language": language(F.col("file"))})
 
 
+def read_listed(spark: SparkSession, root: str, names: tuple[str, ...]) -> DataFrame:
+    """(file, source) of the named files below ``root`` that are there, whatever their language."""
+    store = snapshots.Store(spark, root)
+    there = [n for n in names if store.disk.exists(store.path(n))]
+    if not there:
+        return spark.createDataFrame([], "file string, source string")
+    return spark.read.format("text").option("wholetext", True).load([f"{store.root}/{n}" for n in there]).select(_below(root).alias("file"), F.col("value").alias("source"))
+
+
 def scan_counts(found: DataFrame) -> DataFrame:
     """One row of ``classify``'s rows: indexed, and files left out by each cause."""
     return found.agg(*(F.count_if(F.col("status") == s).alias(n) for s, n in (("indexed", "indexed"), ("skipped", "skipped"), ("ignored", "ignored"), ("unsupported", "unsupported"), ("tooLarge", "too_large"))))
@@ -135,7 +146,7 @@ def blind_spots(truncated: bool = False) -> Column:
     return F.array_compact(F.array(cut, held))
 
 
-#: Commits that are read of a log.
+#: Commits that the git command is asked for.
 MOST_COMMITS = 5000
 
 
@@ -158,15 +169,14 @@ def read_git_log(spark: SparkSession, root: str, commits: int = MOST_COMMITS) ->
 
 def parse_git_log(lines: DataFrame) -> DataFrame:
     """(log, commit, file) from the lines (log, pos, text) of logs of names (one log, if there is no such
-    column): a line of 7 to 40 hexadecimal digits starts a commit, whose first MOST_COMMITS in a log
-    count. Every log is ordered by itself."""
+    column): a line of 7 to 40 hexadecimal digits starts a commit. Every log is ordered by itself, in
+    many tasks if it is long (see ``ordered``)."""
     if "log" not in lines.columns:
         return parse_git_log(lines.withColumn("log", F.lit(""))).drop("log")
     text = F.regexp_replace("text", "\r$", "")
     head = F.when(text.rlike("^[0-9a-fA-F]{7,40}$"), text)
-    w = Window.partitionBy("log").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines.select("log", "pos", text.alias("text"), head.alias("head")).withColumns({"commit": F.last("head", ignorenulls=True).over(w), "_n": F.count("head").over(w)})
-    return rows.where((F.col("_n") <= MOST_COMMITS) & F.col("head").isNull() & F.col("commit").isNotNull() & (F.trim("text") != "")).select("log", "commit", F.col("text").alias("file"))
+    rows = ordered.last_known(lines.select("log", "pos", text.alias("text"), head.alias("head")), ["log"], ["pos"], "head", "commit")
+    return rows.where(F.col("head").isNull() & F.col("commit").isNotNull() & (F.trim("text") != "")).select("log", "commit", F.col("text").alias("file"))
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
@@ -182,45 +192,14 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("seq is not null and type is not null")
 
 
-def _move(spark: SparkSession, source: str, target: str) -> None:
-    """Renames a folder or file, over what is there."""
-    jvm = spark.sparkContext._jvm
-    a, b = (jvm.org.apache.hadoop.fs.Path(p) for p in (source, target))
-    disk = b.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    disk.delete(b, True)
-    if not disk.rename(a, b):
-        raise OSError(f"cannot move {source} to {target}")
+def save_snapshot(relations: dict[str, DataFrame], path: str, version: int = ENGINE_VERSION, health: dict | None = None, note: dict | None = None) -> int | None:
+    """See ``snapshots.save``."""
+    return snapshots.save(relations, path, version, health, note)
 
 
-def save_snapshot(relations: dict[str, DataFrame], path: str, version: int = ENGINE_VERSION) -> None:
-    """Each relation as Parquet in a new folder below ``path``; only when all are there does ``meta`` name
-    that folder, by a rename, so a save that dies leaves the snapshot before it whole. Folders that
-    meta no longer names go afterwards."""
-    spark = next(iter(relations.values())).sparkSession
-    folder = f"data-{uuid.uuid4().hex}"
-    for name, df in relations.items():
-        df.write.option("compression", "zstd").parquet(f"{path}/{folder}/{name}")
-    spark.createDataFrame([(version, folder)], "version int, folder string").coalesce(1).write.parquet(f"{path}/meta-{folder}")
-    _move(spark, f"{path}/meta-{folder}", f"{path}/meta")
-    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    disk = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for found in disk.listStatus(root):
-        if found.getPath().getName().startswith("data-") and found.getPath().getName() != folder:
-            disk.delete(found.getPath(), True)
-
-
-def load_snapshot(spark: SparkSession, path: str, names: list[str], version: int = ENGINE_VERSION) -> dict[str, DataFrame] | None:
-    """None unless the snapshot is complete, readable and of exactly this version."""
-    from py4j.protocol import Py4JJavaError
-    from pyspark.errors import PySparkException
-
-    try:
-        found = spark.read.parquet(f"{path}/meta").first()
-        if not found or found["version"] != version:
-            return None
-        return {n: spark.read.parquet(f"{path}/{found['folder']}/{n}") for n in names}
-    except (PySparkException, Py4JJavaError):
-        return None
+def load_snapshot(spark: SparkSession, path: str, names: list[str] | None = None, version: int = ENGINE_VERSION, verify: bool = False) -> dict[str, DataFrame] | None:
+    """See ``snapshots.load``: None unless the snapshot is complete, readable and of exactly this version."""
+    return snapshots.load(spark, path, names, version, verify=verify)
 
 
 def export_snapshot(relations: dict[str, DataFrame], path: str, version: int = ENGINE_VERSION) -> None:
