@@ -68,6 +68,7 @@ def instruction(config: Config, symbols: int) -> str:
 def _parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="reposcope")
     parser.add_argument("--config")
+    parser.add_argument("--snapshots", help="where indexes are taken up from and saved to")
     commands = parser.add_subparsers(dest="command", required=True)
     commands.add_parser("tool-surface")
     for name in ("status", "index", "instruction"):
@@ -111,7 +112,7 @@ def main(argv: Sequence[str] | None = None) -> int:
             return 1
         repository.save_snapshot(found, arguments.root)
         return 0
-    service = tools.Service(spark, config)
+    service = tools.Service(spark, config, snapshots=arguments.snapshots)
     root = arguments.root or "."
     workspace = service.workspace(root)
     if arguments.command == "context":
@@ -124,8 +125,7 @@ def main(argv: Sequence[str] | None = None) -> int:
     elif arguments.command == "grep":
         print(tools.instant_grep(workspace, arguments.patterns, arguments.mode))
     elif arguments.command == "export":
-        index = workspace.index
-        repository.export_snapshot({"symbols": index.symbols, "edges": index.edges, "file_imports": index.file_imports, "type_relations": index.type_relations}, arguments.path)
+        repository.export_snapshot(workspace.relations, arguments.path)
     elif arguments.command == "instruction":
         print(instruction(config, workspace.index.size()))
     else:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reposcope.operators import resolve
-from reposcope.shared import written
+from reposcope.shared import Scratch, written
 
 #: Touched keys up to this number are broadcast; beyond it the join is Spark's to plan.
 BROADCAST_KEYS = 1_000_000
@@ -96,8 +96,8 @@ class _Keys:
     """A set of keys that rows are held against, without a shuffle of the rows while it is small; written
     once, as many plans read it."""
 
-    def __init__(self, keys: DataFrame):
-        self.keys = written(keys.distinct(), "keys")
+    def __init__(self, keys: DataFrame, scratch: Scratch):
+        self.keys = scratch.written(keys.distinct(), "keys")
         self.n = self.keys.count()
 
     def _side(self, names: dict[str, str]) -> DataFrame:
@@ -129,14 +129,16 @@ def _split(rows: DataFrame, tests: list[tuple[_Keys, dict[str, str]]]) -> tuple[
     return reduce(DataFrame.unionByName, touched) if touched else rows.where("false"), rest
 
 
-def update(state: State, changed: DataFrame, fresh: dict[str, DataFrame], retargeted: DataFrame | None = None) -> State:
+def update(state: State, changed: DataFrame, fresh: dict[str, DataFrame], retargeted: DataFrame | None = None, scratch: Scratch | None = None) -> State:
     """The state after the files ``changed(file)`` (edited, added or gone) have come to hold ``fresh``: symbols,
     calls, imports and types of these files. ``retargeted(file, local, target, ord)`` are imports of
-    other files that now mean another file (target null: none), as when one was added or went."""
-    files = _Keys(changed.select("file"))
+    other files that now mean another file (target null: none), as when one was added or went.
+    What is made on the way is written to ``scratch``, and read by the state."""
+    scratch = scratch or Scratch()
+    files = _Keys(changed.select("file"), scratch)
     moved = retargeted if retargeted is not None else state.imports.where("false").select("file", "local", "target", "ord")
-    moved = written(files.outside(moved, file="file"), "moved")
-    turned = _Keys(moved.select("file", "local"))
+    moved = scratch.written(files.outside(moved, file="file"), "moved")
+    turned = _Keys(moved.select("file", "local"), scratch)
 
     def merged(old: DataFrame, new: DataFrame, column: str) -> DataFrame:
         return files.outside(old, **{column: "file"}).unionByName(new.select(*old.columns))
@@ -148,29 +150,29 @@ def update(state: State, changed: DataFrame, fresh: dict[str, DataFrame], retarg
     if turned.n:
         kept = imports.join(F.broadcast(moved.select("file", "local", "ord")) if turned.n <= BROADCAST_KEYS else moved.select("file", "local", "ord"), ["file", "local", "ord"], "left_anti")
         imports = kept.unionByName(moved.where("target is not null").select(*imports.columns))
-    names = _Keys(files.inside(state.symbols, file="file").select("name").unionByName(fresh["symbols"].select("name")))
+    names = _Keys(files.inside(state.symbols, file="file").select("name").unionByName(fresh["symbols"].select("name")), scratch)
     tests = [(files, {"caller_file": "file"}), (names, {"name": "name"}), (turned, {"caller_file": "file", "name": "local"})]
 
     lost, rest = _split(state.proposed, tests)
     touched, _ = _split(calls, tests)
-    touched = written(touched, "touched")
-    asked = _Keys(touched.select("name"))
-    callers = _Keys(touched.select(F.col("caller_file").alias("file")))
-    gained = written(resolve.proposals(touched, asked.inside(symbols, name="name"), callers.inside(imports, file="file"), callers.inside(types, file="file")).select(*state.proposed.columns), "gained")
+    touched = scratch.written(touched, "touched")
+    asked = _Keys(touched.select("name"), scratch)
+    callers = _Keys(touched.select(F.col("caller_file").alias("file")), scratch)
+    gained = scratch.written(resolve.proposals(touched, asked.inside(symbols, name="name"), callers.inside(imports, file="file"), callers.inside(types, file="file")).select(*state.proposed.columns), "gained")
 
-    delta = written(_each(lost, -1).unionByName(_each(gained, 1)).groupBy("src", "dst", "strategy").agg(F.sum("n").alias("n")).where("n <> 0"), "delta")
-    pairs = _Keys(delta.select("src", "dst", "strategy"))
+    delta = scratch.written(_each(lost, -1).unionByName(_each(gained, 1)).groupBy("src", "dst", "strategy").agg(F.sum("n").alias("n")).where("n <> 0"), "delta")
+    pairs = _Keys(delta.select("src", "dst", "strategy"), scratch)
     pair = {"src": "src", "dst": "dst", "strategy": "strategy"}
     counts = pairs.outside(state.counts, **pair).unionByName(_summed(pairs.inside(state.counts, **pair).unionByName(delta)))
 
     # import edges: of imports that are in, lead to, or came to lead to a touched file
     reach = [(files, {"file": "file"}), (files, {"target": "file"}), (turned, {"file": "file", "local": "local"})]
     now, _ = _split(_last(imports), reach)
-    now = written(now, "imports")
-    ends = _Keys(now.select("file").unionByName(now.select(F.col("target").alias("file"))))
+    now = scratch.written(now, "imports")
+    ends = _Keys(now.select("file").unionByName(now.select(F.col("target").alias("file"))), scratch)
     near = ends.inside(symbols, file="file")
     went, stay = _split(state.imported, reach)
-    came = written(_imported(now, near), "links")
+    came = scratch.written(_imported(now, near), "links")
     _, stay_files = _split(state.file_imports, reach)
 
     def told(rows: DataFrame, sign: int) -> DataFrame:
@@ -181,7 +183,7 @@ def update(state: State, changed: DataFrame, fresh: dict[str, DataFrame], retarg
     return State(symbols, calls, imports, types, rest.unionByName(gained), counts, stats, stay.unionByName(came), stay_files.unionByName(_file_imports(now, near)))
 
 
-def retargeted(specifiers: DataFrame, imports: DataFrame, old_files: DataFrame, new_files: DataFrame, extensions: list[str]) -> DataFrame:
+def retargeted(specifiers: DataFrame, imports: DataFrame, old_files: DataFrame, new_files: DataFrame, extensions: list[str], scratch: Scratch | None = None) -> DataFrame:
     """(file, local, target, ord) of imports(file, local, specifier, ord) whose target among ``new_files`` is not
     the one in ``imports``. Only imports that may name an added or removed file are looked at: those whose
     path's last part, without extension, is such a file's name or, for an index, its folder's."""
@@ -193,7 +195,7 @@ def retargeted(specifiers: DataFrame, imports: DataFrame, old_files: DataFrame,
 
     parts = F.split("file", "/")
     folder = F.when(F.size(parts) > 1, F.element_at(parts, -2)).otherwise(F.lit("."))
-    stems = _Keys(differ.select(F.explode(F.array(stem(F.col("file")), folder, stem(folder))).alias("stem")))
+    stems = _Keys(differ.select(F.explode(F.array(stem(F.col("file")), folder, stem(folder))).alias("stem")), scratch or Scratch())
     rows = specifiers.withColumn("_stem", stem(F.col("specifier")))
     dots = rows.where(F.col("specifier").rlike(r"(^|/)\.{1,2}/?$"))
     near = stems.inside(rows.where(~F.col("specifier").rlike(r"(^|/)\.{1,2}/?$")), _stem="stem").unionByName(dots).drop("_stem")

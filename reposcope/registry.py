@@ -5,8 +5,9 @@ from __future__ import annotations
 import threading
 import time
 from collections import OrderedDict
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import Future
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -30,16 +31,23 @@ class Registry:
         self.entries: OrderedDict[str, Entry] = OrderedDict()
         self.pending: dict[str, Future] = {}
         self.lock = threading.Lock()
+        self.users: dict[int, int] = {}
+        self.doomed: dict[int, Entry] = {}
+        self.released: dict[int, Entry] = {}
 
     def ensure(self, root: str, build: Callable[[], Any]) -> Entry:
-        with self.lock:
-            if root in self.entries:
-                self.entries.move_to_end(root)
-                return self.entries[root]
-        return self.refresh(root, build)
+        return self._made(root, build, False)
 
     def refresh(self, root: str, build: Callable[[], Any]) -> Entry:
+        return self._made(root, build, True)
+
+    def _made(self, root: str, build: Callable[[], Any], anew: bool) -> Entry:
+        """What is there, or what a running or an own build gives: looked up and claimed under one lock, so that
+        a build that ended meanwhile is not made again."""
         with self.lock:
+            if not anew and root in self.entries:
+                self.entries.move_to_end(root)
+                return self.entries[root]
             running = self.pending.get(root)
             if running is None:
                 mine = self.pending[root] = Future()
@@ -60,9 +68,41 @@ class Registry:
             del self.pending[root]
         mine.set_result(entry)
         for old in gone:
-            _release(old.index)
+            self._give_up(old)
         return entry
 
+    @contextmanager
+    def use(self, root: str, build: Callable[[], Any]) -> Iterator[Any]:
+        """The index of a root for as long as the block lasts: it may be given up meanwhile, but is released
+        only when the last one has done with it."""
+        while True:
+            entry = self.ensure(root, build)
+            with self.lock:
+                if id(entry) not in self.released:
+                    self.users[id(entry)] = self.users.get(id(entry), 0) + 1
+                    break
+        try:
+            yield entry.index
+        finally:
+            with self.lock:
+                self.users[id(entry)] -= 1
+                last = not self.users[id(entry)]
+                if last:
+                    del self.users[id(entry)]
+                doomed = last and self.doomed.pop(id(entry), None) is not None
+            if doomed:
+                _release(entry.index)
+
+    def _give_up(self, entry: Entry) -> None:
+        with self.lock:
+            if id(entry) in self.users:
+                self.doomed[id(entry)] = entry
+                return
+            self.released[id(entry)] = entry
+        _release(entry.index)
+        with self.lock:
+            del self.released[id(entry)]
+
     def get(self, root: str) -> Entry | None:
         return self.entries.get(root)
 
@@ -70,7 +110,7 @@ class Registry:
         with self.lock:
             entry = self.entries.pop(root, None)
         if entry is not None:
-            _release(entry.index)
+            self._give_up(entry)
 
     def list(self) -> list[Entry]:
         """By root, so that what is asked does not move what is shown."""
