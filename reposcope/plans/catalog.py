@@ -445,6 +445,71 @@ def overrides(spark, sf_dir):
     return resolve.overrides(methods, extends)
 
 
+# --- resolution after an edit -------------------------------------------------------------------------
+#: Modules of twenty parts. One in five was edited (its symbols had other names and ids), one in seven is new, and
+#: for each tenth there was one more that is gone; imports lead to the next module.
+_MODULE = "('m' || (p_partkey // 20))"
+_MODULES = _SYMBOLS.replace("p_brand AS file", f"{_MODULE} AS file").replace("'Brand#' || (CAST(substr(file, 7) AS INT) % 25 + 1)", "'m' || (CAST(substr(file, 2) AS INT) + 1)")
+_MODULE_IMPORTED = "SELECT a.id AS src, b.id AS dst, 0.2::DOUBLE AS weight, 'importEdge' AS strategy FROM imports i JOIN sym b ON b.name = i.local AND b.file = i.target JOIN sym a ON a.file = i.file WHERE a.id <> b.id"
+
+
+def _edited(spark, sf_dir):
+    """The state before an edit brought up to date: what was then is made from the tables, with other symbols and
+    calls in the modules that were edited."""
+    from reposcope.operators import incremental
+    from reposcope.shared import written
+
+    symbols, calls, imports, types = _code(spark, sf_dir)
+    module = F.concat(F.lit("m"), F.floor(F.col("id") / 20).cast("string"))
+    symbols = symbols.withColumn("file", module)
+    at = F.concat(F.lit("m"), F.floor(F.col("caller") / 20).cast("string"))
+    calls = calls.withColumn("caller_file", at)
+    imports = calls.select(F.col("caller_file").alias("file"), F.col("name").alias("local")).distinct().withColumn("target", F.concat(F.lit("m"), (F.substring("file", 2, 20).cast("int") + 1).cast("string"))).withColumn("ord", F.lit(0))
+    other = _t(spark, sf_dir, "part").select(F.concat(F.lit("r"), F.col("p_partkey").cast("string")).alias("receiver"), F.col("p_type").alias("_c"))
+    typed = calls.where("receiver is not null").join(other, "receiver")
+    types = typed.select(F.col("caller_file").alias("file"), F.col("receiver").alias("name"), F.expr("case when (call div 100) % 30 = 0 then _c else 'none' end").alias("type"), F.col("call").alias("ord"))
+    now = {"symbols": symbols, "calls": calls, "imports": imports, "types": types}
+    now = {n: written(df, n) for n, df in now.items()}
+    number = {n: F.substring(c, 2, 20).try_cast("int") for n, c in (("symbols", "file"), ("calls", "caller_file"), ("imports", "file"), ("types", "file"))}
+    edited, added = {n: c % 5 == 0 for n, c in number.items()}, {n: c % 7 == 0 for n, c in number.items()}
+    then = {n: df.where(~added[n]) for n, df in now.items()}
+    then["symbols"] = then["symbols"].withColumn("name", F.when(edited["symbols"], F.concat("name", F.lit("_v0"))).otherwise(F.col("name"))).withColumn("id", F.when(edited["symbols"], F.col("id") + 10**9).otherwise(F.col("id")))
+    then["calls"] = then["calls"].withColumn("caller", F.when(edited["calls"], F.col("caller") + 10**9).otherwise(F.col("caller")))
+    gone = {"symbols": now["symbols"].where(number["symbols"] % 10 == 0).withColumn("id", F.col("id") + 2 * 10**9).withColumn("file", F.concat("file", F.lit("_gone"))), "calls": now["calls"].where(number["calls"] % 10 == 0).withColumn("call", F.col("call") + 10**12).withColumn("caller", F.col("caller") + 2 * 10**9).withColumn("caller_file", F.concat("caller_file", F.lit("_gone")))}
+    then |= {n: then[n].unionByName(df) for n, df in gone.items()}
+    state = incremental.build(**then).kept()
+    changed = now["symbols"].where(edited["symbols"] | added["symbols"]).select("file").union(now["calls"].where(edited["calls"] | added["calls"]).select("caller_file")).union(gone["symbols"].select("file"))
+    fresh = {n: df.where(edited[n] | added[n]) for n, df in now.items()}
+    return incremental.update(state, changed, fresh)
+
+
+@query(f"WITH {_MODULES}, {_EDGES} SELECT src, dst, weight, strategy FROM edges UNION ALL {_MODULE_IMPORTED}")
+def incremental_edges(spark, sf_dir):
+    return _edited(spark, sf_dir).edges()
+
+
+@query(f"WITH {_MODULES}, u AS (SELECT caller, 1 AS s, im AS dst FROM prop UNION ALL SELECT caller, 2, sf FROM prop UNION ALL SELECT caller, 3, tr FROM prop UNION ALL SELECT caller, 4, un FROM prop UNION ALL SELECT caller, 5, um FROM prop) SELECT caller AS src, dst, count(DISTINCT s) AS n FROM u WHERE dst IS NOT NULL AND dst <> caller GROUP BY 1, 2")
+def incremental_captures(spark, sf_dir):
+    return _edited(spark, sf_dir).captures()
+
+
+@query(f"WITH {_MODULES} SELECT CASE WHEN status = 'resolved' THEN strategy ELSE status END AS what, count(*) AS n FROM res GROUP BY 1 UNION ALL SELECT 'importEdge', count(*) AS n FROM ({_MODULE_IMPORTED}) HAVING count(*) > 0")
+def incremental_stats(spark, sf_dir):
+    return _edited(spark, sf_dir).stats
+
+
+# --- spans ----------------------------------------------------------------------------------------------
+@query("""WITH p AS (SELECT l_orderkey AS hit, 'f' || (l_suppkey % 4) AS file, l_orderkey % 20000 AS line FROM lineitem), s AS (SELECT o_orderkey AS id, 'f' || (o_custkey % 4) AS file, o_orderkey % 20000 AS first, o_orderkey % 20000 + CAST(floor(o_totalprice / 100000) AS BIGINT) AS last FROM orders)
+SELECT hit, id, count(*) AS n FROM p JOIN s ON s.file = p.file AND p.line - 1 BETWEEN s.first AND s.last GROUP BY 1, 2""")
+def lines_in_spans(spark, sf_dir):
+    from reposcope.operators import spans
+
+    points = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("hit"), F.concat(F.lit("f"), (F.col("l_suppkey") % 4).cast("string")).alias("file"), (F.col("l_orderkey") % 20000).alias("line"))
+    o = _t(spark, sf_dir, "orders")
+    own = o.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("f"), (F.col("o_custkey") % 4).cast("string")).alias("file"), (F.col("o_orderkey") % 20000).alias("start"), (F.col("o_orderkey") % 20000 + F.floor(F.col("o_totalprice") / 100000)).alias("end"))
+    return spans.containing(points, own).groupBy("hit", "id").agg(F.count("*").alias("n"))
+
+
 # --- trace, impact, retrieval -------------------------------------------------------------------------
 @query(f"""WITH {_SYMBOLS}, {_EDGES}, r AS (SELECT DISTINCT src AS node, 'callee' AS relation, dst AS other, strategy AS via FROM edges UNION SELECT DISTINCT dst, 'caller', src, strategy FROM edges),
 k AS (SELECT *, row_number() OVER (PARTITION BY node, relation ORDER BY other, via) AS n FROM r) SELECT node, relation, other, via FROM k WHERE n <= 2""")

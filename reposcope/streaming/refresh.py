@@ -7,8 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from reposcope.operators.mining import freshness, merge_incremental
 
@@ -61,59 +60,113 @@ def windows(events: DataFrame, length: str = "1 hour", slide: str | None = None,
 
 
 OUTCOME = "thread string, answer_seq bigint, surface string, searches_after bigint, changed array<string>, hit array<string>, missed array<string>, recall double"
-_STATE = "seqs array<bigint>, surfaces array<string>, files array<array<string>>, searches array<bigint>, last array<map<string,bigint>>"
-
-
-def _take(pending: list[list], rows: pd.DataFrame) -> list[tuple]:
-    """Applies events in the order of their sequence; gives the outcomes that an idle event closes. Each of
-    pending is [seq, surface, files, searches, changed]."""
-    out = []
-    for r in rows.sort_values("seq", kind="stable").itertuples(index=False):
-        if r.kind == "answer":
-            pending.append([int(r.seq), r.surface, list(r.files) if r.files is not None else [], 0, {}])
-            continue
-        if r.kind == "idle":
-            out += [_closed(p) for p in pending if p[0] <= r.seq]
-            pending[:] = [p for p in pending if p[0] > r.seq]
-            continue
-        for p in pending:
-            if r.seq > p[0]:
-                if r.kind == "search":
-                    p[3] += 1
+#: Class of the state store that keeps lists, maps and timers.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class Outcomes(StatefulProcessor):
+    """A thread's open answers (map by sequence and number), sequences of searches (list) and last changes of
+    values (map), and the idle event that waits to close answers (value). A row of state is written for
+    what arrives; nothing else is read until answers are closed. What stays open without any event for
+    ``minutes`` is closed by a timer, and a time to live ends whatever may be left."""
+
+    def __init__(self, minutes: int, grace: int):
+        self.wait, self.grace, self.live = minutes * 60_000, grace * 1000, max(4 * minutes, 1) * 60_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.answers = handle.getMapState("answers", "seq bigint, n int", "surface string, files array<string>", self.live)
+        self.searches = handle.getListState("searches", "seq bigint", self.live)
+        self.changes = handle.getMapState("changes", "value string", "seq bigint", self.live)
+        self.idle = handle.getValueState("idle", "seq bigint", self.live)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        idle = self.idle.get()[0] if self.idle.exists() else None
+        for batch in rows:
+            found = batch[batch["kind"] == "search"]["seq"]
+            if len(found):
+                self.searches.appendList([(int(s),) for s in found])
+            for r in batch.itertuples(index=False):
+                seq = int(r.seq)
+                if r.kind == "answer":
+                    n = 0
+                    while self.answers.containsKey((seq, n)):
+                        n += 1
+                    self.answers.updateValue((seq, n), (r.surface, [str(f) for f in r.files] if r.files is not None else []))
                 elif r.kind == "change" and r.value:
-                    p[4][r.value] = int(r.seq)
-    return out
-
+                    known = self.changes.getValue((r.value,)) if self.changes.containsKey((r.value,)) else None
+                    if known is None or known[0] < seq:
+                        self.changes.updateValue((r.value,), (seq,))
+                elif r.kind == "idle":
+                    idle = seq if idle is None else max(idle, seq)
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        now = timerValues.getCurrentProcessingTimeInMs()
+        if idle is not None and not self.grace:
+            yield from self.closed(key, idle)
+        elif idle is not None:
+            self.idle.update((idle,))
+            self.handle.registerTimer(now + self.grace)
+        if self.answers.exists() or self.searches.exists() or self.changes.exists():
+            self.handle.registerTimer(now + self.wait)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.idle.exists():
+            yield from self.closed(key, self.idle.get()[0])
+        else:
+            yield from self.closed(key, None)
+
+    def closed(self, key, upto: int | None) -> Iterator[pd.DataFrame]:
+        """Outcomes of the answers up to a sequence (or all), by what happened between; that is then let go."""
+        inside = (lambda s: True) if upto is None else (lambda s: s <= upto)
+        searches = [s for (s,) in self.searches.get()] if self.searches.exists() else []
+        changes = {k[0]: v[0] for k, v in self.changes.iterator()} if self.changes.exists() else {}
+        out, done = [], []
+        for (seq, n), (surface, files) in list(self.answers.iterator()) if self.answers.exists() else []:
+            if inside(seq):
+                changed = sorted(v for v, s in changes.items() if s > seq)
+                hit = sorted(set(changed) & set(files))
+                out.append((key[0], seq, surface, sum(1 for s in searches if s > seq and inside(s)), changed, hit, sorted(set(changed) - set(files)), len(hit) / len(changed) if changed else None))
+                done.append((seq, n))
+        for k in done:
+            self.answers.removeKey(k)
+        rest = [(s,) for s in searches if not inside(s)]
+        if rest:
+            self.searches.put(rest)
+        else:
+            self.searches.clear()
+        for v, s in changes.items():
+            if inside(s):
+                self.changes.removeKey((v,))
+        self.idle.clear()
+        if out:
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTCOME.split(", ")])
 
-def _closed(p: list) -> tuple:
-    changed = sorted(p[4])
-    hit = sorted(set(changed) & set(p[2]))
-    return p[0], p[1], p[3], changed, hit, sorted(set(changed) - set(p[2])), len(hit) / len(changed) if changed else None
+    def close(self) -> None:
+        pass
 
 
-def outcomes_on_idle(log: DataFrame, minutes: int = 30) -> DataFrame:
+def outcomes_on_idle(log: DataFrame, minutes: int = 30, grace: int = 0) -> DataFrame:
     """Outcomes of answers as their threads fall silent, from a stream of (thread, seq, kind, value, surface,
-    files): kind is answer, search, change or idle. State is kept for each thread: its open answers,
-    their searches and changed files. An idle event closes all answers before it; so does
-    ``minutes`` without any event. Events count by sequence, not by time."""
-    columns = OUTCOME.split(", ")
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pending = [list(x) for x in zip(*state.get, strict=True)] if state.exists else []
-        pending = [[s, n, list(f), c, dict(m)] for s, n, f, c, m in pending]
-        if state.hasTimedOut:
-            done, pending = [_closed(p) for p in pending], []
-        else:
-            done = _take(pending, pd.concat(list(batches), ignore_index=True))
-        if pending:
-            state.update(tuple(list(x) for x in zip(*pending, strict=True)))
-            state.setTimeoutDuration(minutes * 60_000)
-        elif state.exists:
-            state.remove()
-        if done:
-            yield pd.DataFrame([(key[0], *d) for d in done], columns=[c.split()[0] for c in columns])
-
-    return log.groupBy("thread").applyInPandasWithState(run, OUTCOME, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    files): kind is answer, search, change or idle. An idle event closes all answers before it, ``grace``
+    seconds after it came, so that events that are under way still count; so does ``minutes`` without
+    any event. What counts is the sequence, not the order of arrival: searches between an answer and the
+    idle event, and values whose last change is after the answer. The session's state store becomes the
+    one that keeps lists, maps and timers."""
+    spark = log.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    return log.groupBy("thread").transformWithStateInPandas(Outcomes(minutes, grace), OUTCOME, "append", "processingTime")
+
+
+def record_on(outcomes: DataFrame, ledger) -> DataStreamWriter:
+    """A writer that puts each batch of outcomes into a ledger (``snapshots.Ledger``), with the ids of the open
+    answers that they belong to. A batch that is played again changes nothing."""
+    def put(batch: DataFrame, batch_id: int) -> None:
+        known = ledger.answers().select("answer_id", "thread", F.col("seq").alias("answer_seq"), "surface")
+        rows = batch.join(known, ["thread", "answer_seq", "surface"]).withColumn("recorded_at", F.unix_millis(F.current_timestamp()))
+        ledger.put("outcomes", rows, batch_id)
+
+    return outcomes.writeStream.foreachBatch(put)
 
 
 def stop(query: StreamingQuery, seconds: int = 60) -> bool:
