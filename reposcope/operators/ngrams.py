@@ -35,9 +35,10 @@ def write(files: DataFrame, path: str, rows: int = ROWS) -> Prepared:
     ranged = every.repartitionByRange(blocks, "file", "line").sortWithinPartitions("file", "line").withColumn("block", F.spark_partition_id())
     ranged.write.mode("overwrite").parquet(f"{path}/lines")
     held = files.sparkSession.read.parquet(f"{path}/lines")
-    low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    grams = F.when(F.length(low) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: _hashed(F.substring(low, i, F.lit(3)))))).otherwise(F.array().cast("array<bigint>"))
-    bits = held.select("block", F.explode(grams).alias("bit")).distinct().groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    signs = held.select("block", F.split(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "").alias("c")).where(F.size("c") >= 3)
+    first, second, third = (F.slice("c", i, F.size("c") - 2) for i in (1, 2, 3))
+    grams = F.array_distinct(F.transform(F.zip_with(F.zip_with(first, second, lambda x, y: F.concat(x, y)), third, lambda x, y: F.concat(x, y)), _hashed))
+    bits = signs.select("block", F.explode(grams).alias("bit")).distinct().groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits"))
     bits.coalesce(1).write.mode("overwrite").parquet(f"{path}/blocks")
     return read(files.sparkSession, path)
 

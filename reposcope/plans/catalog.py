@@ -73,6 +73,15 @@ def grep_content(spark, sf_dir):
     return search.content(_lines(spark, sf_dir), Search("shea", case_sensitive=True))
 
 
+@query(_page("contains(lower(text), 'shea')", 200))
+def grep_pruned(spark, sf_dir):
+    from reposcope.operators import ngrams
+    from reposcope.shared import Scratch
+
+    s = Search("SheA", limit=200)
+    return search.content(ngrams.write(_files(spark, sf_dir), Scratch().path(spark, "blocks")).near(s), s)
+
+
 @query(_page("regexp_matches(text, 'th(er|in)[a-z]+[.] [A-Z]')"))
 def grep_regex(spark, sf_dir):
     return search.content(_lines(spark, sf_dir), Search("th(er|in)[a-z]+[.] [A-Z]", regex=True, case_sensitive=True))
@@ -156,10 +165,10 @@ def cochange_pairs(spark, sf_dir):
     return mining.cochange(_commits(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
-@query("WITH " + _COMMITS.format(most=5) + " SELECT other, round(sum(score), 6) AS score FROM pairs WHERE file <= 5 AND other > 5 GROUP BY other")
+@query("WITH " + _COMMITS.format(most=30) + " SELECT other, round(sum(score), 6) AS score FROM pairs WHERE file <= 5 AND other > 5 GROUP BY other")
 def cochange_seeds(spark, sf_dir):
     seeds = _t(spark, sf_dir, "part").where("p_partkey <= 5").select(F.col("p_partkey").alias("file"))
-    return mining.cochange_for_seeds(mining.cochange(_commits(spark, sf_dir), 5), seeds).withColumn("score", F.round("score", 6))
+    return mining.cochange_for_seeds(mining.cochange(_commits(spark, sf_dir)), seeds).withColumn("score", F.round("score", 6))
 
 
 @query("SELECT count(*) AS commits FROM (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING count(*) BETWEEN 2 AND 30)")
@@ -512,10 +521,10 @@ def lines_in_spans(spark, sf_dir):
 
 # --- trace, impact, retrieval -------------------------------------------------------------------------
 @query(f"""WITH {_SYMBOLS}, {_EDGES}, r AS (SELECT DISTINCT src AS node, 'callee' AS relation, dst AS other, strategy AS via FROM edges UNION SELECT DISTINCT dst, 'caller', src, strategy FROM edges),
-k AS (SELECT *, row_number() OVER (PARTITION BY node, relation ORDER BY other, via) AS n FROM r) SELECT node, relation, other, via FROM k WHERE n <= 2""")
+k AS (SELECT *, row_number() OVER (PARTITION BY node, relation ORDER BY other, via) AS n FROM r) SELECT node, relation, other, via FROM k WHERE n <= 12""")
 def trace_onehop(spark, sf_dir):
     nodes = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"))
-    return retrieval.one_hop(resolve_edges(spark, sf_dir), nodes, 2)
+    return retrieval.one_hop(resolve_edges(spark, sf_dir), nodes)
 
 
 @query(f"WITH {_SYMBOLS}, {_EDGES} SELECT e.src AS caller, s.file, string_agg(DISTINCT e.dst::VARCHAR, ',' ORDER BY e.dst::VARCHAR) AS targets, string_agg(DISTINCT e.strategy, ',' ORDER BY e.strategy) AS via FROM edges e JOIN sym s ON s.id = e.src GROUP BY 1, 2")

@@ -30,13 +30,18 @@ class Scratch:
     def __init__(self):
         self.paths: list = []
 
-    def written(self, df: DataFrame, label: str) -> DataFrame:
-        spark = df.sparkSession
+    def path(self, spark: SparkSession, label: str) -> str:
+        """A new path, removed with the others."""
         path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         disk = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         disk.deleteOnExit(target)
         self.paths.append((disk, target))
+        return path
+
+    def written(self, df: DataFrame, label: str) -> DataFrame:
+        spark = df.sparkSession
+        path = self.path(spark, label)
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 

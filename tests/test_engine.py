@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 from reposcope.functions import text as tx
-from reposcope.operators import code, extract, graph, metrics, mining, resolve, search
+from reposcope.operators import code, extract, graph, metrics, mining, resolve, search, trace
 from reposcope.plans import catalog
 from reposcope.sources import repository
 
@@ -120,3 +120,24 @@ def test_lifecycle_roles(spark):
     summed = metrics.timing(marked, "thread").first()
     assert (summed["pairs"], summed["unmatched"], summed["duplicates"], summed["orphans"], summed["mismatches"], summed["invalid"], summed["status"]) == (3, 1, 2, 1, 1, 2, "invalid")
     assert metrics.timing(metrics.lifecycle(events.limit(0), "thread"), "thread").count() == 0
+
+
+def test_trace_targets():
+    assert trace.trace_target(["Gson.fromJson"]) == trace.Target("fromJson", "Gson") and trace.trace_target(["Error::new(x)"]) == trace.Target("new", "Error")
+    assert trace.trace_target(["environment.provision"]) == trace.Target("provision", "environment") and trace.trace_target(["parse"]) == trace.Target("parse") and trace.trace_target([]) is None
+    plain, mixed = trace.searches(["parse", "Parse"], True)
+    assert not plain.case_sensitive and mixed.case_sensitive and plain.word and plain.after == trace.AFTER
+
+
+def test_event_files(spark, tmp_path):
+    (tmp_path / "log.json").write_text('{"thread":"t","seq":1,"type":"a","data":"{}"}\nbroken\n{"thread":"t","type":"b"}\n{"thread":"t","seq":3,"type":"c"}\n')
+    assert [r.seq for r in repository.read_events(spark, str(tmp_path)).orderBy("seq").collect()] == [1, 3]
+    assert repository.read_events(spark, str(tmp_path / "absent")).count() == 0
+
+
+def test_exported_snapshots_come_back(spark, tmp_path):
+    rows = spark.createDataFrame([(1, [1.5], None), (2, None, "x")], "a int, b array<double>, c string")
+    repository.export_snapshot({"rows": rows, "none": rows.limit(0)}, str(tmp_path / "out"))
+    back = repository.import_snapshot(spark, str(tmp_path / "out"))
+    assert back["rows"].schema == rows.schema and sorted(map(tuple, back["rows"].collect())) == sorted(map(tuple, rows.collect())) and back["none"].count() == 0
+    assert repository.import_snapshot(spark, str(tmp_path / "out"), 1) is None and repository.import_snapshot(spark, str(tmp_path / "no")) is None
