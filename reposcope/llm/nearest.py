@@ -293,7 +293,10 @@ def search(rows: DataFrame, is_query, k: int = 20, recall: float = 0.94, id_col:
 
 
 def _visits(tree: Tree, trial: dict[int, np.ndarray], true: list, recall: float) -> int:
-    """Fewest leaf visits with which the trial queries reach the recall."""
+    """Fewest leaf visits with which the trial queries reach the recall; all leaves for a recall of 1, which
+    makes the search exact."""
+    if recall >= 1:
+        return tree.n_leaves
     wanted: dict[int, list[int]] = {}
     for r in true:
         wanted.setdefault(r["q"], []).append(r["leaf"])

@@ -3,8 +3,8 @@
 The models are Markov models of the characters of accepted and of rejected URLs, orders 0 to 4, each
 order smoothed by the one below it (hierarchical Dirichlet). Counts cover all labelled URLs and are
 exact: a key holds the order and all bytes, so that no two contexts share a count. The model grows
-with the number of distinct keys, 24 bytes each: up to MODEL_ROWS rows it is broadcast, a larger one is
-joined to the n-grams of the different URLs. The score is the difference of the log-likelihoods over
+with the number of distinct keys, 24 bytes each: up to MODEL_ROWS rows it is broadcast; of a larger one the
+keys of one or two characters are, and the others are joined to batches of the different URLs. The score is the difference of the log-likelihoods over
 the length; its border is calibrated on URLs that did not count.
 """
 
@@ -21,6 +21,8 @@ ORDERS, STRENGTH = 5, 4.0
 BINS, SPAN = 400, 4.0
 #: Counts that a broadcast model holds at most.
 MODEL_ROWS = 4_000_000
+#: Keys below are of two characters at most; different texts that ask for the others together.
+LOW_KEYS, BATCH = 5 << 40, 500
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MODEL_SCHEMA = "label int, key bigint, n bigint"
 
@@ -123,33 +125,50 @@ def ratios(texts: list[str], model: Model) -> np.ndarray:
 
 
 def score_by_join(df: DataFrame, counts: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
-    """The same as ``score`` for a model of any size: each n-gram of the different texts meets its counts
-    by a join on its key; what comes back to a text is bounded by its own length."""
-    texts = materialize(df.select(F.coalesce(text_col, F.lit("")).alias("text")).distinct().withColumn("uid", F.monotonically_increasing_id()), "urls")
+    """The same as ``score`` for a model of any size. Keys up to LOW_KEYS, of at most two characters, are
+    131,585 at most and always sent to the tasks; longer ones are asked for once for each BATCH of
+    different texts, meet their counts by a join, and come back to the batch, which is then scored. No
+    key has more rows than there are batches, and a batch holds the n-grams of its own texts."""
+    texts = materialize(df.select(F.coalesce(text_col, F.lit("")).alias("text")).distinct().withColumn("uid", F.monotonically_increasing_id()), "urls").withColumn("batch", F.floor(F.col("uid") / BATCH))
     labels = counts.groupBy("key").agg(*(F.sum(F.when(F.col("label") == x, F.col("n")).otherwise(0)).alias(f"n{x}") for x in (0, 1)))
-
-    def grams(batches):
-        for part in parts(batches, 500):
-            context, own, start = _keys(part.column(0).to_pylist())
-            uid = np.repeat(part.column(1).to_numpy(), np.diff(np.r_[start, context.shape[1]]))
-            place = np.arange(context.shape[1], dtype=np.int64) - np.repeat(start, np.diff(np.r_[start, context.shape[1]]))
-            for k in range(ORDERS):
-                for j, key in enumerate((context[k], own[k])):
-                    yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array((2 * k + j << 32) | place), pa.array(key)], ["uid", "at", "key"])
-
-    def summed(batches):
-        for part in parts(batches):
-            made = []
-            for own in part.column(1):
-                n = np.stack([own.values.field(i).to_numpy().astype(np.float64) for i in (1, 2)])
-                table = n.reshape(2, 2 * ORDERS, -1)
-                made.append(_ratios(table[:, 1::2], table[:, ::2], np.zeros(1, dtype=np.int64))[0])
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.float64())], ["uid", "llr"])
-
-    met = texts.mapInArrow(grams, "uid bigint, at bigint, key bigint").join(labels, "key", "left").na.fill(0, ["n0", "n1"])
-    each = met.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("at", "n0", "n1"))).alias("found")).mapInArrow(summed, "uid bigint, llr double")
-    scored = texts.join(each, "uid").select(F.col("text").alias("_of"), "llr")
-    return df.join(scored, F.coalesce(df[text_col], F.lit("")) == F.col("_of")).select(*keep, "llr")
+    low = labels.where(F.col("key") < LOW_KEYS).orderBy("key").toArrow()
+    shared = df.sparkSession.sparkContext.broadcast((low.column(0).to_numpy(), np.stack([low.column(i).to_numpy().astype(np.float64) for i in (1, 2)])))
+
+    def asked(batches):
+        for part in parts(batches, BATCH):
+            number = part.column(1).to_numpy()
+            for b in np.unique(number):
+                context, own, _ = _keys(part.column(0).filter(pa.array(number == b)).to_pylist())
+                key = np.unique(np.concatenate([context.ravel(), own.ravel()]))
+                key = key[key >= LOW_KEYS]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), b)), pa.array(key)], ["batch", "key"])
+
+    none = F.lit(None)
+    met = texts.select("text", "batch").mapInArrow(asked, "batch bigint, key bigint").join(labels.where(F.col("key") >= LOW_KEYS), "key")
+    both = met.select("batch", none.cast("string").alias("text"), "key", "n0", "n1").unionByName(texts.select("batch", "text", none.cast("bigint").alias("key"), none.cast("bigint").alias("n0"), none.cast("bigint").alias("n1")))
+
+    def scored(batches):
+        now, held, model = None, [], None
+        for batch in batches:
+            number, is_text = batch.column(0).to_numpy(), batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(np.r_[True, (number[1:] != number[:-1]) | (is_text[1:] != is_text[:-1])])
+            for start, end in zip(cuts.tolist(), [*cuts[1:].tolist(), len(number)], strict=True):
+                part = batch.slice(start, end - start)
+                if number[start] != now:
+                    now, held, model = number[start], [], None
+                if not is_text[start]:
+                    held.append(np.stack([part.column(i).to_numpy() for i in (2, 3, 4)]))
+                    continue
+                if model is None:
+                    found = np.concatenate(held, axis=1) if held else np.empty((3, 0), dtype=np.int64)
+                    key, at = np.unique(found[0], return_index=True)
+                    keys, n = shared.value
+                    model = np.r_[keys, key], np.concatenate([n, found[1:, at].astype(np.float64)], axis=1)
+                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(ratios(part.column(1).to_pylist(), model))], ["_of", "llr"])
+
+    dealt = both.repartition("batch").sortWithinPartitions("batch", F.col("text").isNotNull())
+    made = dealt.mapInArrow(scored, "_of string, llr double")
+    return df.join(made, F.coalesce(df[text_col], F.lit("")) == F.col("_of")).select(*keep, "llr")
 
 
 def score(df: DataFrame, model: Model, text_col: str, keep: list[str]) -> DataFrame:

@@ -735,6 +735,64 @@ def test_url_join_equals_broadcast(spark, monkeypatch):
     monkeypatch.setattr(url_filter, "MODEL_ROWS", 0)
     assert sorted((tuple(r[:5]), round(r.llr, 9)) for r in url_filter.judge(pages, rules).fillna("-").collect()) == one and len(one) == len(urls)
     assert url_filter.judge(pages.limit(0), rules).count() == 0
+    monkeypatch.setattr(url_filter, "BATCH", 7)
+    assert sorted((tuple(r[:5]), round(r.llr, 9)) for r in url_filter.judge(pages.repartition(5), rules).fillna("-").collect()) == one
+
+
+def test_url_verdicts_equal_a_plain_version(spark):
+    """Border and verdicts of the whole query against counts, likelihoods and a border worked out in plain Python."""
+    rng = random.Random(9)
+    urls = [f"http://{rng.choice(['a', 'shop', 'c.d'])}.{rng.choice(['net', 'org', 'info'])}/{''.join(rng.choice('abxyz/-') for _ in range(rng.randrange(12)))}" for _ in range(150)]
+    path = common.scratch_path(spark, "op3")
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    pages.write.parquet(f"{path}/pages.parquet")
+    held = {r[0]: r[1] for r in pages.select("url", F.pmod(F.xxhash64("url"), F.lit(5)) == 0).collect()}
+    got = {r.page_id: r for r in entries.op3_url_filter(spark, path).collect()}
+    label = {u: {"net/": 1, "org/fr/": 0}.get(got[i]["rule"]) for i, u in enumerate(urls)}
+    assert all((got[i]["rule"] == "net/") == u.split("/")[2].endswith(".net") for i, u in enumerate(urls))
+    counts = [{}, {}]
+    for u in urls:
+        if label[u] is not None and not held[u]:
+            raw = b"\x02" * 4 + u.encode() + b"\x03"
+            for at in range(4, len(raw)):
+                for k in range(5):
+                    for key in ((k, raw[at - k : at], None), (k, raw[at - k : at], raw[at])):
+                        counts[label[u]][key] = counts[label[u]].get(key, 0) + 1
+
+    def ratio(u):
+        raw, total = b"\x02" * 4 + u.encode() + b"\x03", 0.0
+        for at in range(4, len(raw)):
+            p = [1 / 256, 1 / 256]
+            for k in range(5):
+                for x in (0, 1):
+                    c, o = (counts[x].get((k, raw[at - k : at], s), 0) for s in (None, raw[at]))
+                    p[x] = (o + url_filter.STRENGTH * p[x]) / (c + url_filter.STRENGTH)
+            total += np.log(p[1]) - np.log(p[0])
+        return total / (len(raw) - 4)
+
+    scores = {u: ratio(u) for u in urls}
+    assert all(abs(got[i]["llr"] - scores[u]) < 1e-9 for i, u in enumerate(urls))
+    trial = [(scores[u], label[u]) for u in urls if label[u] is not None and held[u]]
+    border = 0.0
+    if {x for _, x in trial} == {0, 1}:
+        edges = [i * 2 * url_filter.SPAN / url_filter.BINS - url_filter.SPAN for i in range(url_filter.BINS + 1)]
+        gains = [sum(s < e for s, x in trial if x == 0) / sum(x == 0 for _, x in trial) + sum(s >= e for s, x in trial if x == 1) / sum(x == 1 for _, x in trial) for e in edges]
+        best = [e for e, g in zip(edges, gains, strict=True) if g >= max(gains) - 1e-12]
+        border = best[len(best) // 2]
+    for i, u in enumerate(urls):
+        want = {1: "block", 0: "allow"}.get(label[u], "block" if scores[u] > border else "allow")
+        assert got[i]["verdict"] == want or label[u] is None and abs(scores[u] - border) < 2 * url_filter.SPAN / url_filter.BINS
+
+
+def test_nearest_finds_all_when_asked_to(spark):
+    """With a recall of 1 every leaf is visited: results are those of brute force."""
+    x = np.random.default_rng(5).normal(size=(700, 12)).astype(np.float32)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    got = nearest.search(rows, lambda i: i % 50 == 0, k=5, recall=1.0).collect()
+    score = x.astype(np.float64) @ x.astype(np.float64).T
+    np.fill_diagonal(score, -np.inf)
+    want = {(q, r + 1, int(v)) for q in range(0, 700, 50) for r, v in enumerate(np.argsort(-score[q], kind="stable")[:5])}
+    assert {(r.query_id, r["rank"], r.vec_id) for r in got} == want
 
 
 def test_nearest_of_vectors_of_two_lengths(spark, monkeypatch):
