@@ -162,9 +162,12 @@ def record_on(outcomes: DataFrame, ledger) -> DataStreamWriter:
     """A writer that puts each batch of outcomes into a ledger (``snapshots.Ledger``), with the ids of the open
     answers that they belong to. A batch that is played again changes nothing."""
     def put(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        batch.count()  # the state is kept only if every partition is read, also of a batch that the ledger has
         known = ledger.answers().select("answer_id", "thread", F.col("seq").alias("answer_seq"), "surface")
         rows = batch.join(known, ["thread", "answer_seq", "surface"]).withColumn("recorded_at", F.unix_millis(F.current_timestamp()))
         ledger.put("outcomes", rows, batch_id)
+        batch.unpersist()
 
     return outcomes.writeStream.foreachBatch(put)
 

@@ -126,11 +126,12 @@ def test_refresh_by_batches(spark, tmp_path):
 
 def test_windows_count_and_let_go_of_late_events(spark, tmp_path):
     schema = "ts timestamp, kind string"
-    for i, rows in enumerate((["2026-01-01 10:05:00", "2026-01-01 10:50:00", "2026-01-01 11:10:00"], ["2026-01-01 15:00:00"], ["2026-01-01 10:06:00", "2026-01-01 15:30:00"], ["2026-01-01 22:00:00"])):
-        spark.createDataFrame([(t, "k") for t in rows], "ts string, kind string").coalesce(1).write.mode("append").json(str(tmp_path / "ev"))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).json(str(tmp_path / "ev"))
+    (tmp_path / "ev").mkdir()
+    stream = spark.readStream.schema(schema).json(str(tmp_path / "ev"))
     query = refresh.windows(stream).writeStream.format("memory").queryName("windows").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).start()
-    query.processAllAvailable()
+    for rows in (["2026-01-01 10:05:00", "2026-01-01 10:50:00", "2026-01-01 11:10:00"], ["2026-01-01 15:00:00"], ["2026-01-01 10:06:00", "2026-01-01 15:30:00"], ["2026-01-01 22:00:00"]):
+        spark.createDataFrame([(t, "k") for t in rows], "ts string, kind string").coalesce(1).write.mode("append").json(str(tmp_path / "ev"))
+        query.processAllAvailable()  # one batch after another, the third with a late event
     assert refresh.stop(query)
     got = {(str(r.start)[11:16], r.n) for r in spark.table("windows").collect()}
     assert got == {("10:00", 2), ("11:00", 1), ("15:00", 2)}
