@@ -54,6 +54,7 @@ _CALL_LINE = {"typescript": 3, "python": 4, "go": 4, "rust": 3, "cpp": 3, "java"
 def _files(spark, sf_dir):
     """Every part in every language."""
     part = _t(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("k"), F.col("p_size").cast("string").alias("s"), F.substring("p_brand", 7, 9).alias("b"))
+    part = extract.spread(part, len(_SOURCES))
     each = part.withColumn("language", F.explode(F.array(*(F.lit(x) for x in _SOURCES))))
     source, ending = F.lit(None).cast("string"), F.lit(None).cast("string")
     for name, template in _SOURCES.items():
@@ -78,7 +79,7 @@ _CLASS, _METHOD = _symbol_sql(1, "'C' || p_partkey", "class", "'C' || p_partkey"
 
 @query(f"{_CLASS} UNION ALL {_METHOD}")
 def extract_symbols(spark, sf_dir):
-    found = extract.relations(extract.facts(_files(spark, sf_dir)))["symbols"]
+    found = extract.relations(extract.facts(_files(spark, sf_dir), "symbol"))["symbols"]
     return found.select("id", "name", "kind", "container", "file", F.col("start").alias("first"), F.col("end").alias("last"))
 
 
@@ -87,7 +88,7 @@ _OTHER_CALLS = " UNION ALL ".join(f"SELECT {_PATH} AS file, {_sql(name)} AS name
 
 @query(f"WITH m AS ({_METHOD}) SELECT m.id AS caller, c.file, c.name, c.receiver, c.line FROM (SELECT {_PATH} AS file, 'g' || p_partkey AS name, NULL AS receiver, {_case({k: str(v) for k, v in _CALL_LINE.items()})} AS line FROM {_PARTS} UNION ALL {_OTHER_CALLS}) c JOIN m USING (file)")
 def extract_calls(spark, sf_dir):
-    found = extract.relations(extract.facts(_files(spark, sf_dir)))["calls"]
+    found = extract.relations(extract.facts(_files(spark, sf_dir), "call"))["calls"]
     return found.select("caller", F.col("caller_file").alias("file"), "name", "receiver", "line")
 
 
@@ -97,7 +98,7 @@ _MODULES = {"typescript": _sql("./b{b}"), "python": _sql(".b{b}"), "go": _sql("x
 
 @query(f"SELECT {_PATH} AS file, {_case(_LOCALS)} AS local, {_case(_MODULES)} AS specifier FROM {_PARTS}")
 def extract_imports(spark, sf_dir):
-    return extract.relations(extract.facts(_files(spark, sf_dir)))["imports"].select("file", "local", "specifier")
+    return extract.relations(extract.facts(_files(spark, sf_dir), "import"))["imports"].select("file", "local", "specifier")
 
 
 _HEIRS = "language IN ('typescript', 'python', 'java')"
@@ -105,18 +106,18 @@ _HEIRS = "language IN ('typescript', 'python', 'java')"
 
 @query(f"SELECT {_PATH} AS file, 'C' || p_partkey AS subtype, 'B' || p_size AS supertype, 'extends' AS kind FROM {_PARTS} WHERE {_HEIRS} UNION ALL SELECT {_PATH}, 'C' || p_partkey, {_sql('I{b}')}, 'implements' FROM {_PARTS} WHERE language IN ('typescript', 'java')")
 def extract_type_relations(spark, sf_dir):
-    return extract.relations(extract.facts(_files(spark, sf_dir)))["type_relations"]
+    return extract.relations(extract.facts(_files(spark, sf_dir), "relation"))["type_relations"]
 
 
 @query(f"SELECT {_PATH} AS file, 'p' AS name, 'P' || p_size AS type, 'C' || p_partkey AS container FROM {_PARTS} WHERE {_HEIRS} UNION ALL SELECT {_PATH}, 'r', {_sql('R{b}')}, 'C' || p_partkey FROM {_PARTS} WHERE language IN ('typescript', 'java')")
 def extract_types(spark, sf_dir):
-    return extract.relations(extract.facts(_files(spark, sf_dir)))["types"].select("file", "name", "type", "container")
+    return extract.relations(extract.facts(_files(spark, sf_dir), "type"))["types"].select("file", "name", "type", "container")
 
 
 @query("SELECT 6 * count(*) AS files, 6 * count(*) AS parsed, 0::BIGINT AS failed, 0::BIGINT AS truncated, count(*) > 0 AS reliable FROM part")
 def extract_health(spark, sf_dir):
     files = _files(spark, sf_dir)
-    return extract.health(extract.facts(files), files)
+    return extract.health(extract.facts(files, "error", "truncated"), files)
 
 
 _TRICKS = "a[b.c](x)\nbus.emit('k{s}', 1) // emit('no')\ns = 'open\nbus.emit(''x'')\n' + getattr(y, z)\nimport('fixed')\nt[\"w{b}\"](v)\n"

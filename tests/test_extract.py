@@ -150,3 +150,19 @@ def test_rows_and_relations(spark):
     assert tuple(ex.health(found, files).first()) == (5, 4, 1, 0, True)
     body = ex.bodies(ex.relations(found)["symbols"], files).where("name = 'run'").first().body
     assert body == "class A extends B { run() { h(); } }"
+
+
+def test_files_are_spread_over_tasks(spark, monkeypatch):
+    """A small table of parts is one split, which was one task for all sources."""
+    from reposcope.plans import project
+
+    monkeypatch.setattr(ex, "FILES_A_TASK", 100)
+    files = project._files(spark, "/root/testdata/sf0.001")
+    assert files.rdd.getNumPartitions() == -(-files.count() // 100) > 1
+
+
+def test_only_facts_asked_for_leave_tasks(spark):
+    files = spark.createDataFrame([("a.go", "go", "package p\nimport b \"x/b\"\nfunc f() { g() }\n"), ("b.py", "python", "def f(:\n")], "file string, language string, source string")
+    assert {r.fact for r in ex.facts(files, "import", "error").collect()} == {"import", "error"}
+    row = ex.health(ex.facts(files, "error", "truncated"), files).first()
+    assert (row.files, row.parsed, row.failed, row.truncated) == (2, 1, 1, 0)
