@@ -1,6 +1,7 @@
 """Ordered scans, spans and diffusion against plain versions."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -65,6 +66,21 @@ def test_lines_in_spans(spark):
     assert sorted((r.file, r.line, r.id) for r in got.collect()) == want and len(want) > 1000
 
 
+def test_pairs_of_hits_and_spans_are_counted(spark):
+    """Repeated lines and spans, hits with several lines of a file, ids with several spans; lines in a dense place meet only spans around them."""
+    rng = random.Random(5)
+    points = [(rng.randrange(60), rng.choice(["a", "b", None]), rng.randrange(1, 400)) for _ in range(500)]
+    points += points[:50]
+    rows = [(rng.randrange(80), rng.choice(["a", "b"]), s := rng.randrange(400), s + rng.choice([0, 1, 3, 40, 300])) for _ in range(120)]
+    rows += rows[:20]
+    got = spans.pair_counts(spark.createDataFrame(points, "hit int, file string, line int"), spark.createDataFrame(rows, "id int, file string, start int, end int")).collect()
+    want = Counter((h, i) for h, f, line in points for i, g, s, e in rows if f == g and s <= line - 1 <= e)
+    assert {(r.hit, r.id): r.n for r in got} == dict(want) and len(got) == len(want)
+    lone = spans.containing(spark.createDataFrame([("a", i + 1) for i in range(256)], "file string, line int"), spark.range(256).selectExpr("'a' as file", "id as start", "id as end"))
+    assert lone.count() == 256
+    assert spans.BITS * (spans.LEVELS - 1) < 63
+
+
 def random_graph(rng):
     return [(i, i + 1, 1.0) for i in range(120)] + [(rng.randrange(120), rng.randrange(120), rng.random() + 0.1) for _ in range(40)] + [(0, 200 + i, 0.01) for i in range(30)]
 
