@@ -81,6 +81,27 @@ def test_pairs_of_hits_and_spans_are_counted(spark):
     assert spans.BITS * (spans.LEVELS - 1) < 63
 
 
+def test_pairs_are_summed_up_once_in_tasks_by_rows(spark, monkeypatch):
+    """Both directions come from one sum; the tasks grow with the rows."""
+    from reposcope import shared
+
+    rng = random.Random(6)
+    edges = [(rng.randrange(9), rng.randrange(9), 1.0) for _ in range(200)]
+    want: Counter = Counter()
+    for a, b, w in edges:
+        if a != b:
+            want[a, b] += w
+            want[b, a] += w
+    df = spark.createDataFrame(edges, "src int, dst int, weight double")
+    monkeypatch.setattr(shared, "ROWS_A_TASK", 10)
+    assert shared.tasks_for(df) == 20
+    made = graph.adjacency(df, shared.tasks_for(df))
+    assert made.rdd.getNumPartitions() == 20 and {(r.src, r.dst): r.w for r in made.collect()} == dict(want) and made.count() == len(want)
+    commits = spark.createDataFrame([(c, f) for c in range(20) for f in rng.sample(range(8), 4)], "commit int, file int")
+    one, two = ({(r.file, r.other): round(r.score, 9) for r in mining.cochange(commits, tasks=n).collect()} for n in (None, 7))
+    assert one == two and all(one[b, a] == v for (a, b), v in one.items())
+
+
 def random_graph(rng):
     return [(i, i + 1, 1.0) for i in range(120)] + [(rng.randrange(120), rng.randrange(120), rng.random() + 0.1) for _ in range(40)] + [(0, 200 + i, 0.01) for i in range(30)]
 
