@@ -84,12 +84,17 @@ def _summed(rows: DataFrame) -> DataFrame:
     return rows.groupBy("src", "dst", "strategy").agg(F.sum("n").alias("n")).where("n > 0")
 
 
-def build(symbols: DataFrame, calls: DataFrame, imports: DataFrame, types: DataFrame) -> State:
-    """The state of a whole project."""
-    proposed, last = resolve.proposals(calls, symbols, imports, types), _last(imports)
-    imported = _imported(last, symbols)
-    stats = resolve.stats(resolve.resolve(proposed), imported)
-    return State(symbols, calls, imports, types, proposed, _summed(_each(proposed, 1)), stats, imported, _file_imports(last, symbols))
+def build(symbols: DataFrame, calls: DataFrame, imports: DataFrame, types: DataFrame, keep: bool = False) -> State:
+    """The state of a whole project. With ``keep`` every relation is written as soon as it is made, as ``kept`` does,
+    and those made of it read it, so that calls are proposed once."""
+    def held(df: DataFrame, name: str) -> DataFrame:
+        return written(df, name) if keep else df
+
+    symbols, calls, imports, types = held(symbols, "symbols"), held(calls, "calls"), held(imports, "imports"), held(types, "types")
+    proposed, last = held(resolve.proposals(calls, symbols, imports, types), "proposed"), _last(imports)
+    imported = held(_imported(last, symbols), "imported")
+    stats = held(resolve.stats(resolve.resolve(proposed), imported), "stats")
+    return State(symbols, calls, imports, types, proposed, held(_summed(_each(proposed, 1)), "counts"), stats, imported, held(_file_imports(last, symbols), "file_imports"))
 
 
 class _Keys:
