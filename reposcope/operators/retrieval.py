@@ -43,13 +43,19 @@ def norms(terms: DataFrame, idf: DataFrame) -> DataFrame:
     return terms.join(idf, "term").groupBy("id").agg(F.sqrt(F.sum(_weight() * _weight())).alias("norm"))
 
 
-def question_scores(terms: DataFrame, idf: DataFrame, question: list[str], norm: DataFrame | None = None) -> DataFrame:
+def question_scores(terms: DataFrame, idf: DataFrame, question: list[str], norm: DataFrame | None = None, bodies: DataFrame | None = None) -> DataFrame:
     """(id, score): cosine of the question's weights (each term once) and the symbol's. The few symbols
     that hold a term of the question are found first; only theirs are the norms that are summed, unless
-    ``norm`` has them already."""
+    ``norm`` has them already. With ``bodies(id, body)``, which the terms are of, only their bodies are
+    taken apart for that, and no other term is shuffled for the norms."""
     asked = F.broadcast(idf.where(F.col("term").isin(question)))  # a row for each asked term
     hit = terms.where(F.col("term").isin(question)).join(asked, "term").groupBy("id").agg(F.sum(_weight() * F.col("idf")).alias("dot"))
-    own = norm if norm is not None else norms(terms.join(hit.select("id"), "id", "left_semi"), idf)
+    if norm is not None:
+        own = norm
+    elif bodies is not None:
+        own = norms(term_table(bodies.join(hit.select("id"), "id", "left_semi")), idf)
+    else:
+        own = norms(terms.join(hit.select("id"), "id", "left_semi"), idf)
     length = F.broadcast(asked.agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("length")))  # one row
     scored = hit.join(own, "id").crossJoin(length)
     return scored.select("id", F.when(F.col("norm") * F.col("length") > 0, F.col("dot") / (F.col("norm") * F.col("length"))).otherwise(0.0).alias("score")).where("score > 0")
