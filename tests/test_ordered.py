@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from reposcope.operators import graph, mining, ordered, spans
 from reposcope.shared import Scratch
@@ -146,3 +147,22 @@ def test_diffusion_refuses_what_it_cannot_do(spark):
     with pytest.raises(Exception, match="weights positive"):
         graph.diffuse(spark.createDataFrame([(1, 2, 0.0)], "src int, dst int, weight double"), seed).count()
     assert abs(graph.residual(1.5, 1e-6, 2.0) - 2 * 5.52e-7) < 1e-8 and graph.residual(0, 1e-6) == 0
+
+
+def test_rows_are_held_against_few_of_the_cuts(spark):
+    rng = random.Random(5)
+    for n in (0, 1, 11, 12, 13, 40, 127):
+        bounds = sorted(rng.randrange(90) for _ in range(n))
+        held = spark.range(-1, 92).withColumn("_cuts", F.array(*map(F.lit, bounds)).cast("array<long>")).withColumn("_coarse", F.filter("_cuts", lambda c, i: (i + 1) % ordered.STRIDE == 0))
+        got = {r.id: r.n for r in held.select("id", ordered._below(F.col("id")).alias("n")).collect()}
+        assert got == {x: sum(c < x for c in bounds) for x in range(-1, 92)}
+
+
+def test_long_groups_are_made_once_and_logs_without_blank_lines(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "LONG", 7)
+    kept, write = [], ordered.written
+    monkeypatch.setattr(ordered, "written", lambda df, label: kept.append((label, df.count())) or write(df, label))
+    lines = [("x", i, f"{i:07x}" if i % 3 == 0 else "" if i % 3 == 1 else f"f{i}") for i in range(60)]
+    got = repository.parse_git_log(spark.createDataFrame(lines, "log string, pos int, text string"))
+    assert sorted((r.commit, r.file) for r in got.collect()) == [(f"{i - 2:07x}", f"f{i}") for i in range(2, 60, 3)]
+    assert ("ordered", 40) in kept
