@@ -18,6 +18,8 @@ from reposcope.operators.search import Search, lines
 
 #: Lines of a block, and bits of its bitmap: that of Spark's bitmap functions.
 ROWS, BITS = 4096, 32_768
+#: A trigram from each place of a line; literals are cut into printable ASCII (see ``_plain``), so no others are asked for.
+GRAM = r"(?=([\x20-\x7e]{3}))"
 #: Blocks up to this number become a condition on the scan; beyond it pruning would not pay.
 MOST_BLOCKS = 10_000
 
@@ -35,10 +37,9 @@ def write(files: DataFrame, path: str, rows: int = ROWS) -> Prepared:
     ranged = every.repartitionByRange(blocks, "file", "line").sortWithinPartitions("file", "line").withColumn("block", F.spark_partition_id())
     ranged.write.mode("overwrite").parquet(f"{path}/lines")
     held = files.sparkSession.read.parquet(f"{path}/lines")
-    signs = held.select("block", F.split(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "").alias("c")).where(F.size("c") >= 3)
-    first, second, third = (F.slice("c", i, F.size("c") - 2) for i in (1, 2, 3))
-    grams = F.array_distinct(F.transform(F.zip_with(F.zip_with(first, second, lambda x, y: F.concat(x, y)), third, lambda x, y: F.concat(x, y)), _hashed))
-    bits = signs.select("block", F.explode(grams).alias("bit")).distinct().groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    grams = F.array_distinct(F.regexp_extract_all(low, F.lit(GRAM), F.lit(1)))
+    bits = held.select("block", F.explode(grams).alias("gram")).select("block", _hashed(F.col("gram")).alias("bit")).distinct().groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits"))
     bits.coalesce(1).write.mode("overwrite").parquet(f"{path}/blocks")
     return read(files.sparkSession, path)
 

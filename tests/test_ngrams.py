@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from reposcope.operators import ngrams, search
 from reposcope.operators.search import Search
@@ -47,3 +48,13 @@ def test_literals_of_patterns():
 
     assert of("a+b", False) == ["a+b"] and of("Über alles", False) == ["ber alles"] and of("ab", False) == []
     assert of("foo.*barn") == ["foo", "barn"] and of("colou?r") == ["colo"] and of("(abc)?def") == ["def"] and of("a|bcd") == [] and of(r"\d+abc") == [] and of("[abc]def{2}x") == [] and of("abc[^]]def") == [] and of("(?i)abc") == []
+
+
+def test_bitmaps_hold_the_trigrams_that_are_asked_for_and_no_others(spark, tmp_path):
+    texts = ["Ab  c\tdef", "xÄyz1 ~", "ÄÖÜäöü", "ab", "", "aaaa"]
+    made = ngrams.write(spark.createDataFrame([(f"{i}", t) for i, t in enumerate(texts)], "file string, source string"), str(tmp_path), 1)
+    grams = {i: {t[k : k + 3].lower() for k in range(len(t) - 2) if all(" " <= c <= "~" for c in t[k : k + 3])} for i, t in enumerate(texts)}
+    hashed = {g: spark.range(1).select(ngrams._hashed(F.lit(g))).first()[0] for g in set().union(*grams.values())}
+    held = {r.block: r.file for r in made.lines.collect()}
+    got = {int(held[r.block]): {i * 8 + k for i, b in enumerate(r.bits) for k in range(8) if b >> k & 1} for r in made.bitmaps.collect()}
+    assert got == {i: {hashed[g] for g in own} for i, own in grams.items() if own}
