@@ -29,6 +29,8 @@ GRID, PULL, RIDGE = 200, 1e-3, 1e-4
 STILL, MOST_STEPS = 1e-6, 400
 #: Rates of this many cells at most are broadcast; more are joined by a shuffle.
 BROADCAST_CELLS = 200_000
+#: So many cells or fewer take all steps in one job, as one array; of more each step is a job.
+FEW_CELLS = 20_000
 #: Runs of letters, of digits, of other signs.
 TOKEN = r"\p{L}+|[0-9]+|[^\p{L}0-9\s]+"
 
@@ -146,6 +148,44 @@ def _steps(cell: Column, history: list[list[float]]) -> Column:
     return F.aggregate(F.from_json(F.lit(str(history)), "array<array<double>>"), start, step)
 
 
+def _gradient(cells: Column, total: int, targets: list[float]) -> Column:
+    """Struct of the rates r of ``cells`` (array of cell, n and sums e), the residual where the steps ended, by
+    how much rates moved in the last one, and whether they came to rest: what the steps of
+    ``_steps`` give, one after the other within one row."""
+    eta, ones = 1 / (1 + PULL), F.transform(cells, lambda c: F.lit(1.0))
+    zero = F.array(*(F.lit(0.0) for _ in targets))
+    start = F.struct(ones.alias("r"), ones.alias("y"), F.lit(1.0).alias("t"), zero.alias("residual"), F.lit(0.0).alias("moved"), F.lit(False).alias("still"))
+
+    def total_of(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0.0), lambda a, b: a + b)
+
+    def share(s: Column, i: int) -> Column:
+        return total_of(F.zip_with(cells, s["y"], lambda c, y: c["e"][i] * y)) / total
+
+    def moved(s: Column, j: Column) -> Column:
+        residual = F.array(*(share(s, i) - x for i, x in enumerate(targets)))
+        return _let(residual, lambda e: F.when((j > 1) & (s["moved"] < STILL), ended(s, e)).otherwise(stepped(s, e)))
+
+    def ended(s: Column, e: Column) -> Column:
+        return F.struct(s["r"], s["y"], s["t"], e.alias("residual"), s["moved"], F.lit(True).alias("still"))
+
+    def stepped(s: Column, e: Column) -> Column:
+        def rate(c: Column, y: Column) -> Column:
+            return F.greatest(F.lit(0.0), y - eta * (total_of(F.zip_with(c["cell"], e, lambda p, x: p / GRID * x)) + PULL * (y - 1)))
+
+        t = (1 + F.sqrt(1 + 4 * s["t"] * s["t"])) / 2
+        return _let(F.zip_with(cells, s["y"], rate), lambda r: F.struct(
+            r.alias("r"), F.zip_with(r, s["r"], lambda now, before: now + (s["t"] - 1) / t * (now - before)).alias("y"), t.alias("t"), e.alias("residual"),
+            (total_of(F.zip_with(cells, F.zip_with(r, s["r"], lambda now, before: F.abs(now - before)), lambda c, d: c["n"] * d)) / total).alias("moved"), F.lit(False).alias("still"),
+        ))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(MOST_STEPS)), start, lambda s, j: F.when(s["still"], s).otherwise(moved(s, j)))
+
+
+def _unsettled(moved: float, residual: list[float]) -> RuntimeError:
+    return RuntimeError(f"rates still move by {moved} after {MOST_STEPS} steps; shares are off by {residual}")
+
+
 def fit_rates(scored: DataFrame, targets: list[float]) -> DataFrame:
     """(cell, rate, residual) from ``scored(n, cell, posterior)``. residual is the greatest difference of
     a domain's expected share from its target at the end: more than 0 where no rates of 0 or more
@@ -153,7 +193,15 @@ def fit_rates(scored: DataFrame, targets: list[float]) -> DataFrame:
     k = len(targets)
     sums = [F.sum(F.col("n") * F.get("posterior", F.lit(i))).alias(f"e{i}") for i in range(k)]
     held = materialize(scored.groupBy("cell").agg(F.sum("n").alias("n"), *sums), "cells")
-    total = held.agg(F.sum("n")).first()[0] or 0
+    total, cells = held.agg(F.sum("n"), F.count("*")).first()
+    if total and cells <= FEW_CELLS:
+        each = F.array_sort(F.collect_list(F.struct("cell", F.col("n").cast("double").alias("n"), F.array(*(f"e{i}" for i in range(k))).alias("e"))))  # FEW_CELLS at most
+        found = materialize(held.agg(each.alias("cells")).select("cells", _gradient(F.col("cells"), total, targets).alias("s")), "steps")
+        end = found.select("s.still", "s.moved", "s.residual").first()
+        if not end["still"]:
+            raise _unsettled(end["moved"], end["residual"])
+        rows = found.select(F.explode(F.arrays_zip(F.col("cells.cell").alias("cell"), F.col("s.r").alias("rate"))).alias("x"))
+        return rows.select("x.cell", "x.rate", F.lit(max(map(abs, end["residual"]))).alias("residual"))
     history: list[list[float]] = []
     residual = [0.0] * k
     while total:
@@ -163,7 +211,7 @@ def fit_rates(scored: DataFrame, targets: list[float]) -> DataFrame:
         if len(history) > 1 and now[k] / total < STILL:
             break
         if len(history) == MOST_STEPS:
-            raise RuntimeError(f"rates still move by {now[k] / total} after {MOST_STEPS} steps; shares are off by {residual}")
+            raise _unsettled(now[k] / total, residual)
         history.append(residual)
     return materialize(held.select("cell", _steps(F.col("cell"), history)["r"].alias("rate"), F.lit(max(map(abs, residual), default=0.0)).alias("residual")), "rates")
 

@@ -715,6 +715,20 @@ def test_mixing_rates_equal_plain_solver(spark):
     assert max(abs(got[c] - w) for c, w in zip(cells, want, strict=True)) < 0.01 and found[0].residual < 0.01
 
 
+def test_mixing_steps_are_one_job_and_equal_a_job_each(spark, monkeypatch):
+    rows = [(i, i % 37 + 10, [i * 40, mixing.GRID - i * 40], [i * 40 / mixing.GRID, 1 - i * 40 / mixing.GRID]) for i in range(6)]
+    scored, found = spark.createDataFrame(rows, "i int, n bigint, cell array<int>, posterior array<double>"), []
+    for few in (mixing.FEW_CELLS, 0):
+        monkeypatch.setattr(mixing, "FEW_CELLS", few)
+        spark.sparkContext.setJobGroup(f"fit-{few}", "")
+        found.append({tuple(r["cell"]): (r["rate"], r["residual"]) for r in mixing.fit_rates(scored, [0.4, 0.6]).collect()})
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"fit-{few}"))
+        assert few == 0 or jobs <= 10  # a job or two for each step before
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert found[0].keys() == found[1].keys() and len(found[0]) == 6
+    assert all(found[0][c] == pytest.approx(found[1][c], abs=1e-9) for c in found[0])
+
+
 def test_mixing_odd_rows_and_names(spark):
     docs = spark.createDataFrame([(1, "a b", 1, "x", 2.0), (1, "a b", 1, "x", 2.0), (2, None, 1, "x", 0.0), (3, "", 1, "x", 0.0), (None, "c", 1, "x", 0.0)], "doc_id bigint, text string, copies int, row string, rate double")
     labels = spark.createDataFrame([(1, 1), (2, 5), (9, 0), (None, 1)], "doc_id bigint, quality int")
