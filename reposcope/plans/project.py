@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from reposcope.operators import code, extract, graph, impact, mining, resolve, retrieval, trace
 from reposcope.operators.retrieval import Index
-from reposcope.plans.catalog import _EDGES, _FILE, _IMPORTED, _SYMBOLS, _code, _commits, _proposed, _t, query
+from reposcope.plans.catalog import _EDGES, _FILE, _IMPORTED, _SYMBOLS, _code, _commits, _proposed, _symbols, _t, query
+from reposcope.shared import written
 
 # --- extraction ---------------------------------------------------------------------------------------
 #: A source for each language; {k} is the part's key, {s} its size, {b} the number of its brand.
@@ -174,11 +175,13 @@ _RANK = "CASE strategy WHEN 'importMap' THEN 1 WHEN 'sameFile' THEN 2 WHEN 'type
 _PAIRS = f"pair AS (SELECT src, dst, min_by(strategy, {_RANK}) AS strategy FROM edges GROUP BY 1, 2)"
 
 
-def _index(spark, sf_dir, history=False):
-    symbols, _, imports, _ = _code(spark, sf_dir)
+def _index(spark, sf_dir, history=False, once=True):
+    """With ``once`` calls and their edges are written, as a graph and the ways to seeds are made of them."""
+    code = symbols, _, imports, _ = _code(spark, sf_dir, once)
     part = _t(spark, sf_dir, "part").selectExpr("p_partkey as id", "p_size as start", "p_size + 3 as end", "p_size * 3 + 1 as tokens", "p_name as body")
     symbols = symbols.join(part, "id")
-    calls = resolve.call_edges(resolve.resolve(_proposed(spark, sf_dir)))
+    calls = resolve.call_edges(resolve.resolve(_proposed(spark, sf_dir, code)))
+    calls = written(calls, "edges") if once else calls
     edges = resolve.all_edges(calls, resolve.import_edges(imports, symbols))
     typed = resolve.type_relations(_kinds(spark, sf_dir)[1], _kinds(spark, sf_dir)[0])
     made = Index(symbols, edges, resolve.file_imports(imports, symbols), typed, blocks=resolve.import_blocks(imports, symbols))
@@ -258,7 +261,7 @@ _FIRST = "n1 AS (SELECT min(name) AS name FROM sym), o1 AS (SELECT min_by(contai
 UNION ALL SELECT 'owned', id, 3 FROM sym JOIN n1 USING (name), o1 WHERE container = owner UNION ALL SELECT 'named', id, 4 FROM sym JOIN n1 USING (name)
 UNION ALL SELECT 'around', p_partkey, 5 FROM part WHERE p_brand = 'Brand#3' AND 4 BETWEEN p_size AND p_size + 3""")
 def trace_candidates(spark, sf_dir):
-    index = _index(spark, sf_dir)
+    index = _index(spark, sf_dir, once=False)
     name, owner = index.symbols.groupBy("name").agg(F.min_by("container", "id").alias("o")).orderBy("name").first()
     hits = index.symbols.where(F.col("name") == name).select(F.col("name").alias("pattern"), F.concat(F.lit("./"), "file").alias("file"), (F.col("start") + 1).alias("line"))
     none, around = hits.where("false"), spark.createDataFrame([("zz", "Brand#3", 5)], "pattern string, file string, line int")
@@ -300,8 +303,8 @@ def trace_evidence(spark, sf_dir):
 _TESTED = "pth AS (SELECT id, CASE WHEN file IN ('Brand#1', 'Brand#2', 'Brand#3') THEN 'tests/' || file || '.ts' ELSE file END AS file FROM sym), fi AS (SELECT DISTINCT CASE WHEN i.file IN ('Brand#1', 'Brand#2', 'Brand#3') THEN 'tests/' || i.file || '.ts' ELSE i.file END AS file, b.id FROM imports i JOIN sym b ON b.name = i.local AND b.file = i.target)"
 
 
-def _tested(spark, sf_dir):
-    index = _index(spark, sf_dir)
+def _tested(spark, sf_dir, once=True):
+    index = _index(spark, sf_dir, once=once)
     moved = F.when(F.col("file").isin("Brand#1", "Brand#2", "Brand#3"), F.concat(F.lit("tests/"), F.col("file"), F.lit(".ts"))).otherwise(F.col("file"))
     index.symbols, index.file_imports = index.symbols.withColumn("file", moved), index.file_imports.withColumn("file", moved)
     return index
@@ -320,7 +323,7 @@ def impact_tests(spark, sf_dir):
 
 @query(f"WITH {_SYMBOLS}, {_TESTED} SELECT file, string_agg(DISTINCT id::VARCHAR, ',' ORDER BY id::VARCHAR) AS targets FROM fi WHERE NOT starts_with(file, 'tests/') GROUP BY file")
 def impact_imports(spark, sf_dir):
-    index = _tested(spark, sf_dir)
+    index = _tested(spark, sf_dir, once=False)
     return impact.imports(index.file_imports, index.symbols).select("file", _flat("targets"))
 
 
@@ -333,6 +336,6 @@ def symbol_lookup(spark, sf_dir):
 
 @query(f"WITH {_SYMBOLS}, c AS (SELECT name FROM sym GROUP BY name HAVING count(*) > 1) SELECT name AS target, id, file, p_size + 1 AS line FROM c JOIN sym USING (name) JOIN part ON p_partkey = id")
 def ambiguous_matches(spark, sf_dir):
-    index = _index(spark, sf_dir)
+    index = _index(spark, sf_dir, once=False)
     resolution = retrieval.resolve_targets(index.symbols.select(F.col("name").alias("target")).distinct(), index.symbols)
     return impact.ambiguous_matches(resolution, index.symbols)

@@ -20,3 +20,14 @@ def test_norms_from_bodies_of_hits_are_the_same(spark):
     idf = retrieval.idf_table(terms, 4, 1.0)
     one, two = ({r.id: round(r.score, 9) for r in retrieval.question_scores(terms, idf, ["alpha"], bodies=b).collect()} for b in (None, bodies))
     assert one == two and set(one) == {1, 3}
+
+
+def test_calls_and_their_edges_are_written_before_what_is_made_of_them(spark):
+    from reposcope.plans import catalog, project
+
+    def plan(df):
+        return df._jdf.queryExecution().optimizedPlan().toString()
+
+    assert "Window" not in plan(catalog._proposed(spark, "/root/testdata/sf0.001"))  # thrice before, for calls, imports and types
+    made = plan(project._index(spark, "/root/testdata/sf0.001").calls())
+    assert "Window" not in made and "Join" not in made
