@@ -39,3 +39,21 @@ def test_diffusion_along_sets_equals_that_along_edges(spark, project):
         ready.release()
     assert one.keys() == two.keys() and len(one) > 60
     assert all(abs(a - b) < 1e-9 for k in one for a, b in zip(one[k], two[k], strict=True))
+
+
+def test_large_frontiers_do_not_shuffle_steps(spark, monkeypatch):
+    rng = random.Random(3)
+    edges = spark.createDataFrame([(rng.randrange(40), rng.randrange(40) + 1, 1.0) for _ in range(200)], "src int, dst int, weight double").where("src <> dst")
+    x = spark.createDataFrame([(i, 1.0 + i) for i in range(30)] + [(999, 2.0)], "node int, x double")
+    monkeypatch.setattr(graph, "FEW", 0)
+    want = {r.node: r.x for r in graph.spread(x, graph.transition(graph.adjacency(edges))).collect()}
+    for most in (graph.BROADCAST_NODES, 0):
+        monkeypatch.setattr(graph, "BROADCAST_NODES", most)
+        ready = graph.laid_out(edges, tasks=3)
+        with Scratch() as scratch:
+            moved = ready.moved(scratch.written(x, "x"), 31, scratch)
+            assert {r.node: r.x for r in moved.collect()} == pytest.approx(want) and want[999] == 2.0
+            if most:  # a left join before, which can only broadcast the steps
+                assert "LeftOuter" not in moved._jdf.queryExecution().executedPlan().toString() and "rightHint=(strategy=broadcast)" in moved._jdf.queryExecution().analyzed().toString() + moved._jdf.queryExecution().optimizedPlan().toString()
+        assert ready.tasks and ready.steps.rdd.getNumPartitions()
+        ready.release()
