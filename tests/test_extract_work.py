@@ -43,3 +43,27 @@ def test_facts_of_several_batches_are_whole(spark):
     found = extract.facts(files, "symbol").select("file", "name").collect()
     assert sorted(tuple(r) for r in found) == sorted((f, f"f{f[1:-3]}") for f, _, _ in rows)
     assert extract._batch([]).num_rows == 0
+
+
+def test_only_what_is_asked_for_is_looked_for(monkeypatch):
+    sources = {language: template.format(k=1, s=2, b=3) for language, template in _SOURCES.items()}
+    whole = {language: extract.rows_of("f", language, source) for language, source in sources.items()}
+    for kind in extract._EVERY:
+        for language, source in sources.items():
+            asked = [r for r in extract.rows_of("f", language, source, (kind,)) if r[1] == kind]
+            assert [(r[1], *r[3:]) for r in asked] == [(r[1], *r[3:]) for r in whole[language] if r[1] == kind]
+    assert extract.rows_of("f", "java", sources["java"], ("import", "error")) == whole["java"]  # anything may fail
+
+    def never(*_):
+        raise AssertionError("not asked for")
+
+    monkeypatch.setattr(extract.Scanner, "find_calls", never)
+    monkeypatch.setattr(extract.Scanner, "annotation", never)
+    for language in sources.keys() - {"python", "typescript"}:
+        assert any(r[1] == "symbol" for r in extract.rows_of("f", language, sources[language], ("symbol",)))
+    monkeypatch.setattr(extract.Scanner, "define", never)
+    for language in sources.keys() - {"python"}:
+        assert [r[1] for r in extract.rows_of("f", language, sources[language], ("import",))] == ["import"]
+    deep = "if a:\n    from .x import y\n" + "elif b:\n    pass\n" * (extract.MOST_DEPTH + 5) + "else:\n    from .x import z\n"
+    found = [[(r[1], *r[3:]) for r in extract.rows_of("f", "python", deep, kinds) if r[1] in ("import", "truncated")] for kinds in ((), ("import",))]
+    assert found[0] == found[1] and [r[2] for r in found[0]] == ["y", None]
