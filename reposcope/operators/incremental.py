@@ -9,7 +9,8 @@ statistics are kept as counts, to which the touched calls' old rows are a loss a
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, fields
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -22,11 +23,20 @@ from reposcope.shared import Scratch, written
 BROADCAST_KEYS = 1_000_000
 
 
+@dataclass
+class Later:
+    """A relation that jobs are run for once it is asked for, and not before: whoever asks for edges alone does not
+    wait for counts. ``of`` makes the rows of some of the calls or imports alone."""
+
+    make: Callable[[], DataFrame]
+    of: Callable[[DataFrame, Scratch], DataFrame] | None = None
+
+
 @dataclass
 class State:
     """Base relations as ``resolve`` takes them (symbols, calls, imports with targets, types), and what is made
     of them: proposed calls, counts(src, dst, strategy, n) of proposals, stats(what, n), imported(file,
-    local, target, src, dst) edges and file_imports(file, target, symbol)."""
+    local, target, src, dst) edges and file_imports(file, target, symbol). Any may be given as ``Later``."""
 
     symbols: DataFrame
     calls: DataFrame
@@ -50,8 +60,23 @@ class State:
     def imports_of_files(self) -> DataFrame:
         return self.file_imports.select("file", "symbol").distinct()
 
+    def __getattribute__(self, name: str):
+        found = object.__getattribute__(self, name)
+        if isinstance(found, Later):
+            found = found.make()
+            setattr(self, name, found)
+        return found
+
+    def outside(self, name: str, rows: Callable[[], DataFrame], tests: list[tuple[_Keys, dict[str, str]]], scratch: Scratch) -> DataFrame:
+        """The rows of a relation that none of the keys touches; if it was not asked for yet, those made of ``rows``, its
+        calls or imports, that none of them touches, so that what an update replaces is not made for it."""
+        found = object.__getattribute__(self, name)
+        if isinstance(found, Later) and found.of:
+            return found.of(_split(rows(), tests)[1], scratch)
+        return _split(getattr(self, name), tests)[1]
+
     def relations(self) -> dict[str, DataFrame]:
-        return dict(vars(self))
+        return {f.name: getattr(self, f.name) for f in fields(self)}
 
     def kept(self) -> State:
         """The same, every relation written once, as an update should find it (a snapshot does so too)."""
@@ -84,17 +109,26 @@ def _summed(rows: DataFrame) -> DataFrame:
     return rows.groupBy("src", "dst", "strategy").agg(F.sum("n").alias("n")).where("n > 0")
 
 
-def build(symbols: DataFrame, calls: DataFrame, imports: DataFrame, types: DataFrame, keep: bool = False) -> State:
-    """The state of a whole project. With ``keep`` every relation is written as soon as it is made, as ``kept`` does,
-    and those made of it read it, so that calls are proposed once."""
-    def held(df: DataFrame, name: str) -> DataFrame:
-        return written(df, name) if keep else df
+def build(symbols: DataFrame, calls: DataFrame, imports: DataFrame, types: DataFrame, keep: bool = False, base: bool = True) -> State:
+    """The state of a whole project. With ``keep`` every relation is written, as ``kept`` does, when it is first asked
+    for, and those made of it read it, so that calls are proposed once. Base relations that are little more
+    than tables already need no writing: ``base`` is False for them."""
+    if not keep:
+        proposed, last = resolve.proposals(calls, symbols, imports, types), _last(imports)
+        imported = _imported(last, symbols)
+        return State(symbols, calls, imports, types, proposed, _summed(_each(proposed, 1)), resolve.stats(resolve.resolve(proposed), imported), imported, _file_imports(last, symbols))
+
+    def held(make: Callable[[], DataFrame], name: str, of: Callable[[DataFrame, Scratch], DataFrame] | None = None) -> Later:
+        return Later(lambda: written(make(), name), of)
 
-    symbols, calls, imports, types = held(symbols, "symbols"), held(calls, "calls"), held(imports, "imports"), held(types, "types")
-    proposed, last = held(resolve.proposals(calls, symbols, imports, types), "proposed"), _last(imports)
-    imported = held(_imported(last, symbols), "imported")
-    stats = held(resolve.stats(resolve.resolve(proposed), imported), "stats")
-    return State(symbols, calls, imports, types, proposed, held(_summed(_each(proposed, 1)), "counts"), stats, imported, held(_file_imports(last, symbols), "file_imports"))
+    if base:
+        symbols, calls, imports, types = (written(df, name) for df, name in ((symbols, "symbols"), (calls, "calls"), (imports, "imports"), (types, "types")))
+    state = State(
+        symbols, calls, imports, types, held(lambda: resolve.proposals(calls, symbols, imports, types), "proposed", lambda some, scratch: _proposed(scratch.written(some, "calls"), symbols, imports, types, scratch)),
+        held(lambda: _summed(_each(state.proposed, 1)), "counts"), held(lambda: resolve.stats(resolve.resolve(state.proposed), state.imported), "stats"),
+        held(lambda: _imported(_last(imports), symbols), "imported", lambda some, _: _imported(some, symbols)), held(lambda: _file_imports(_last(imports), symbols), "file_imports"),
+    )
+    return state
 
 
 class _Keys:
@@ -134,11 +168,19 @@ def _split(rows: DataFrame, tests: list[tuple[_Keys, dict[str, str]]]) -> tuple[
     return reduce(DataFrame.unionByName, touched) if touched else rows.where("false"), rest
 
 
+def _proposed(calls: DataFrame, symbols: DataFrame, imports: DataFrame, types: DataFrame, scratch: Scratch) -> DataFrame:
+    """Proposals of written ``calls``, made of the symbols of their names and of their files' imports and types alone."""
+    asked = _Keys(calls.select("name"), scratch)
+    callers = _Keys(calls.select(F.col("caller_file").alias("file")), scratch)
+    return scratch.written(resolve.proposals(calls, asked.inside(symbols, name="name"), callers.inside(imports, file="file"), callers.inside(types, file="file")), "proposed")
+
+
 def update(state: State, changed: DataFrame, fresh: dict[str, DataFrame], retargeted: DataFrame | None = None, scratch: Scratch | None = None) -> State:
     """The state after the files ``changed(file)`` (edited, added or gone) have come to hold ``fresh``: symbols,
     calls, imports and types of these files. ``retargeted(file, local, target, ord)`` are imports of
     other files that now mean another file (target null: none), as when one was added or went.
-    What is made on the way is written to ``scratch``, and read by the state."""
+    What is made on the way is written to ``scratch``, and read by the state. Counts, statistics and imports
+    of files are made once they are asked for."""
     scratch = scratch or Scratch()
     files = _Keys(changed.select("file"), scratch)
     moved = retargeted if retargeted is not None else state.imports.where("false").select("file", "local", "target", "ord")
@@ -158,17 +200,19 @@ def update(state: State, changed: DataFrame, fresh: dict[str, DataFrame], retarg
     names = _Keys(files.inside(state.symbols, file="file").select("name").unionByName(fresh["symbols"].select("name")), scratch)
     tests = [(files, {"caller_file": "file"}), (names, {"name": "name"}), (turned, {"caller_file": "file", "name": "local"})]
 
-    lost, rest = _split(state.proposed, tests)
-    touched, _ = _split(calls, tests)
-    touched = scratch.written(touched, "touched")
-    asked = _Keys(touched.select("name"), scratch)
-    callers = _Keys(touched.select(F.col("caller_file").alias("file")), scratch)
-    gained = scratch.written(resolve.proposals(touched, asked.inside(symbols, name="name"), callers.inside(imports, file="file"), callers.inside(types, file="file")).select(*state.proposed.columns), "gained")
+    gained = _proposed(scratch.written(_split(calls, tests)[0], "touched"), symbols, imports, types, scratch)
+
+    def proposed() -> DataFrame:
+        return state.outside("proposed", lambda: state.calls, tests, scratch).unionByName(gained)
+
+    def lost() -> DataFrame:
+        return _split(state.proposed, tests)[0]
 
-    delta = scratch.written(_each(lost, -1).unionByName(_each(gained, 1)).groupBy("src", "dst", "strategy").agg(F.sum("n").alias("n")).where("n <> 0"), "delta")
-    pairs = _Keys(delta.select("src", "dst", "strategy"), scratch)
-    pair = {"src": "src", "dst": "dst", "strategy": "strategy"}
-    counts = pairs.outside(state.counts, **pair).unionByName(_summed(pairs.inside(state.counts, **pair).unionByName(delta)))
+    def counts() -> DataFrame:
+        delta = scratch.written(_each(lost(), -1).unionByName(_each(gained, 1)).groupBy("src", "dst", "strategy").agg(F.sum("n").alias("n")).where("n <> 0"), "delta")
+        pairs = _Keys(delta.select("src", "dst", "strategy"), scratch)
+        pair = {"src": "src", "dst": "dst", "strategy": "strategy"}
+        return pairs.outside(state.counts, **pair).unionByName(_summed(pairs.inside(state.counts, **pair).unionByName(delta)))
 
     # import edges: of imports that are in, lead to, or came to lead to a touched file
     reach = [(files, {"file": "file"}), (files, {"target": "file"}), (turned, {"file": "file", "local": "local"})]
@@ -176,16 +220,23 @@ def update(state: State, changed: DataFrame, fresh: dict[str, DataFrame], retarg
     now = scratch.written(now, "imports")
     ends = _Keys(now.select("file").unionByName(now.select(F.col("target").alias("file"))), scratch)
     near = ends.inside(symbols, file="file")
-    went, stay = _split(state.imported, reach)
     came = scratch.written(_imported(now, near), "links")
-    _, stay_files = _split(state.file_imports, reach)
 
     def told(rows: DataFrame, sign: int) -> DataFrame:
         return resolve.stats(resolve.resolve(rows)).select("what", (F.col("n") * sign).alias("n"))
 
-    links = went.select(F.lit(-1).alias("n")).unionByName(came.select(F.lit(1).alias("n"))).agg(F.sum("n").alias("n")).select(F.lit("importEdge").alias("what"), F.coalesce("n", F.lit(0)).alias("n"))
-    stats = reduce(DataFrame.unionByName, [state.stats, told(lost, -1), told(gained, 1), links]).groupBy("what").agg(F.sum("n").alias("n")).where("n <> 0")
-    return State(symbols, calls, imports, types, rest.unionByName(gained), counts, stats, stay.unionByName(came), stay_files.unionByName(_file_imports(now, near)))
+    def imported() -> DataFrame:
+        return state.outside("imported", lambda: _last(state.imports), reach, scratch).unionByName(came)
+
+    def stats() -> DataFrame:
+        went = _split(state.imported, reach)[0]
+        links = went.select(F.lit(-1).alias("n")).unionByName(came.select(F.lit(1).alias("n"))).agg(F.sum("n").alias("n")).select(F.lit("importEdge").alias("what"), F.coalesce("n", F.lit(0)).alias("n"))
+        return reduce(DataFrame.unionByName, [state.stats, told(lost(), -1), told(gained, 1), links]).groupBy("what").agg(F.sum("n").alias("n")).where("n <> 0")
+
+    def file_imports() -> DataFrame:
+        return _split(state.file_imports, reach)[1].unionByName(_file_imports(now, near))
+
+    return State(symbols, calls, imports, types, Later(proposed), Later(counts), Later(stats), Later(imported), Later(file_imports))
 
 
 def retargeted(specifiers: DataFrame, imports: DataFrame, old_files: DataFrame, new_files: DataFrame, extensions: list[str], scratch: Scratch | None = None) -> DataFrame:

@@ -123,3 +123,31 @@ def test_ledger_takes_a_batch_once(spark, tmp_path):
         ledger.put("outcomes", spark.createDataFrame([(None, "t", 1, ["f"], ["f"], [], 1.0, 9)], OUTCOMES), 77)
     with pytest.raises(ValueError, match="batch id"):
         ledger.put("outcomes", first, "../x")
+
+
+def test_an_update_makes_only_what_is_asked_for(spark, monkeypatch):
+    """Edges take no counts, and calls that an update resolves anew are not resolved in the old state before."""
+    from reposcope.operators import resolve
+
+    rng, proposed, made = random.Random(3), [], resolve.proposals
+    old = project(rng, [f"f{i}" for i in range(6)])
+    new = project(rng, ["f1", "f2"])
+
+    def counted(calls, *others):
+        proposed.append(sorted(r.call for r in calls.select("call").collect()))
+        return made(calls, *others)
+
+    monkeypatch.setattr(resolve, "proposals", counted)
+    given = frames(spark, old)
+    changed = spark.createDataFrame([("f1",), ("f2",)], "file string")
+    state = incremental.update(incremental.build(**given, keep=True), changed, frames(spark, new))
+    edges = sorted(map(tuple, state.edges().collect()))
+    every = [c for calls in proposed for c in calls]
+    whole = {n: [r for r in old[n] if r[{"symbols": 4, "calls": 2, "imports": 0, "types": 0}[n]] not in ("f1", "f2")] + new[n] for n in NAMES}
+    assert sorted(every) == sorted(r[0] for r in whole["calls"])  # each call once; those of the old state as well before
+    assert isinstance(vars(state)["counts"], incremental.Later) and isinstance(vars(state)["stats"], incremental.Later)
+    again = incremental.build(**frames(spark, whole))
+    assert edges == sorted(map(tuple, again.edges().collect()))
+    assert sorted(map(tuple, state.stats.collect())) == sorted(map(tuple, again.stats.collect()))
+    assert sorted(map(tuple, state.captures().collect())) == sorted(map(tuple, again.captures().collect()))
+    assert sorted(map(tuple, state.imports_of_files().collect())) == sorted(map(tuple, again.imports_of_files().collect()))
