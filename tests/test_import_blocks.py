@@ -1,6 +1,7 @@
 """Import edges as sets: counted, dealt to tasks and diffused along without making each, as if each were made."""
 
 import random
+import re
 
 import pytest
 
@@ -27,6 +28,17 @@ def test_import_edges_are_made_from_arrays_and_counted_without(spark, project, m
     assert [tuple(r) for r in resolve.import_edge_count(imports.limit(0), symbols).collect()] == [("importEdge", 0)]
 
 
+def test_import_edges_of_a_pair_of_arrays_are_not_kept_in_memory_at_once(spark, project, monkeypatch):
+    """Arrays that are cut into pieces give the same edges; no generated stage takes two arrays of a row apart."""
+    imports, symbols, want = project
+    monkeypatch.setattr(resolve, "PIECE", 2)
+    made = resolve.import_edges(imports, symbols)
+    assert sorted((r.src, r.dst) for r in made.collect()) == want
+    plan = made._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+    stages = re.findall(r"\*\((\d+)\) Generate explode", plan)
+    assert plan.count("Generate explode") == 3 and len(stages) == len(set(stages)) == 1
+
+
 def test_diffusion_along_sets_equals_that_along_edges(spark, project):
     imports, symbols, _ = project
     calls = spark.createDataFrame([(i, (i * 7) % 90, 0.5) for i in range(40)] + [(300, 301, 1.0)], "src int, dst int, weight double")
