@@ -6,6 +6,7 @@ import re
 import pytest
 
 from reposcope.operators import graph, resolve
+from reposcope.plans import project as index
 from reposcope.shared import Scratch
 
 
@@ -39,6 +40,17 @@ def test_import_edges_of_a_pair_of_arrays_are_not_kept_in_memory_at_once(spark,
     assert plan.count("Generate explode") == 3 and len(stages) == len(set(stages)) == 1
 
 
+def test_edges_of_a_project_are_not_kept_in_memory_at_once(spark):
+    """The import edges among all edges come from pieces as well."""
+    made = index.project_edges(spark, "/root/testdata/sf0.001")
+    found = made.groupBy("strategy").count().collect()
+    assert next(r["count"] for r in found if r.strategy == "importEdge") > 100
+    assert made.collect()
+    plan = made._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+    stages = re.findall(r"\*\((\d+)\) Generate explode", plan)
+    assert plan.count("Generate explode") == 3 and len(stages) == len(set(stages)) == 1
+
+
 def test_diffusion_along_sets_equals_that_along_edges(spark, project):
     imports, symbols, _ = project
     calls = spark.createDataFrame([(i, (i * 7) % 90, 0.5) for i in range(40)] + [(300, 301, 1.0)], "src int, dst int, weight double")
