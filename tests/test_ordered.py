@@ -1,6 +1,7 @@
 """Ordered scans, spans and diffusion against plain versions."""
 
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -82,6 +83,29 @@ def test_pairs_of_hits_and_spans_are_counted(spark):
     assert spans.BITS * (spans.LEVELS - 1) < 63
 
 
+@pytest.mark.parametrize("single", [True, False])
+def test_pairs_of_hits_with_one_line_are_counted_where_they_meet(spark, monkeypatch, single):
+    """Lines that are made of hits, repeated rows, ids with several spans or none, arrays that are cut."""
+    monkeypatch.setattr(spans, "SIDE", 2)
+    rng = random.Random(8)
+    points = [(h := rng.choice([None, *range(90)]), rng.choice(["a", "b", None]), None if h is None else h % 30 + 1) for _ in range(300)]
+    rows = [(rng.choice([None, *range(70)]), rng.choice(["a", "b", None]), s := rng.randrange(30), s + rng.choice([-1, 0, 0, 2, 20, 300])) for _ in range(90)]
+    rows += rows[:20] + [(80 + i, "a", 3, 3) for i in range(9)] + [(None, "a", 3, 3), (99, "a", None, 4), (99, "a", 4, None)]
+    made = spans.pair_counts(spark.createDataFrame(points, "hit int, file string, line int"), spark.createDataFrame(rows, "id int, file string, start int, end int"), single=single, tasks=5)
+    got = made.collect()
+    want = Counter((h, i) for h, f, line in points for i, g, s, e in rows if None not in (f, line, s, e) and f == g and s <= line - 1 <= e)
+    assert {(r.hit, r.id): r.n for r in got} == dict(want) and len(got) == len(want) and any(i is None for _, i in want)
+
+
+def test_lines_of_orders_are_dealt_to_their_bins_at_once(spark):
+    """The points' table is shuffled once, to its bins, and spans come to them as arrays of ids."""
+    from reposcope.plans import catalog
+
+    plan = re.sub(r"#\d+L?", "", catalog.lines_in_spans(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString())
+    keys = re.findall(r"Exchange hashpartitioning\(([^)]*), \d+\)", plan)
+    assert {k for k in keys if "hit" in k} == {"hit, id"} and "file, _l, _b" in keys and "collect_list(id" in plan
+
+
 def test_pairs_are_summed_up_once_in_tasks_by_rows(spark, monkeypatch):
     """Both directions come from one sum; the tasks grow with the rows."""
     from reposcope import shared
